@@ -1,10 +1,6 @@
 """All queries by name, with the SQL they are checked against."""
 
-from __future__ import annotations
+from offerloom.plans import advice_plans, frame_plans, journal_plans, rating_plans, report_plans, stream_plans, sync_plans  # noqa: F401
+from offerloom.plans.base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
