@@ -97,7 +97,7 @@ def rate(
     uncertain: Column | None = None, now_minutes: Column | None = None, **settings: Column,
 ) -> dict[str, Column]:
     """What an offer earns, by name; ``state`` is empty, doubt, go, warn or no."""
-    given = {k: settings.get(k, F.lit(v)) for k, v in DEFAULTS.items()}
+    given = {k: F.coalesce(finite(settings.get(k, F.lit(v))), F.lit(v)) for k, v in DEFAULTS.items()}
     null = F.lit(None)
     items = F.lit(0.0) if items is None else items
     uncertain = F.lit(False) if uncertain is None else F.coalesce(uncertain, F.lit(False))
