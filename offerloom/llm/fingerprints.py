@@ -115,10 +115,11 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     ahead = F.when(begins, F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("extra")))
     wrap = F.when(F.col("key") == F.lit(r["first"]), F.struct(F.lit(len(bounds)).alias("part"), F.lit(2).alias("extra")))
     rows = rows.withColumn("to", F.explode(F.filter(F.array(own, ahead, wrap), lambda x: x.isNotNull()))).select("doc_id", "text", "key", "to.part", "to.extra")
-    return rows.withColumn("next_text", F.lead("text").over(ORDER))
+    return rows.withColumn("next_text", F.lead("text").over(in_order()))
 
 
-ORDER = W.partitionBy("part").orderBy("extra", "key", "text")
+def in_order():
+    return W.partitionBy("part").orderBy("extra", "key", "text")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
     rows = rows.select("doc_id", "key", "part", "extra", "text", n.cast("long").alias("n_chars"), F.when(F.col("extra") == 0, edited).alias("edited"))
     rows = rows.select("doc_id", "key", "part", "extra", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), F.when(F.col("extra") == 0, fingerprint(F.col("edited"))).alias("edited_fingerprint"))
-    rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(ORDER)).where("extra = 0")
+    rows = rows.withColumn("next_fingerprint", F.lead("fingerprint").over(in_order())).where("extra = 0")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
