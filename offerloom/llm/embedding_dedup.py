@@ -1,7 +1,7 @@
 """Embedding near-dedup over a pivot-permutation index.
 
-Some vectors, a bounded sample chosen by a hash of vec_id, are pivots.  Every vector is
-described by its ``PREFIX`` nearest pivots in order.  The index is an inverted list for each
+Some vectors of a bounded sample, chosen by a hash of vec_id, are pivots, none of them near
+another.  Every vector is described by its ``PREFIX`` nearest pivots in order.  The index is an inverted list for each
 unordered pair of pivots: the vectors that have both in their description, so those that
 share a list share at least two pivots.  Inside a list vectors are compared by cosine in
 double precision.
@@ -31,6 +31,8 @@ from offerloom.llm.graph import components
 
 #: Pivots for n vectors: PIVOT_FACTOR * sqrt(n), within these bounds; lists then keep their length as n grows.
 LEAST_PIVOTS, MOST_PIVOTS, PIVOT_FACTOR = 64, 4096, 1.5
+#: Candidates looked at for each pivot, and the cosine from which one is too near an earlier pivot.
+CANDIDATES, PIVOT_COSINE = 4, 0.7
 PREFIX = 6
 BLOCK = 1024
 COSINE = 0.9
@@ -51,6 +53,21 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def spread_out(candidates: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` pivots, in the candidates' order, none near an earlier one.
+
+    A large group of alike vectors would otherwise hold many pivots, whose order is noise to its members.
+    """
+    chosen: list[int] = []
+    free = np.ones(len(candidates), bool)
+    for i in range(len(candidates)):
+        if free[i] and len(chosen) < n:
+            chosen.append(i)
+            free &= candidates @ candidates[i] < PIVOT_COSINE
+    found = candidates[chosen]
+    return found if len(found) > 1 else np.vstack([found, -found])
+
+
 def nearest_pivots(v: Column, pivots: np.ndarray, prefix: int = PREFIX) -> Column:
     """``array<int>``: the ``prefix`` nearest pivots, nearest first."""
 
@@ -137,11 +154,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     member = materialise(able.select("same", "vec_id").join(classes, "same").select("vec_id", "id", "copies"))
     nodes = able.join(classes, "same").where("vec_id = id").dropDuplicates(["same"]).select("id", "copies", F.col("embedding").alias("v"))
     n_pivots = max(LEAST_PIVOTS, min(MOST_PIVOTS, int(PIVOT_FACTOR * size["n"] ** 0.5)))
-    chosen = able.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(n_pivots).select("embedding").toPandas()["embedding"]
+    chosen = able.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(CANDIDATES * n_pivots).select("embedding").toPandas()["embedding"]
     if size["n"] < 2:
         found = vectors.sparkSession.createDataFrame([], _FOUND)
     else:
-        found = _search(nodes, _matrix(chosen, size["width"]), size["width"], cosine)
+        found = _search(nodes, spread_out(_matrix(chosen, size["width"]), n_pivots), size["width"], cosine)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst"))
     copies = member.where("vec_id <> id").select(F.col("id").alias("src"), F.col("vec_id").alias("dst"))
