@@ -118,13 +118,12 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mixed rows of ``docs`` in their global order: a document comes as often as it is
     taken, placed by its virtual finish time.  Rows that share doc_id and source and have the
     same size share one schedule entry each."""
-    slim = docs.withColumn("size", n_words(F.col("text")))
-    plan = schedule(slim.select("doc_id", "source", "size")).where("copies > 0")
+    slim = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("doc_id", "source", n_words(F.col("text")).alias("size")).alias("own"))
+    plan = schedule(slim.select("own.*")).where("copies > 0")
     plan = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"), F.min("finish").alias("finish"), F.min("lap").alias("lap"), F.min("rank").alias("rank"), F.min("h").alias("h"))
     plan = plan.select(F.struct("doc_id", "source", "size").alias("key"), "copies", "finish", "lap", "rank", "h")
-    own = F.struct("doc_id", "source", "size")
-    rows = slim.join(plan, own.eqNullSafe(F.col("key"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return rows.orderBy(F.col("finish") + F.col("copy") * F.col("lap"), "rank", "h", "copy").select(*docs.columns)
+    rows = slim.join(plan, F.col("own").eqNullSafe(F.col("key"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return rows.orderBy(F.col("finish") + F.col("copy") * F.col("lap"), "rank", "h", "copy").select("doc.*")
 
 
 _WEIGHT_SQL = f"list_extract([{', '.join(map(str, WEIGHTS))}], (rank % {len(WEIGHTS)}) + 1)"
