@@ -35,9 +35,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
-    order = W.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    first = kept.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    rows = kept.join(again, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("doc"))
+    order = W.partitionBy("doc_id").orderBy("doc.text", F.to_json("doc"))
+    first = rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("doc.*")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
