@@ -177,8 +177,7 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, threshold: int) -> Data
     def confirmed(pairs: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("doc_id").alias(end), F.col("s").alias(f"s_{end}")), end)
-        both = F.size(F.array_intersect("s_a", "s_b"))
-        return materialise(pairs.where(100 * both >= threshold * (F.size("s_a") + F.size("s_b") - both)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        return materialise(pairs.where(_exact(F.col("s_a"), F.col("s_b"), threshold)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     def labelled(links: DataFrame) -> DataFrame:
         """Members of buckets of three and more with their own label and that of the bucket's smallest."""
@@ -191,16 +190,38 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, threshold: int) -> Data
     links = confirmed(first)
     outside = labelled(links).where("label <> low_label AND id <> high")
     links = materialise(links.unionByName(confirmed(screened(outside.select(F.col("id").alias("a"), F.col("high").alias("b"))))))
-    named = labelled(links).where("id <> low")
-    held = materialise(named.join(slim, "id"))
+    held = labelled(links).where("id <> low").join(slim, "id")
+    whole = sets.join(nodes.select(F.col("id").alias("doc_id"), "bands"), "doc_id")
+    return links.unionByName(_rest(held, whole, threshold))
+
+
+def _exact(a: Column, b: Column, threshold: int) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return 100 * both >= threshold * (F.size(a) + F.size(b) - both)
+
+
+def _rest(held: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links across components that still share a bucket.
+
+    Many pairs just below the threshold may meet here, so pairs are not made rows: what a
+    row may match is asked by semi-joins first, then sets are compared inside the join,
+    and only links come out.
+    """
+    held = materialise(held)
+    side = lambda df, x: df.select(*(F.col(c).alias(f"{x}_{c}") for c in ("key", "id", "label", "n", "sketch")), (F.col("label") == F.col("low_label")).alias(f"{x}_inside"))
+    left = side(held.where("label <> low_label"), "l")
+    right = side(held, "r")
     # both ends outside: once, by order; one end inside: from the outside one
-    left = held.where("label <> low_label").select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = held.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), (F.col("label") == F.col("low_label")).alias("inside"))
-    open_keys = materialise(left.select("key").distinct())
-    pairs = left.join(right.join(open_keys, "key", "left_semi"), "key")
-    pairs = pairs.where((F.col("la") != F.col("lb")) & (F.col("inside") | (F.col("a") < F.col("b"))) & _alike(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), threshold))
-    rest = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return links.unionByName(confirmed(rest))
+    meets = (F.col("l_key") == F.col("r_key")) & (F.col("l_label") != F.col("r_label")) & (F.col("r_inside") | (F.col("l_id") < F.col("r_id")))
+    meets = meets & _alike(F.col("l_n"), F.col("r_n"), F.col("l_sketch"), F.col("r_sketch"), threshold)
+    left = materialise(left.join(right, meets, "left_semi"))
+    right = materialise(right.join(left, meets, "left_semi"))
+    own = lambda x: sets.select(F.col("doc_id").alias(f"{x}_id"), F.col("s").alias(f"{x}_set"), F.col("bands").alias(f"{x}_bands"))
+    left, right = left.join(own("l"), "l_id"), right.join(own("r"), "r_id")
+    # of the buckets that a pair shares, the first one's compares the sets
+    once = F.get(F.array_intersect("l_bands", "r_bands"), 0) == F.col("l_key")
+    found = left.join(right, meets & once & _exact(F.col("l_set"), F.col("r_set"), threshold))
+    return materialise(found.select(F.least("l_id", "r_id").alias("src"), F.greatest("l_id", "r_id").alias("dst")).distinct())
 
 
 NEARDUP_SQL = f"""
