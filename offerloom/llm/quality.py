@@ -6,8 +6,9 @@ space on either side counts as a boundary mark.  Every feature is
 hashed to one of ``BUCKETS`` learned vectors; a document is their average, and a softmax
 over two outputs gives the probability of label 1.  Vectors and outputs are trained by
 stochastic gradient descent in numpy on a bounded, documented sample (``per_class`` rows
-of each label), chosen by a hash of doc_id; the sample's equal shares are corrected to the
-labels' real shares, which are counted over all rows.
+of each label), chosen by a hash of doc_id.  Every table gets the same number of steps, and
+the labels take turns, so a score weighs both alike whatever their shares and however few
+rows carry the rarer one.
 
 As the output is linear in the average, a trained model folds into one number for each
 bucket.  Scoring then sums these numbers over a text in numpy; long texts are taken in
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 BUCKET_BITS, DIM = 17, 8
 BUCKETS = 1 << BUCKET_BITS
 GRAMS = (2, 3, 4)
+#: Documents that training looks at, and its rate at the start.
+STEPS, RATE = 4000, 2.0
 #: Code points handled at once.
 CHUNK = 1 << 19
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -121,7 +124,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, rate: float = 4.0, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Model:
+    """SGD over ``steps`` documents, the two labels in turn, each label's rows in shuffled passes."""
     rng = np.random.default_rng(seed)
     rows = []
     for t in texts:
@@ -131,23 +135,26 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, ra
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((2, DIM), np.float32)
     bias = np.zeros(2, np.float32)
-    steps, done = epochs * len(rows), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            ids, weight = rows[i]
-            mean = weight @ vectors[ids]
-            z = out @ mean + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
-            lr = rate * (1 - done / steps)
-            vectors[ids] -= (lr * weight)[:, None] * (p @ out)[None, :]
-            out -= lr * np.outer(p, mean)
-            bias -= 0.1 * lr * p
-            done += 1
-    ones = max(1, sum(labels)) / max(1, len(labels))
-    odds = lambda x: np.log(min(max(x, 1e-3), 1 - 1e-3) / (1 - min(max(x, 1e-3), 1 - 1e-3)))
-    return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0] + odds(share) - odds(ones)))
+
+    def passes(label: int) -> Iterator[int]:
+        own = np.flatnonzero(np.asarray(labels) == label)
+        while True:
+            yield from rng.permutation(own)
+
+    turns = passes(0), passes(1)
+    for step in range(steps):
+        label = step % 2
+        ids, weight = rows[next(turns[label])]
+        mean = weight @ vectors[ids]
+        z = out @ mean + bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        p[label] -= 1
+        lr = rate * (1 - step / steps)
+        vectors[ids] -= (lr * weight)[:, None] * (p @ out)[None, :]
+        out -= lr * np.outer(p, mean)
+        bias -= 0.1 * lr * p
+    return Model((vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
@@ -170,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: in
     rows = texts.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])
     if rows["quality"].nunique() < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    return train(rows["text"].tolist(), rows["quality"].astype(int).tolist(), share)
+    return train(rows["text"].tolist(), rows["quality"].astype(int).tolist())
 
 
 def quality_score(text: Column, model: Model) -> Column:
