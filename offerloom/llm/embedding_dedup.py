@@ -1,8 +1,9 @@
 """Embedding near-dedup over a pivot-permutation index.
 
 Some vectors of a bounded sample, chosen by a hash of vec_id, are pivots, none of them near
-another.  Every vector is described by its ``PREFIX`` nearest pivots in order.  The index is an inverted list for each
-unordered pair of pivots: the vectors that have both in their description, so those that
+another.  Every vector is described by its nearest pivots in order, ``prefix_length`` of
+them: more as pivots grow denser, since a close pair then shares a smaller part of its
+nearest ones.  The index is an inverted list for each unordered pair of pivots: the vectors that have both in their description, so those that
 share a list share at least two pivots.  Inside a list vectors are compared by cosine in
 double precision.
 
@@ -33,6 +34,7 @@ from offerloom.llm.graph import components
 LEAST_PIVOTS, MOST_PIVOTS, PIVOT_FACTOR = 64, 4096, 1.5
 #: Candidates looked at for each pivot, and the cosine from which one is too near an earlier pivot.
 CANDIDATES, PIVOT_COSINE = 4, 0.7
+#: Nearest pivots in a description, at least.
 PREFIX = 6
 BLOCK = 1024
 COSINE = 0.9
@@ -68,6 +70,14 @@ def spread_out(candidates: np.ndarray, n: int) -> np.ndarray:
     return found if len(found) > 1 else np.vstack([found, -found])
 
 
+def prefix_length(pivots: int) -> int:
+    """Nearest pivots in a description: the binary logarithm of their number, rounded up.
+
+    So the chance that a pair at the threshold shares two of them doesn't fall as pivots grow.
+    """
+    return min(pivots, max(PREFIX, (pivots - 1).bit_length()))
+
+
 def nearest_pivots(v: Column, pivots: np.ndarray, prefix: int = PREFIX) -> Column:
     """``array<int>``: the ``prefix`` nearest pivots, nearest first."""
 
@@ -170,7 +180,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def _search(nodes: DataFrame, pivots: np.ndarray, width: int, cosine: float) -> DataFrame:
-    prefix = min(PREFIX, len(pivots))
+    prefix = prefix_length(len(pivots))
     nodes = materialise(nodes.withColumn("prefix", nearest_pivots(F.col("v"), pivots, prefix)))
     sorted_prefix = F.array_sort("prefix")
     pairs = F.array(*(F.struct(F.get(sorted_prefix, a).alias("p"), F.get(sorted_prefix, b).alias("q")) for a, b in combinations(range(prefix), 2)))

@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from offerloom.llm.embedding_dedup import near_vectors
+from offerloom.llm.embedding_dedup import COSINE, _search, near_vectors
 
 from .helpers import by_id
 
@@ -51,6 +52,20 @@ def test_recall_near_the_threshold(spark):
     assert sum(r.n_links for r in near_vectors(df).collect()) >= 0.95 * 3000
 
 
+@pytest.mark.parametrize("n_pivots", [64, 474, 1500, 4096])
+def test_recall_at_the_threshold_for_any_number_of_pivots(spark, n_pivots):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b, pivots = (unit(rng.normal(size=(n, 64))) for n in (1000, 1000, n_pivots))
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    c = COSINE + 1e-6
+    both = np.vstack([a, c * a + np.sqrt(1 - c * c) * b])
+    nodes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(both)], "id long, copies long, v array<double>")
+    links = sum(r.links for r in _search(nodes, pivots, 64, COSINE).collect())
+    print(n_pivots, links / 2000)
+    assert 0.98 * 2000 <= links <= 2000
+
+
 def test_empty_and_repeated(spark):
     assert near_vectors(spark.createDataFrame([], KIND)).count() == 0
     one = near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1, 0, 0)], KIND)).first()
