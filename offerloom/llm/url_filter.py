@@ -7,9 +7,10 @@ classes of urls that are one page (distributed connected components); a class wi
 explicitly allowed member is allowed, else one with a blocked member is blocked, else
 allowed.  A url's own rule always stands.
 
-Edges come from the pages themselves: a ``rel=canonical`` link, a refresh redirect, and the
-url's spelling (scheme, ``www.`` or ``m.``, query, fragment, trailing slash and ``.html``),
-which links a url to its plain form.  More can be given.
+Edges come from the pages themselves: every ``rel=canonical`` link and refresh redirect, its
+target read relative to the page, and the url's spelling (scheme, ``www.`` or ``m.``, query,
+fragment, trailing slash and ``.html``), which links a url to its plain form.  More can be
+given.
 
 Null urls and urls without ``://`` have an empty host and path, no rule and no aliases.
 Repeated pages each keep their row.  Everything is DataFrame expressions.
@@ -69,12 +70,25 @@ def plain_form(host: Column, path: Column) -> Column:
     return F.concat(bare, F.lit("/"), F.regexp_replace(F.regexp_replace(F.ltrim(path, F.lit("/")), r"\.html?$", ""), r"/+$", ""))
 
 
+def resolved(target: Column, base: Column) -> Column:
+    """``target`` as a url of its own, read on the page ``base``; null if it leads to no page."""
+    t = F.regexp_replace(F.trim(target), r"(?i)&amp;", "&")
+    scheme, site = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    at, tail = F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.regexp_extract(t, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.ltrim(path_of(base), F.lit("/")), r"[^/]*$", ""))
+    steps = F.split(F.when(F.startswith(at, F.lit("/")), at).otherwise(F.concat(folder, at)), "/", -1)
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    path = F.when(at == "", path_of(base)).otherwise(F.array_join(walked, "/"))
+    within = F.when(site != "", F.concat(site, path, tail))
+    return F.when(t.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None)).when(F.startswith(t, F.lit("//")), F.when(site != "", F.concat(scheme, F.lit(":"), t))).otherwise(within)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst`` urls: canonical links and refresh redirects that the pages' html declares."""
-    link = F.regexp_extract("html", r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract("html", r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*\burl\s*=\s*([^\"'\s>]+)", 1)
-    # most pages declare neither; a plain search passes those by
-    to = F.array(F.when(F.contains("html", F.lit("anonical")), link), F.when(F.contains("html", F.lit("efresh")), refresh))
+    """``src, dst`` urls: all canonical links and refresh redirects that the pages' html declares, as they stand there."""
+    link = r"(?is)<link\b(?=[^>]*(?<![\w-])rel\s*=\s*(?:[\"'][^\"'>]*)?(?<![\w-])canonical(?![\w-]))[^>]*(?<![\w-])href\s*=\s*[\"']?\s*([^\"'\s>]+)"
+    refresh = r"(?is)<meta\b(?=[^>]*(?<![\w-])http-equiv\s*=\s*[\"']?\s*refresh\b)[^>]*(?<![\w-])content\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+    to = F.concat(*(F.regexp_extract_all("html", F.lit(x), F.lit(1)) for x in (link, refresh)))
     return pages.select(F.col("url").alias("src"), F.explode(to).alias("dst")).where("dst <> '' AND src IS NOT NULL")
 
 
@@ -90,7 +104,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     judged = materialise(judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("own"), "plain"))
     # a url's class begins with its plain form; declared links join plain forms
     plain = lambda c: plain_form(host_of(F.col(c)), path_of(F.col(c)))
-    known = links.where(F.contains("src", F.lit("://")) & F.contains("dst", F.lit("://")))
+    known = links.withColumn("dst", resolved(F.col("dst"), F.col("src"))).where(F.contains("src", F.lit("://")) & F.contains("dst", F.lit("://")))
     classes = components(known.select(plain("src").alias("src"), plain("dst").alias("dst")))
     named = materialise(classes.select(F.col("node").alias("plain"), F.col("component").alias("class")))
     # decisions by plain form first: only these few rows meet the classes

@@ -54,3 +54,22 @@ def test_decisions_spread_over_aliases(spark):
 def test_no_python(spark):
     plan = filter_urls(table(spark, [(1, "http://a.net/es/x", "")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_edges_in_every_form(spark):
+    shut = "http://a.net/es/x"
+    rows = [(1, shut, "")]
+    forms = [
+        f'<LINK REL="CANONICAL" HREF="{shut}">', f'<META HTTP-EQUIV="REFRESH" CONTENT="0; URL={shut}">', f"<meta http-equiv=refresh content=\"0; url='{shut}'\">", '<link rel="canonical" href="//a.net/es/x">',
+        f'<link rel="canonical" href="http://far.org/"><link rel="canonical" href="{shut}">', f'<link rel="nofollow canonical" href=" {shut} ">', f'<meta http-equiv="refresh" content="0; url=/none"><meta http-equiv="refresh" content="3; url={shut}">',
+    ]
+    rows += [(10 + i, f"http://o{i}.org/p", h) for i, h in enumerate(forms)]
+    # relative targets lead to a page of their host that is blocked over its own link
+    link = '<link rel="canonical" href="{}">'.format
+    rows += [(2, "https://in.org/en/gone", link(shut))]
+    inner = ["/en/gone", "gone", "./gone", "../en/gone", "../../en/./x/../gone"]
+    rows += [(30 + i, f"https://in.org/en/r{i}", link(t)) for i, t in enumerate(inner)]
+    rows += [(40, "https://in.org/en/m", '<meta http-equiv="refresh" content="0;url=gone">'), (41, "https://in.org", link("en/gone"))]
+    rows += [(50, "https://in.org/ok", link("mailto:gone")), (51, "https://in.org/ok2", '<link rel="stylesheet" href="/en/gone">'), (52, None, link("/en/gone")), (53, "https://in.org/ok3", None)]
+    found = {i: r.verdict for i, r in by_id(filter_urls(table(spark, rows)), "page_id").items()}
+    assert {i for i, v in found.items() if v == "allow"} == {50, 51, 52, 53}
