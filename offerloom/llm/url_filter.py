@@ -10,7 +10,10 @@ allowed.  A url's own rule always stands.
 Edges come from the pages themselves: every ``rel=canonical`` link and refresh redirect, its
 target read relative to the page, and the url's spelling (scheme, ``www.`` or ``m.``, query,
 fragment, trailing slash and ``.html``), which links a url to its plain form.  More can be
-given.
+given.  Rules don't see queries, so what they decide on a plain form holds for its queries
+too; but declared edges join one query of a path, not all: ``/go?u=1`` and ``/go?u=2`` are
+two pages, unless an edge joins them.  Keys such as ``utm_source`` don't count, and a path's
+only query is a spelling of the path.
 
 Null urls and urls without ``://`` have an empty host and path, no rule and no aliases.
 Repeated pages each keep their row.  Everything is DataFrame expressions.
@@ -92,27 +95,49 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("url").alias("src"), F.explode(to).alias("dst")).where("dst <> '' AND src IS NOT NULL")
 
 
+def node_of(url: Column) -> Column:
+    """The plain form with the query, without keys that only tell where a visit comes from."""
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    query = F.regexp_replace(F.regexp_replace(query, r"(?i)(?<![^&])(?:utm_[^=&]*|gclid|fbclid)(?:=[^&]*)?(?:&|$)", ""), r"&+$", "")
+    return F.concat(plain_form(host_of(url), path_of(url)), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def declared_classes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, plain, class`` of the nodes that ``edges(src, dst)`` join; ``nodes(plain, node)`` are all pages'.
+
+    A path's queries are pages of their own, unless it has but one: that is a spelling of the path.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select(F.regexp_extract("node", r"(?s)^[^?]*", 0).alias("plain"), "node")
+    queried = materialise(ends.where("node <> plain").select("plain").distinct())
+    of_pages = nodes.where("node <> plain").join(queried, "plain", "left_semi").select("plain", "node")
+    forms = ends.where("node <> plain").unionByName(of_pages).groupBy("plain").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    only = forms.where("low = high").select(F.col("low").alias("src"), F.col("plain").alias("dst"))
+    return components(materialise(edges.unionByName(only))).select("node", F.regexp_extract("node", r"(?s)^[^?]*", 0).alias("plain"), F.col("component").alias("class"))
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.  ``edges(src, dst)``: further urls that lead to each other."""
     links = page_edges(pages)
     if edges is not None:
         links = links.unionByName(edges.select("src", "dst"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    judged = pages.select("page_id", host.alias("host"), path.alias("path"))
+    judged = pages.select("page_id", host.alias("host"), path.alias("path"), node_of(F.col("url")).alias("node"))
     judged = judged.withColumn("r", matched_rule(F.col("host"), F.col("path"), rules))
-    judged = judged.withColumn("plain", F.when(F.col("host") != "", plain_form(F.col("host"), F.col("path"))))
-    judged = materialise(judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("own"), "plain"))
-    # a url's class begins with its plain form; declared links join plain forms
-    plain = lambda c: plain_form(host_of(F.col(c)), path_of(F.col(c)))
-    known = links.withColumn("dst", resolved(F.col("dst"), F.col("src"))).where(F.contains("src", F.lit("://")) & F.contains("dst", F.lit("://")))
-    classes = components(known.select(plain("src").alias("src"), plain("dst").alias("dst")))
-    named = materialise(classes.select(F.col("node").alias("plain"), F.col("component").alias("class")))
+    judged = judged.withColumn("plain", F.when(F.col("host") != "", plain_form(F.col("host"), F.col("path")))).withColumn("node", F.when(F.col("host") != "", F.col("node")))
+    judged = materialise(judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("own"), "plain", "node"))
     # decisions by plain form first: only these few rows meet the classes
     said = judged.where("plain IS NOT NULL").groupBy("plain").agg(F.max((F.col("own") == "allow").cast("int")).alias("allowed"), F.max((F.col("own") == "block").cast("int")).alias("blocked"))
-    said = materialise(said.join(named, "plain", "left").withColumn("class", F.coalesce("class", "plain")))
-    spread = materialise(said.groupBy("class").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked")).where("blocked = 1 AND coalesce(allowed, 0) = 0").select("class"))
-    blocked = materialise(said.join(spread, "class", "left_semi").select("plain", F.lit("block").alias("spread")))
-    open_rows = judged.where("own IS NULL").join(blocked, "plain", "left")
+    said = materialise(said)
+    shut = "blocked = 1 AND coalesce(allowed, 0) = 0"
+    blocked = materialise(said.where(shut).select("plain", F.lit("block").alias("spread")))
+    # declared links join urls with their queries; each has what was decided on its plain form
+    known = materialise(links.select(node_of(F.col("src")).alias("src"), node_of(resolved(F.col("dst"), F.col("src"))).alias("dst")).where("src NOT LIKE '/%' AND dst NOT LIKE '/%'").distinct())
+    named = materialise(declared_classes(known, judged.where("plain IS NOT NULL")))
+    spread = named.join(said, "plain", "left").groupBy("class").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
+    spread = materialise(spread.select("class", F.when(F.expr(shut), "block").otherwise("allow").alias("declared")))
+    declared = materialise(named.join(spread, "class").select("node", "declared"))
+    open_rows = judged.where("own IS NULL").join(blocked, "plain", "left").join(declared, "node", "left")
+    open_rows = open_rows.withColumn("spread", F.coalesce("declared", "spread"))
     shut_rows = judged.where("own IS NOT NULL")
     out = lambda df, verdict: df.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
     return out(shut_rows, F.col("own")).unionByName(out(open_rows, F.coalesce("spread", F.lit("allow"))))

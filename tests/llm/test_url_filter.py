@@ -73,3 +73,11 @@ def test_edges_in_every_form(spark):
     rows += [(50, "https://in.org/ok", link("mailto:gone")), (51, "https://in.org/ok2", '<link rel="stylesheet" href="/en/gone">'), (52, None, link("/en/gone")), (53, "https://in.org/ok3", None)]
     found = {i: r.verdict for i, r in by_id(filter_urls(table(spark, rows)), "page_id").items()}
     assert {i for i, v in found.items() if v == "allow"} == {50, 51, 52, 53}
+
+
+def test_queries_of_a_path_are_pages_of_their_own(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [(1, "http://a.net/es/x", ""), (2, "http://host.org/go?u=1", link("http://a.net/es/x")), (3, "http://host.org/go?u=2", ""), (4, "http://host.org/go", ""), (5, "http://host.org/go?u=3", link("http://good.com/z")), (6, "http://good.com/z", "")]
+    rows += [(7, "http://one.org/p", link("http://host.org/go?u=1&utm_source=x")), (8, "http://two.org/p", link("http://host.org/go?u=3")), (9, "http://three.org/p", link("http://host.org/go?u=4"))]
+    found = {i: r.verdict for i, r in by_id(filter_urls(table(spark, rows)), "page_id").items()}
+    assert {i for i, v in found.items() if v == "block"} == {1, 2, 7}
