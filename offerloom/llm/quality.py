@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.common import materialise
+
 BUCKET_BITS, DIM = 17, 8
 BUCKETS = 1 << BUCKET_BITS
 GRAMS = (2, 3, 4)
@@ -163,18 +165,23 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: int = 400_000) -> Model:
-    """Learn from at most ``per_class`` documents of each label outside fold 0, with texts of at most ``max_chars``."""
+    """Learn from at most ``per_class`` documents of each label outside fold 0.
+
+    They are chosen among those that have a text of at most ``max_chars``; a doc_id teaches
+    one text, the least of these.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(fold() != 0)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("quality")).where("low = quality")
+    texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
+    able = materialise(known.join(texts.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     counts = dict(known.groupBy("quality").count().collect())
-    some = [known.where(F.col("quality") == q).orderBy(*order).limit(per_class).select("doc_id", "quality") for q in (0, 1)]
+    some = [able.where(F.col("quality") == q).orderBy(*order).limit(per_class).select("doc_id", "quality") for q in (0, 1)]
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0 if not counts else (40.0 if share else -40.0))
     chosen = some[0].union(some[1])  # at most 2 * per_class rows, so it may be broadcast
-    texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     if rows["quality"].nunique() < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     return train(rows["text"].tolist(), rows["quality"].astype(int).tolist())

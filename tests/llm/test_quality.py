@@ -38,3 +38,13 @@ def test_long_texts_are_scored_in_pieces():
     text = " ".join(f"word{i % 997}" for i in range(200_000))
     assert len(list(quality.pieces(text))) > 1 and "".join(quality.pieces(text)) == text
     assert abs(model.scores([text])[0] - model.scores(["a b", text, ""])[1]) < 1e-12
+
+
+def test_sample_is_full_and_has_one_text_of_a_document(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: taught.append((texts, labels)))
+    rows = [(i, "x" * 200 if i % 2 else None if i % 3 == 0 else f"{c} {i}") for i in range(200) for c in "ba"]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    quality.fit(d, spark.createDataFrame([(i, i // 2 % 2) for i in range(200)], "doc_id long, quality int"), per_class=10, max_chars=100)
+    texts, labels = taught[0]
+    assert sorted(labels) == [0] * 10 + [1] * 10 and len(set(texts)) == 20 and all(t.startswith("a ") for t in texts)
