@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +50,26 @@ def ascii_lower(c: Column) -> Column:
 
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
+
+
+def text_slices(texts: pa.Array, size: int = 1 << 18) -> Iterator[list[str]]:
+    """An Arrow batch of texts as short lists of Python strings, each of about ``size`` bytes
+    (or one longer text), so that a batch is never held a second time; nulls are empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield [t or "" for t in texts.slice(at, end - at).to_pylist()]
+        at = end
+
+
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Scrambles 64-bit numbers (the splitmix64 finish)."""
+    x = x + _M[0]
+    x = (x ^ (x >> np.uint64(30))) * _M[1]
+    x = (x ^ (x >> np.uint64(27))) * _M[2]
+    return x ^ (x >> np.uint64(31))

@@ -1,163 +1,207 @@
 """LM scoring by cross-entropy difference.
 
-Two character trigram models share one vocabulary (all characters of the corpus) and one
-way of smoothing: one of all documents (the background), one of the target documents.  Each
-order is smoothed towards the next lower one with a weight of ``MU`` counts, the lowest
-towards equal shares of the vocabulary.  The background's counts are scaled to the target's
-total, so that the models are matched in size as well.  A document's score is the mean, over
-its characters, of target loss less background loss in bits; low scores read like the target.
-
-Counts cover every character of every text.  They are gathered by counting each Arrow
-batch in numpy and summing over batches in Spark.  As every trigram of the documents is
-in the background, both losses of each trigram are worked out once, in joins over the
-tables of counts; documents then only look them up.  Up to ``BROADCAST_GRAMS`` trigrams
-that table goes to all executors; beyond, documents' own counts are joined to it.  Both
-ways give the same results.
-
-A text's beginning counts as two marks.  Null and empty texts have no characters and the
-score null.  Without target documents the target model is the smoothing alone.
+Two word bigram models share one vocabulary (hashes of all words of the corpus, A-Z in
+lower case; a word that a model has not seen is one of ``WORDS`` equally likely ones) and one
+way of smoothing: one of all documents (the background), one of the target documents.  A
+word's probability after another is its bigram's count, with ``MU`` counts more dealt out as
+the word's own probability says, which in turn is its count with ``MU`` counts dealt out
+evenly.  The background's counts are scaled to the target's total, so that the models are
+matched in size.  A document never vouches for itself: its own counts are taken out of the
+models it is part of before it is scored.  Its score is the mean, over its words, of target
+loss less background loss in bits; low scores read like the target.
+
+Counts cover every word of every text, and what is gathered grows with the corpus: nothing is
+pruned, and no table is broadcast.  Texts are dealt once, by a hash of doc_id, to chunks of
+about ``CHUNK`` characters, where they meet their labels.  A chunk sends each of its distinct
+words and bigrams once, packed, to the bucket that its hash belongs to (about ``BUCKET`` of
+them in each), buckets add up what all chunks have sent and answer every chunk with the
+corpus' counts, and the chunk, whose texts are still where they were dealt to, scores its
+documents.  A frequent bigram is one entry of each chunk, so no bucket grows hot; rows of a
+doc_id that repeats more than ``HOT`` times are dealt to several chunks.
+
+A text's beginning is a word of its own that is never predicted.  Null and empty texts have no
+words and the score null.  Without target documents the target model is the smoothing alone.
+Repeated rows and equal texts each count and each get a row.  A doc_id labelled more than once
+is a target if any of its labels says so.  Very long texts count whole.  An empty table gives
+an empty result; other columns of the documents are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import materialise
-
-MU = 5.0
-BITS = 21  # of a code point; three fit a long
-MASK = (1 << BITS) - 1
-#: Trigrams of the largest broadcast table: 24 bytes each, 96 MB.
-BROADCAST_GRAMS = 4_000_000
-CHUNK = 1 << 20
-#: Stands for the two marks in front of a text: no character has this code.
-START = MASK
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, trigram) for every character of ``texts``."""
-    n = np.array([len(t) for t in texts])
-    c = np.full(int(n.sum()) + 2 * len(texts), START, np.int64)
-    owner = np.repeat(np.arange(len(texts)), n + 2)
-    first = np.concatenate([[0], np.cumsum(n + 2)[:-1]]).astype(np.int64) if len(texts) else n
-    inner = np.ones(len(c), bool)
-    inner[first] = inner[first + 1] = False
-    c[inner] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    g = (c[:-2] << (2 * BITS)) | (c[1:-1] << BITS) | c[2:]
-    keep = inner[2:]
-    return owner[2:][keep], g[keep]
-
-
-def groups(texts: pd.Series) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of about ``CHUNK`` characters together, with the first one's place."""
-    at, some, total = 0, [], 0
-    for i, t in enumerate(texts):
-        t = t if isinstance(t, str) else ""
-        if some and total + len(t) > CHUNK:
-            yield at, some
-            at, some, total = i, [], 0
-        some.append(t)
-        total += len(t)
-    if some:
-        yield at, some
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """``gram, background, target`` counts from ``docs(text, target)``."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            wanted = b["target"].to_numpy(bool)
-            for at, some in groups(b["text"]):
-                owner, g = grams(some)
-                ids, where = np.unique(g, return_inverse=True)
-                own = wanted[at + owner]
-                yield pd.DataFrame({"gram": ids, "background": np.bincount(where, minlength=len(ids)), "target": np.bincount(where[own], minlength=len(ids))})
-
-    some = docs.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInPandas(count, "gram long, background long, target long")
-    return some.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def losses(counts: DataFrame) -> DataFrame:
-    """``gram, target_loss, background_loss`` in bits, both models smoothed alike."""
-    counts = materialise(counts.withColumn("context", F.shiftright("gram", BITS)).withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1))).withColumn("char", F.col("gram").bitwiseAND(F.lit(MASK))))
-    total = counts.agg(F.sum("background").alias("background"), F.sum("target").alias("target"), F.count_distinct("char").alias("chars")).first()
-    scale = {"background": max(1, total["target"] or 0) / max(1, total["background"] or 0), "target": 1.0}
-    sums = lambda df, key, to: df.groupBy(key).agg(*(F.sum(m).alias(f"{m}_{to}") for m in scale))
-    tail_rows = counts.select("tail", (F.col("tail").bitwiseAND(F.lit(MASK))).alias("char"), F.shiftright("tail", BITS).alias("before"), "background", "target")
-    tails = materialise(sums(tail_rows, "tail", "two"))
-    tails = tails.withColumn("char", F.col("tail").bitwiseAND(F.lit(MASK))).withColumn("before", F.shiftright("tail", BITS))
-    ones = materialise(sums(tail_rows, "char", "one"))
-    befores = materialise(sums(tail_rows, "before", "before"))
-    contexts = materialise(sums(counts, "context", "context"))
-    lower = materialise(tails.join(ones, "char").join(befores, "before"))
-    every = counts.join(lower.drop("char", "before"), "tail").join(contexts, "context")
-
-    def loss(m: str):
-        n = lambda c: F.col(c) * F.lit(scale[m])
-        p1 = (n(f"{m}_one") + MU / max(1, total["chars"])) / (F.lit(float(total[m] or 0) * scale[m]) + MU)
-        p2 = (n(f"{m}_two") + MU * p1) / (n(f"{m}_before") + MU)
-        return -F.log2((n(m) + MU * p2) / (n(f"{m}_context") + MU))
-
-    return materialise(every.select("gram", *(loss(m).alias(f"{m}_loss") for m in ("target", "background"))))
-
-
-SCORE_TYPE = "doc_id long, n_tokens long, target_loss double, background_loss double"
-
-
-def score(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and both models' mean loss of every row of ``docs(doc_id, text)``."""
-    if table.count() <= BROADCAST_GRAMS:
-        rows = table.orderBy("gram").toPandas()
-        shared = docs.sparkSession.sparkContext.broadcast((rows["gram"].to_numpy(), rows[["target_loss", "background_loss"]].to_numpy()))
-
-        def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keys, values = shared.value
-            for b in batches:
-                out = np.zeros((len(b), 3))
-                for at, some in groups(b["text"]):
-                    owner, g = grams(some)
-                    ids, where = np.unique(g, return_inverse=True)
-                    found = values[np.searchsorted(keys, ids)] if len(ids) else np.zeros((0, 2))
-                    out[at : at + len(some), 0] = np.bincount(owner, minlength=len(some))
-                    for k in range(2):
-                        out[at : at + len(some), k + 1] = np.bincount(owner, found[where, k], len(some)) if len(ids) else 0
-                n = np.maximum(out[:, 0], 1)
-                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": out[:, 0].astype(np.int64), "target_loss": out[:, 1] / n, "background_loss": out[:, 2] / n})
-
-        return docs.select("doc_id", "text").mapInPandas(look_up, SCORE_TYPE)
-    return score_by_join(docs, table)
-
-
-def score_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """As ``score`` for tables of any size: documents' own counts meet the table in a join."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at, some in groups(b["text"]):
-                owner, g = grams(some)
-                for k in range(len(some)):
-                    ids, n = np.unique(g[owner == k], return_counts=True)
-                    yield pd.DataFrame({"row": b["row"].iloc[at + k], "gram": ids, "n": n})
-
-    rows = materialise(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
-    own = rows.select("row", "text").mapInPandas(count, "row long, gram long, n long")
-    sums = own.join(table, "gram").groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(c)).alias(c) for c in ("target_loss", "background_loss")))
-    out = rows.select("doc_id", "row").join(sums, "row", "left")
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_tokens"), *(F.coalesce(F.col(c) / F.col("n"), F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss")))
+from offerloom.llm.common import materialise, mix64
+from offerloom.llm.mixing import n_words
+
+MU, WORDS = 2.0, float(1 << 20)
+#: Characters of a chunk, and entries that a bucket gets, about.
+CHUNK, BUCKET = 8 << 20, 1_000_000
+#: Rows of a doc_id that may go to one chunk.
+HOT = 10_000
+#: Most doc_ids in a broadcast list of those that repeat so often.
+BROADCAST_IDS = 2_000_000
+_START = np.uint64(0x5354415254)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+class Grams:
+    """The words and bigrams of a chunk's texts.
+
+    ``keys`` are the sorted hashes of the distinct ones; ``word``, ``before`` and ``pair`` say, for
+    every word of every text, where the word, the one before it and both stand there, and
+    ``owner`` which text it is of.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        found = [word_hashes(t or "") for t in texts]
+        self.n = np.array([len(x) for x in found], np.int64)
+        words = np.concatenate([np.empty(0, np.uint64), *(x for h in found for x in ([_START], h) if len(h))])
+        inner = np.ones(len(words), bool)
+        has = self.n[self.n > 0]
+        inner[np.cumsum(has + 1) - has - 1] = False
+        single = mix64(words)
+        pair = mix64(single[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ words[1:])[inner[1:]] if len(words) else words
+        self.keys, at = np.unique(np.concatenate([single, pair]), return_inverse=True)
+        place = np.flatnonzero(inner)
+        self.every, self.word, self.before, self.pair = at[: len(words)], at[place], at[place - 1], at[len(words) :]
+        self.owner = np.repeat(np.arange(len(texts)), self.n)
+        self.all_owner = np.repeat(np.arange(len(texts)), np.where(self.n > 0, self.n + 1, 0))
+
+    def counts(self, texts: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the texts that the flags name."""
+        size = len(self.keys)
+        return np.bincount(self.every[texts[self.all_owner]], minlength=size) + np.bincount(self.pair[texts[self.owner]], minlength=size)
+
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every word: how often its word, the one before and its bigram occur in its own text."""
+        size = max(1, len(self.keys))
+        held, n = np.unique(np.concatenate([self.all_owner * size + self.every, self.owner * size + self.pair]), return_counts=True)
+        return tuple(n[np.searchsorted(held, self.owner * size + x)] if len(x) else x for x in (self.word, self.before, self.pair))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes in front, which compresses well."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+ASKED = "bucket long, chunk long, keys binary, background binary, target binary"
+TOLD = "bucket long, chunk long, background binary, target binary"
+
+
+def _ask(buckets: int):
+    """A chunk's documents and target ids to what it asks of each bucket."""
+
+    def ask(key: tuple, docs: pa.Table, good: pa.Table) -> pa.Table:
+        ids = docs["doc_id"].to_pylist()
+        g = Grams(docs["text"].to_pylist())
+        wanted = set(good["doc_id"].to_pylist())
+        background, target = (g.counts(np.array(f, bool)).astype(np.uint32) for f in ([True] * len(ids), [i in wanted for i in ids]))
+        bucket = ((g.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+        rows = [(int(bucket[a]), key[0].as_py(), pack(g.keys[a:b]), pack(background[a:b]), pack(target[a:b])) for a, b in zip(cuts, cuts[1:])]
+        return _table(rows, [("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])
+
+    return ask
+
+
+def _table(rows: list[tuple], names: list[tuple[str, pa.DataType]]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(names)], schema=pa.schema(names))
+
+
+def _tell(asked: pa.Table) -> pa.Table:
+    """A bucket's questions to the sums over all chunks, in each question's order."""
+    parts = [unpack(k, np.uint64) for k in asked["keys"].to_pylist()]
+    at = np.unique(np.concatenate(parts), return_inverse=True)[1]
+    ends = np.cumsum([0, *map(len, parts)])
+    sums = []
+    for name in ("background", "target"):
+        own = np.concatenate([unpack(x, np.uint32) for x in asked[name].to_pylist()])
+        total = np.bincount(at, own).astype(np.uint64)[at]
+        sums.append(pa.array([pack(total[a:b]) for a, b in zip(ends, ends[1:])], pa.binary()))
+    return pa.table([asked["bucket"], asked["chunk"], *sums], names=["bucket", "chunk", "background", "target"])
+
+
+def _score(words: float, target_words: float, doc_id: pa.DataType):
+    """A chunk's documents, and the answers and target ids that belong to it, to their losses."""
+    totals = {"background": words, "target": target_words}
+    kinds = [("doc_id", doc_id), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())]
+
+    def score(docs: pa.Table, told: pa.Table) -> pa.Table:
+        ids = docs["doc_id"]
+        g = Grams(docs["text"].to_pylist())
+        told = told.sort_by("bucket")
+        wanted = set(told["doc_id"].to_pylist()) - {None}
+        answers = told.filter(pa.compute.is_valid(told["background"]))
+        part = {"background": np.ones(len(docs)), "target": np.array([i in wanted for i in ids.to_pylist()], float)}
+        own = g.own()
+        n = np.maximum(g.n, 1)
+        out = []
+        for m in ("target", "background"):
+            counts = np.concatenate([np.empty(0, np.uint64), *(unpack(x, np.uint64) for x in answers[m].to_pylist())]).astype(float)
+            mine = part[m][g.owner]
+            word, before, pair = (counts[at] - mine * o for at, o in zip((g.word, g.before, g.pair), own))
+            rest = np.maximum(1.0, totals[m] - part[m] * g.n)[g.owner]
+            scale = np.maximum(1.0, totals["target"] - part["target"] * g.n)[g.owner] / rest
+            p1 = (word * scale + MU / WORDS) / (rest * scale + MU)
+            p2 = (pair * scale + MU * p1) / (before * scale + MU)
+            out.append(np.bincount(g.owner, -np.log2(p2), len(docs)) / n)
+        return pa.table([ids, pa.array(g.n), *map(pa.array, out)], schema=pa.schema(kinds))
+
+    return score
+
+
+def lm_losses(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and both models' mean loss of every row of ``docs(doc_id, text)``; ``good(doc_id)`` names the targets."""
+    spark = docs.sparkSession
+    good = good.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    per = docs.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(n_words(F.col("text"))).alias("words"), F.sum(F.coalesce(F.char_length("text"), F.lit(0))).alias("chars"))
+    per = materialise(per.join(good.withColumn("good", F.lit(True)), "doc_id", "left"))
+    total = per.agg(F.sum("chars").alias("chars"), F.sum("words").alias("words"), F.sum(F.when(F.col("good"), F.col("words"))).alias("target")).first()
+    words, target = (float(total[k] or 0) for k in ("words", "target"))
+    deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(2 * deal, math.ceil((total["chars"] or 0) / CHUNK))
+    buckets = max(deal, math.ceil(words / BUCKET))
+    # rows of a doc_id that repeats without end, or has none, are dealt over several chunks
+    hot = materialise(per.where(f"rows > {HOT} AND doc_id IS NOT NULL").select("doc_id", F.ceil(F.col("rows") / HOT).cast("long").alias("spread")))
+    n_hot = hot.count()
+    slim, ids = docs.select("doc_id", "text"), good
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+        slim, ids = slim.join(hot, "doc_id", "left"), ids.join(hot, "doc_id", "left")
+        ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("spread", F.lit(1).cast("long")) - 1)))
+    else:
+        slim, ids = slim.withColumn("spread", F.lit(1).cast("long")), ids.withColumn("salt", F.lit(0).cast("long"))
+    nth = F.monotonically_increasing_id()
+    salt = F.when(F.col("doc_id").isNull(), nth).otherwise(nth % F.coalesce("spread", F.lit(1).cast("long")))
+    chunk = F.pmod(F.xxhash64("doc_id", "salt"), F.lit(chunks)).cast("long").alias("chunk")
+    dealt = slim.withColumn("salt", salt).select(chunk, "doc_id", "text")
+    ids = ids.select(chunk, "doc_id")
+    asked = dealt.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_ask(buckets), ASKED)
+    told = asked.groupBy("bucket").applyInArrow(_tell, TOLD)
+    kind = docs.schema["doc_id"].dataType
+    answers = told.withColumn("doc_id", F.lit(None).cast(kind)).unionByName(ids.select("chunk", "doc_id", F.lit(-1).cast("long").alias("bucket")), allowMissingColumns=True)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    score = _score(words, target, to_arrow_type(kind))
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"doc_id {kind.simpleString()}, n_tokens long, target_loss double, background_loss double")
 
 
 def lm_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores against the documents labelled as of good quality."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("target", F.lit(True))
-    marks = materialise(docs.select("doc_id").distinct().join(good, "doc_id"))
-    # ids alone may be large, so Spark decides by their written size how to join them
-    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left")
-    table = losses(gram_counts(marked))
-    scored = score(docs, table)
+    scored = lm_losses(docs, labels.where("quality = 1"))
     return scored.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("target_loss") - F.col("background_loss")))
