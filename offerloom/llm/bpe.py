@@ -1,16 +1,20 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 The tokenizer is built from a ranks file (base64 token, rank).  The library works on
-characters, so every byte stands as one printable character (``BYTE_CHARS``); decoding
-reverses that table, which also joins characters whose bytes lie in several tokens.
-
-White space in front of a word belongs to the word's piece, so a text splits, without
-any change to its ids, in front of each single space between two other characters.  The
-parts repeat a lot; each distinct part is encoded once per task and kept in a bounded
-cache, and only a text's ids are strung together for each row.
-
-Null texts encode as empty texts.  Empty texts have no ids.  Duplicate rows each keep
-their row; other columns pass through untouched.
+characters, so every byte stands as one printable character (``byte_chars``); decoding
+reverses that table for each token's spelling and joins the bytes, which also joins
+characters whose bytes lie in several tokens.  Offsets are the library's own: code points,
+where tokens that share a character overlap in it.
+
+White space in front of a word belongs to the word's piece, so a text may be cut, without
+any change to its ids, in front of a single space between two other characters.  Long texts
+are cut so, and the library gets about ``CALL`` characters at once, whatever the number of
+rows: memory is bounded by that and by the longest stretch without such a place, and no
+state grows from batch to batch.
+
+Null texts encode as empty texts.  Empty texts have no ids.  Very long texts are encoded
+whole, piece by piece.  Repeated rows each keep their row, ties don't arise, other columns
+pass through untouched whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,18 +23,20 @@ import base64
 import functools
 import hashlib
 import os
-from collections.abc import Iterator
-from itertools import chain
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct parts kept by a task; the cache starts anew beyond.
-CACHE_PARTS = 400_000
-#: Parts handed to the library in one call.
-CALL_PARTS = 20_000
+from offerloom.llm.common import text_slices
+
+#: Characters of a piece, and about as many as go to the library in one call.
+PIECE, CALL = 1 << 16, 1 << 17
+#: A single space between two characters that aren't white space of any kind.
+_JOINT = re.compile(r"(?<=\S) (?=\S)")
 
 
 @functools.cache
@@ -70,48 +76,57 @@ class Codec:
         model = models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=[(spell(a), spell(b)) for a, b in filter(None, pairs)], ignore_merges=True)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # the table reversed: each token's characters back to bytes
+        back = {ord(c): b for b, c in chars.items()}
         self.table: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.table[rank] = token
-        self.parts: dict[str, list[int]] = {}
+        for spelling, i in self.tokenizer.get_vocab().items():
+            self.table[i] = spelling.translate(back).encode("latin-1")
+
+    @staticmethod
+    def pieces(text: str) -> Iterator[str]:
+        """``text`` in stretches of about ``PIECE`` characters, cut where tokens never cross."""
+        at = 0
+        while len(text) - at > PIECE and (joint := _JOINT.search(text, at + PIECE)):
+            yield text[at : joint.start()]
+            at = joint.start()
+        if at < len(text):
+            yield text[at:]
+
+    def _encodings(self, texts: list[str], call: Callable) -> Iterator[list]:
+        """The library's encodings of each text's pieces; about ``CALL`` characters go to it at once."""
+        some, size, cuts = [], 0, []
+        for t in texts:
+            some += self.pieces(t)
+            cuts.append(len(some))
+            size += len(t)
+            if size > CALL:
+                yield from self._cut(call(some, add_special_tokens=False), cuts)
+                some, size, cuts = [], 0, []
+        yield from self._cut(call(some, add_special_tokens=False), cuts)
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        """Parts of ``text`` that pieces never cross: each begins at a single space between
-        two characters that aren't white space of any kind, or at the text's start."""
-        raw = text.split(" ")
-        out = [raw[0]]
-        for word in raw[1:]:
-            last = out[-1]
-            if word and not word[0].isspace() and last and not last[-1].isspace():
-                out.append(" " + word)
-            else:
-                out[-1] = f"{last} {word}"
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
-        split = [self.split(t) if t else [] for t in texts]
-        new = list({p for parts in split for p in parts} - self.parts.keys())
-        for i in range(0, len(new), CALL_PARTS):
-            some = new[i : i + CALL_PARTS]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[part] = e.ids
-        for parts in split:
-            yield list(chain.from_iterable(map(self.parts.__getitem__, parts)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
-
-    def offsets(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """First and one past the last code point of each token; tokens that share a
+    def _cut(found: list, cuts: list[int]) -> Iterator[list]:
+        for a, b in zip([0, *cuts], cuts):
+            yield found[a:b]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each of ``texts``."""
+        for found in self._encodings(texts, self.tokenizer.encode_batch_fast):
+            yield np.concatenate([np.empty(0, np.int32), *(np.array(e.ids, np.int32) for e in found)])
+
+    def spans(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, and first and one past the last code point of each token; tokens that share a
         character, because its bytes lie in both, overlap in it."""
-        data = np.frombuffer(self.decode(ids), np.uint8)
-        ends = np.cumsum([len(self.table[i]) for i in ids], dtype=np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ids) else ends
-        at = np.cumsum((data & 0xC0) != 0x80) - 1
-        return (at[starts], at[ends - 1] + 1) if len(ids) else (starts, ends)
+        for found in self._encodings(texts, self.tokenizer.encode_batch):
+            rows, at = [np.empty((3, 0), np.int64)], 0
+            for e in found:
+                ends = np.array(e.offsets, np.int64).reshape(-1, 2).T
+                rows.append(np.vstack([np.array(e.ids, np.int64), ends + at]))
+                at = int(rows[-1][2, -1])
+            yield tuple(np.concatenate(rows, axis=1))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.table.__getitem__, ids.tolist()))
 
 
 @functools.cache
@@ -119,36 +134,36 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _groups(texts: pd.Series, rows: int = 500) -> Iterator[list[str]]:
-    for i in range(0, len(texts), rows):
-        yield [t if isinstance(t, str) else "" for t in texts.iloc[i : i + rows]]
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
 
 
 def token_ids(text: Column, path: str, pattern: str) -> Column:
     """``array<int>``: the ids of each text."""
 
-    @F.pandas_udf("array<int>")
-    def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
-        for s in texts:
-            yield pd.Series([np.array(ids, np.int32) for some in _groups(s) for ids in c.encode(some)], dtype=object)
+        for texts in batches:
+            yield _lists([ids for some in text_slices(texts) for ids in c.encode(some)])
 
     return ids_of(text)
 
 
 def token_spans(text: Column, path: str, pattern: str) -> Column:
     """``array<struct<id,start,end>>``: ids with their code point offsets."""
+    kinds = {"id": pa.int32(), "start": pa.int64(), "end": pa.int64()}
 
-    @F.pandas_udf("array<struct<id:int,start:long,end:long>>")
-    def spans_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<id:int,start:long,end:long>>")
+    def spans_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
-        for s in texts:
-            rows = []
-            for some in _groups(s):
-                for ids in c.encode(some):
-                    starts, ends = c.offsets(ids)
-                    rows.append([{"id": i, "start": int(a), "end": int(b)} for i, a, b in zip(ids, starts, ends)])
-            yield pd.Series(rows, dtype=object)
+        for texts in batches:
+            rows = [np.stack(x) for some in text_slices(texts) for x in c.spans(some)]
+            every = np.concatenate([np.empty((3, 0), np.int64), *rows], axis=1)
+            ends = np.cumsum([0, *(r.shape[1] for r in rows)])
+            values = pa.StructArray.from_arrays([pa.array(every[k], pa.int64()).cast(kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     return spans_of(text)
 
@@ -156,29 +171,32 @@ def token_spans(text: Column, path: str, pattern: str) -> Column:
 def decoded(ids: Column, path: str, pattern: str) -> Column:
     """``binary``: the bytes that ids stand for (null ids: null)."""
 
-    @F.pandas_udf("binary")
-    def bytes_of(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
-        for s in rows:
-            yield s.map(lambda ids: None if ids is None else c.decode(ids))
+        for rows in batches:
+            yield pa.array([c.decode(r.values.to_numpy(zero_copy_only=False)) if r.is_valid else None for r in rows], pa.binary())
 
     return bytes_of(ids)
 
 
 def round_trip(text: Column, path: str, pattern: str) -> Column:
-    """``struct<n_tokens,ids_sha256,decoded_sha256>``: digests of each text's ids and of the bytes decoded from them."""
+    """``struct<n_tokens,ids_sha256,decoded_sha256,n_split>``: digests of each text's ids and of the
+    bytes decoded from them, and how many tokens begin inside a character."""
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "n_split": pa.int64()}
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
+    def digests_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path, pattern)
         names = list(map(str, range(len(c.table))))
-        for s in texts:
+        inside = np.array([bool(t) and t[0] & 0xC0 == 0x80 for t in c.table])
+        for texts in batches:
             rows = []
-            for some in _groups(s):
+            for some in text_slices(texts):
                 for ids in c.encode(some):
-                    said = " ".join(map(names.__getitem__, ids)).encode()
-                    rows.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                    said = " ".join(map(names.__getitem__, ids.tolist())).encode()
+                    rows.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest(), int(inside[ids].sum())))
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
     return digests_of(text)
 
