@@ -26,12 +26,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import materialise
+from offerloom.llm.common import materialise, mix64, text_slices
 from offerloom.llm.graph import components
 
 BANDS, ROWS = 32, 5
@@ -47,15 +47,6 @@ BROADCAST_ROWS = 2_000_000
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SAMPLES, np.uint64)
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x + _M[0]
-    x = (x ^ (x >> np.uint64(30))) * _M[1]
-    x = (x ^ (x >> np.uint64(27))) * _M[2]
-    return x ^ (x >> np.uint64(31))
-
 
 def shingles(text: str, size: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles: bytes lower-cased A-Z, words between ASCII white space."""
@@ -66,7 +57,7 @@ def shingles(text: str, size: int) -> np.ndarray:
         return h
     run = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        run = _mix(run ^ h[k : len(h) - n + 1 + k])
+        run = mix64(run ^ h[k : len(h) - n + 1 + k])
     return np.unique(run)
 
 
@@ -78,16 +69,16 @@ def samples(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-_BAND = _mix(np.arange(BANDS, dtype=np.uint64))
-_SLOT = _mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1 << 20))
+_BAND = mix64(np.arange(BANDS, dtype=np.uint64))
+_SLOT = mix64(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1 << 20))
 
 
 def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and odd sketch of MinHash samples, as signed 64-bit numbers."""
     keys = _BAND.copy()
     for column in found.reshape(BANDS, ROWS).T:
-        keys = _mix(keys ^ column)
-    at = _mix(found ^ _SLOT) % np.uint64(SKETCH_BITS)
+        keys = mix64(keys ^ column)
+    at = mix64(found ^ _SLOT) % np.uint64(SKETCH_BITS)
     bits = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
     return keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
@@ -98,28 +89,30 @@ FEATURE_TYPE = "n long, low long, high long, bands array<long>, sketch array<lon
 def document_features(text: Column, size: int) -> Column:
     """``struct<n,low,high,bands,sketch>``: set size, 128-bit fingerprint of the set, band keys, odd sketch."""
 
-    @F.pandas_udf(FEATURE_TYPE)
-    def features_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in texts:
-            rows = []
-            for t in s:
-                h = shingles(t, size) if isinstance(t, str) else ()
-                if len(h):
-                    whole = xxhash.xxh3_128_intdigest(h.tobytes())
-                    low, high = (int(np.uint64(x).view(np.int64)) for x in (whole & (1 << 64) - 1, whole >> 64))
-                    rows.append((len(h), low, high, *sketch(samples(h))))
-                else:
-                    rows.append((0, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["n", "low", "high", "bands", "sketch"]).astype({"low": "Int64", "high": "Int64"})
+    kinds = [("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
+
+    def of(t: str) -> tuple:
+        h = shingles(t, size)
+        if not len(h):
+            return (0, None, None, None, None)
+        whole = xxhash.xxh3_128_intdigest(h.tobytes())
+        low, high = (int(np.uint64(x).view(np.int64)) for x in (whole & (1 << 64) - 1, whole >> 64))
+        return (len(h), low, high, *sketch(samples(h)))
+
+    @F.arrow_udf(FEATURE_TYPE)
+    def features_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [of(t) for some in text_slices(texts) for t in some]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], names=[x for x, _ in kinds])
 
     return features_of(text)
 
 
 def shingle_sets(text: Column, size: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def sets_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([shingles(t, size).view(np.int64) if isinstance(t, str) else None for t in s], dtype=object)
+    @F.arrow_udf("array<long>")
+    def sets_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([shingles(t, size).view(np.int64) for some in text_slices(texts) for t in some], pa.list_(pa.int64()))
 
     return sets_of(text)
 

@@ -25,11 +25,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import materialise
+from offerloom.llm.common import materialise, text_slices
 
 BUCKET_BITS, DIM = 17, 8
 BUCKETS = 1 << BUCKET_BITS
@@ -193,10 +193,10 @@ def quality_score(text: Column, model: Model) -> Column:
 
     shared = SparkSession.active().sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series(shared.value.scores([t if isinstance(t, str) else "" for t in s]))
+    @F.arrow_udf("double")
+    def score_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.concatenate([np.empty(0), *map(shared.value.scores, text_slices(texts))]))
 
     return score_of(text)
 

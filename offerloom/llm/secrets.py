@@ -26,10 +26,13 @@ from dataclasses import dataclass
 from itertools import accumulate
 from operator import getitem, itemgetter
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.common import text_slices
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -324,11 +327,13 @@ SPAN_TYPE = "array<struct<kind:string,start:long,end:long>>"
 def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """``array<struct<kind,start,end>>`` of each text, by start, then in the rules' order."""
 
-    @F.pandas_udf(SPAN_TYPE)
-    def spans_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    @F.arrow_udf(SPAN_TYPE)
+    def spans_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = scanner(rules)
-        for some in texts:
-            yield some.map(lambda t: [{"kind": rules[i].kind, "start": a, "end": b} for a, i, b in s.spans(t)] if isinstance(t, str) and t else [])
+        for texts in batches:
+            yield pa.array([[{"kind": rules[i].kind, "start": a, "end": b} for a, i, b in s.spans(t)] for some in text_slices(texts) for t in some], kind)
 
     return spans_of(text)
 
@@ -353,13 +358,11 @@ def secret_report(docs: DataFrame) -> DataFrame:
 def redact(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[{}]") -> Column:
     """Each text with every run of overlapping spans replaced by the first one's kind; null stays null."""
 
-    @F.pandas_udf("string")
-    def redacted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = scanner(rules)
 
-        def one(t):
-            if not isinstance(t, str):
-                return None
+        def one(t: str) -> str:
             out, at = [], 0
             for a, i, b in s.spans(t):
                 if a >= at:
@@ -367,7 +370,8 @@ def redact(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[{}]") ->
                 at = max(at, b)
             return "".join(out) + t[at:] if out else t
 
-        for some in texts:
-            yield some.map(one)
+        for texts in batches:
+            done = pa.array([one(t) for some in text_slices(texts) for t in some], pa.string())
+            yield pc.if_else(pc.is_valid(texts), done, pa.scalar(None, pa.string()))
 
     return redacted(text)
