@@ -62,7 +62,6 @@ def test_recall_at_the_threshold_for_any_number_of_pivots(spark, n_pivots):
     both = np.vstack([a, c * a + np.sqrt(1 - c * c) * b])
     nodes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(both)], "id long, copies long, v array<double>")
     links = sum(r.links for r in _search(nodes, pivots, 64, COSINE).collect())
-    print(n_pivots, links / 2000)
     assert 0.98 * 2000 <= links <= 2000
 
 
@@ -72,3 +71,30 @@ def test_empty_and_repeated(spark):
     assert (one.n_links, one.component_id, one.kept) == (0, 1, True)
     twins = near_vectors(spark.createDataFrame([(2, [1.0, 0.0], 1, 0, 0), (1, [1.0, 0.0], 2, 0, 0)], KIND)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in twins) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+@pytest.mark.parametrize("n_pivots", [64, 900, 4096])
+def test_unrelated_vectors_are_no_candidates(n_pivots):
+    """What the shared pivots leave to be compared: nearly nothing but what is near."""
+    from offerloom.llm import embedding_dedup as ed
+
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots, v = unit(rng.normal(size=(n_pivots, 64))), unit(rng.normal(size=(1200, 64)))
+    nearest = np.argsort(-(v @ pivots.T), axis=1)[:, : ed.described(n_pivots)]
+    has = np.zeros((len(v), n_pivots))
+    np.put_along_axis(has, nearest, 1, axis=1)
+    share = (np.triu(has @ has.T, 1) >= ed.least_shared(n_pivots)).sum() / (len(v) * (len(v) - 1) / 2)
+    assert share < (1e-3 if n_pivots > 64 else 1)
+
+
+def test_blocks_of_a_long_list(spark, monkeypatch):
+    from offerloom.llm import embedding_dedup as ed
+
+    monkeypatch.setattr(ed, "BLOCK", 40)
+    rng = np.random.default_rng(11)
+    hot = rng.normal(size=16) + 0.1 * rng.normal(size=(300, 16))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.vstack([hot, rng.normal(size=(100, 16))]))]
+    found, want = by_id(near_vectors(spark.createDataFrame([(i, v, 1, 0, 0) for i, v in rows], KIND)), "vec_id"), brute(rows)
+    assert sum(found[i].n_links for i in want) >= 0.97 * sum(n for n, _ in want.values()) and all(found[i].n_links <= n for i, (n, _) in want.items())
+    assert np.mean([found[i].component_id == c for i, (_, c) in want.items()]) > 0.99
