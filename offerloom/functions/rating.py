@@ -119,3 +119,32 @@ def rate(
         "per_mile": when(F.when(~uncertain & (miles != 0), F.try_divide(net, miles))), "from_deadline": when(F.coalesce(~(minutes > 0), F.lit(True))),
         "doubt": when(reason), "state": F.when(~ready, "empty").when(reason.isNotNull(), "doubt").otherwise(verdict),
     }
+
+
+def clamp_int(raw: Column, low: int, high: int, fallback: int) -> Column:
+    """The whole number that a text begins with, within bounds; the fallback if it begins with none."""
+    digits = F.regexp_extract(raw, r"^\s*([+-]?\d+)", 1)
+    n = F.when(digits != "", digits.cast("double"))
+    return F.when(n.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), n))).otherwise(fallback).cast("long")
+
+
+def typed(text: Column) -> Column:
+    """The number that a typed field begins with; 0 if there is none."""
+    return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double"), F.lit(0.0))
+
+
+def calculate(pay: Column, minutes: Column, miles: Column, target: Column, band: Column, cost_per_mile: Column, pad: Column) -> dict[str, Column]:
+    """The verdict on figures typed by hand, by name; ``minutes`` are padded, but none typed is no offer."""
+    pay, timed, miles = typed(pay), typed(minutes), typed(miles)
+    padded = timed + pad
+    ready = (pay > 0) & (timed > 0) & (padded > 0)
+    cost = miles * cost_per_mile
+    net = pay - cost
+    per_hour = F.when(ready, F.try_divide(net, padded / 60))
+    some = lambda x: F.when(x > 0, x)
+    reason = doubt(some(pay), some(timed), some(miles))
+    verdict = F.when(reason.isNotNull(), "doubt").when(per_hour >= target, "go").when(per_hour >= target * (1 - band / 100), "warn").otherwise("no")
+    return {
+        "ready": ready, "pay": pay, "miles": miles, "minutes": padded, "typed_minutes": timed, "cost": cost, "net": net, "per_hour": per_hour, "per_min": F.when(ready, F.try_divide(net, padded)),
+        "per_mile": F.when((pay > 0) & (miles > 0), F.try_divide(net, miles)), "doubt": reason, "state": F.when(per_hour.isNull(), "empty").otherwise(verdict),
+    }

@@ -119,6 +119,14 @@ def spreads(found: DataFrame) -> DataFrame:
     return found.groupBy("rig").agg(F.count("*").alias("thresholds"), (F.max("low") - F.min("low")).alias("spread_low"), (F.max("high") - F.min("high")).alias("spread_high"))
 
 
+def coverage(df: DataFrame, threshold: int = MAIN_THRESHOLD) -> DataFrame:
+    """What an answer rests on: offers in runs and runs, the offers set aside, and from when to when."""
+    inside = segment(df, (threshold,)).groupBy("rig").agg(F.count("*").alias("offers"), F.count_distinct("run").alias("runs"))
+    every = df.groupBy("rig").agg(F.count("*").alias("rows"), F.min("seen_ms").alias("from_ms"), F.max("seen_ms").alias("to_ms"))
+    n = F.coalesce("offers", F.lit(0))
+    return every.join(inside, "rig", "left").select("rig", n.alias("offers"), F.coalesce("runs", F.lit(0)).alias("runs"), (F.col("rows") - n).alias("set_aside"), "from_ms", "to_ms")
+
+
 def unexplained(df: DataFrame, threshold: int = MAIN_THRESHOLD) -> DataFrame:
     """Silences longer than the threshold, and how many offers are marked as taken."""
     return free_again(df).groupBy("rig").agg(F.count_if(F.col("idle_ms") > threshold * 60000.0).alias("silences"), F.count_if("took").alias("tagged"))

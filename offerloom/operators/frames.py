@@ -6,10 +6,14 @@ run for all rigs at once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from offerloom.functions.text import find_pay, normalize
+
 # How much a frame must change to be looked at, and how little to be still.
 CHANGED, STILL = 6, 2
 AGREE = 2
@@ -79,7 +83,7 @@ def ocr_lines(words: DataFrame, page: list[str]) -> DataFrame:
 
 def clipped_payout(lines: DataFrame, page: list[str], page_height: Column) -> DataFrame:
     """Whether the highest line with an amount touches the page's upper edge."""
-    top = F.min(F.when(F.contains("text", F.lit("$")), F.col("top")))
+    top = F.min(F.when(find_pay(normalize(F.col("text"))).isNotNull(), F.col("top")))
     return lines.groupBy(*page).agg(top.alias("payout_top"), F.coalesce(top <= page_height * CLIPPED_SHARE, F.lit(False)).alias("clipped"))
 
 
@@ -91,3 +95,78 @@ def exposure_choice(frames: DataFrame, by: list[str]) -> DataFrame:
     rows = rows.where(F.col("_ok") | ~F.col("_any"))
     rows = rows.withColumn("_least", F.min("banding").over(every)).where(F.col("banding") <= F.col("_least") + 1)
     return rows.groupBy(*by).agg(F.min_by("exposure", F.struct(F.abs(F.col("brightness") - 205), F.col("exposure"))).alias("exposure"))
+
+
+def browser_lock(rows: DataFrame, by: list[str], signature: list[str], misses: int = 3) -> DataFrame:
+    """``agree, lock`` as a page keeps them: readings in a row that say the same lock if the last one is whole.
+
+    Incomplete readings in between don't count, but ``misses`` of them in a row begin anew.
+    Expects ``complete`` and ``whole``.
+    """
+    order = in_order(by)
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    done = F.coalesce(F.col("complete"), F.lit(False))
+    rows = rows.withColumn("_stretch", F.sum(done.cast("int")).over(upto))
+    missed = F.sum((~done).cast("int")).over(in_order([*by, "_stretch"]).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_reset", (~done & (missed == misses)).cast("int")).withColumn("_life", F.sum("_reset").over(upto))
+    said = F.struct(*signature)
+    within = in_order([*by, "_life"])
+    last = F.last(F.when(done, said), ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", (done & ~said.eqNullSafe(last)).cast("int")).withColumn("_island", F.sum("_new").over(within.rowsBetween(W.unboundedPreceding, 0)))
+    agree = F.sum(done.cast("int")).over(in_order([*by, "_life", "_island"]).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("agree", F.coalesce(agree, F.lit(0))).withColumn("_lock", F.when(done, (F.col("agree") >= AGREE) & F.coalesce(F.col("whole"), F.lit(False))))
+    lock = F.coalesce(F.last("_lock", ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, 0)), F.lit(False))
+    return rows.withColumn("lock", lock).drop("_stretch", "_reset", "_life", "_new", "_island", "_lock")
+
+
+def aimed(rows: DataFrame, by: list[str], good: str = "good", n: int = 6) -> DataFrame:
+    """``aimed``: whether the last ``n`` readings in a row were good."""
+    rows = rows.withColumn("_bad", F.sum((~F.coalesce(F.col(good), F.lit(False))).cast("int")).over(in_order(by).rowsBetween(W.unboundedPreceding, 0)))
+    streak = F.sum(F.coalesce(F.col(good), F.lit(False)).cast("int")).over(in_order([*by, "_bad"]).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("aimed", streak >= n).drop("_bad")
+
+
+def speak_once(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``speak``: locked, whole and ready, and another pay or time than was spoken last; forgotten when nothing is ready."""
+    order = in_order(by)
+    rows = rows.withColumn("_life", F.sum((~F.coalesce(F.col("ready"), F.lit(False))).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    able = F.coalesce(F.col("ready") & F.col("locked") & F.col("whole"), F.lit(False))
+    said = F.struct("pay", "minutes")
+    last = F.last(F.when(able, said), ignorenulls=True).over(in_order([*by, "_life"]).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("speak", able & ~said.eqNullSafe(last)).drop("_life")
+
+
+def recovered(rows: DataFrame, first: str = "first", second: str = "second") -> DataFrame:
+    """``read, recovered``: the second reading in place of one without pay, if it has one and agrees on the journey."""
+    a, b = F.col(first), F.col(second)
+    better = a["pay"].isNull() & (a["minutes"] > 0) & b["pay"].isNotNull() & b["minutes"].eqNullSafe(a["minutes"]) & b["miles"].eqNullSafe(a["miles"])
+    better = F.coalesce(better, F.lit(False))
+    return rows.withColumn("read", F.when(better, b).otherwise(a)).withColumn("recovered", better)
+
+
+def resample(rows: DataFrame, by: list[str], reach_ms: int = 4000) -> DataFrame:
+    """``until_ms``: up to when a card is looked at more often; null if not.
+
+    A reading with pay arms it, once for each card (``episode``); one that is whole and stable ends it.
+    """
+    order = in_order(by)
+    ends = F.coalesce(F.col("whole") & F.col("stable"), F.lit(False))
+    event = F.when(ends, F.lit(-1)).when(F.col("pay") > 0, F.col("episode"))
+    rows = rows.withColumn("_event", event.cast("long"))
+    before = F.last("_event", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    arms = ~ends & F.col("_event").isNotNull() & ~F.col("_event").eqNullSafe(before)
+    state = F.when(ends, F.lit(-1)).when(arms, F.col("seen_ms") + reach_ms)
+    rows = rows.withColumn("_state", state.cast("long"))
+    until = F.last("_state", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("until_ms", F.when(until > 0, until)).drop("_event", "_state")
+
+
+def tsv_words(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Words of an OCR engine's tab-separated report: place and text; lines that aren't a word go."""
+    cells = F.split(line, "\t", -1)
+    whole = lambda i: F.get(cells, i).try_cast("int")
+    names = ("level", "page_num", "block", "par", "line_num", "nth", "left", "top", "width", "height")
+    rest = [c for c in lines.columns if c != line]
+    words = lines.select(*rest, *(whole(i).alias(n) for i, n in enumerate(names)), F.get(cells, 10).try_cast("double").alias("conf"), F.trim(F.get(cells, 11)).alias("text"))
+    placed = [F.col(c).isNotNull() for c in ("block", "par", "line_num", "left", "top", "width", "height")]
+    return words.where(reduce(lambda a, b: a & b, placed) & (F.col("conf") >= 0) & (F.col("text") != "")).drop("level")

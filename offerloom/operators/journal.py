@@ -7,10 +7,15 @@ joined.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from offerloom.functions.rating import doubt, finite, suspect
+
 DAY_MS = 86_400_000
 
 
@@ -44,23 +49,24 @@ def consensus(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def fold_marks(marks: DataFrame) -> DataFrame:
-    """The last given ``accepted`` and ``hidden`` of each id, each field on its own."""
+    """The last given ``accepted`` and ``hidden`` of each rig's id, each field on its own."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"mark_{c}")
-    return marks.where("id IS NOT NULL").groupBy("id").agg(last("accepted"), last("hidden"))
+    return marks.where("id IS NOT NULL").groupBy("rig", "id").agg(last("accepted"), last("hidden"))
 
 
 def fold_rules(rules: DataFrame) -> DataFrame:
-    """The last ``hidden`` of each (pay, minutes, miles), where missing miles are a value."""
+    """The last ``hidden`` of each rig's (pay, minutes, miles), where missing miles are a value."""
     known = rules.where("hidden IS NOT NULL")
-    return known.groupBy("pay", "minutes", "miles").agg(F.max_by("hidden", "ord").alias("rule_hidden"))
+    return known.groupBy("rig", "pay", "minutes", "miles").agg(F.max_by("hidden", "ord").alias("rule_hidden"))
 
 
 def annotate(offers: DataFrame, marks: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules by what an offer says, then marks by its id, which win."""
-    m = fold_marks(marks).withColumnRenamed("id", "mark_id")
-    r = fold_rules(rules).select(*(F.col(c).alias(f"rule_{c}") for c in ("pay", "minutes", "miles")), "rule_hidden")
-    same = [F.col(c).eqNullSafe(F.col(f"rule_{c}")) for c in ("pay", "minutes", "miles")]
-    out = offers.join(r, same, "left").join(m, F.col("id") == F.col("mark_id"), "left")
+    m = fold_marks(marks).withColumnsRenamed({"rig": "mark_rig", "id": "mark_id"})
+    key = ("rig", "pay", "minutes", "miles")
+    r = fold_rules(rules).select(*(F.col(c).alias(f"rule_{c}") for c in key), "rule_hidden")
+    same = [F.col(c).eqNullSafe(F.col(f"rule_{c}")) for c in key]
+    out = offers.join(r, same, "left").join(m, (F.col("rig") == F.col("mark_rig")) & (F.col("id") == F.col("mark_id")), "left")
     out = out.withColumn("hidden", F.coalesce("mark_hidden", "rule_hidden", "hidden")).withColumn("accepted", F.coalesce("mark_accepted", "accepted"))
     return out.select(*offers.columns)
 
@@ -119,13 +125,134 @@ def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+# The columns of an export, in their order; the row's time in words follows.
+CSV_COLUMNS = (
+    "at", "pay", "minutes", "billedMinutes", "miles", "items", "perHour", "grossPerHour", "perMile", "cost", "state", "target", "band", "costPerMile", "legs",
+    "mergedFrom", "hasTotal", "shop", "milesCorrected", "milesUncertain", "whole", "settled", "suspect", "doubt", "accepted", "hidden", "places", "deliverBy", "fromDeadline", "ms",
+)
+
+
+def csv_header(columns: tuple[str, ...] = CSV_COLUMNS) -> str:
+    return ",".join([*columns, "when"])
+
+
+def csv_lines(rows: DataFrame, columns: tuple[str, ...] = CSV_COLUMNS, at: str = "seen_ms") -> DataFrame:
     """``line``: the given columns, and the row's time in words, as one CSV line each."""
-    kinds = dict(rows.dtypes)
-    return rows.withColumn("line", F.concat_ws(",", *(csv_cell(F.col(c), kinds[c]) for c in columns), iso_time(F.col("seen_ms"))))
+    kinds, seen_ms = dict(rows.dtypes), F.col(at)
+    return rows.withColumn("line", F.concat_ws(",", *(csv_cell(F.col(c), kinds[c]) for c in columns), quoted(iso_time(F.coalesce(seen_ms, F.lit(0))))))
 
 
 def newest(rows: DataFrame, by: list[str]) -> DataFrame:
     """Newest offer's time, offers and rows; annotations count as rows only."""
     offer = F.col("kind") == "offer"
     return rows.groupBy(*by).agg(F.max(F.when(offer, F.col("seen_ms"))).alias("newest_ms"), F.count_if(offer).alias("offers"), F.count("*").alias("rows"))
+
+
+def last_offer(rows: DataFrame, by: list[str], kind: str = "kind", order: str = "ord") -> DataFrame:
+    """The newest row of each of ``by`` that is an offer: one without a kind."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.where(F.col(kind).isNull()).groupBy(*by).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*by, "r.*")
+
+
+def freshest(files: DataFrame) -> DataFrame:
+    """The file written last (the first by name among equals) of ``path, mtime``."""
+    return files.orderBy(F.desc("mtime"), "path").limit(1)
+
+
+def response(offers: DataFrame, floor_ms: Column, limit: int, show_hidden: bool = False) -> DataFrame:
+    """What a page asks for, one row for each rig: ``count, total, truncated, hidden, offers``.
+
+    ``hidden`` and ``total`` are counted before the cut to the newest ``limit`` offers (0: all), which
+    stand in time order.
+    """
+    inside = window(offers, floor_ms)
+    counts = hidden_counts(inside, ["rig"])
+    shown = inside if show_hidden else visible(inside)
+    order = F.struct(F.coalesce("seen_ms", F.lit(0)).alias("t"), F.col("first_ord").alias("n"))
+    listed = tail(shown, limit).groupBy("rig").agg(F.sort_array(F.collect_list(F.struct(order.alias("at"), F.struct(*offers.columns).alias("offer")))).alias("found"))
+    total = F.col("in_window") if show_hidden else F.col("total")
+    out = counts.join(listed, "rig", "left").withColumn("offers", F.coalesce(F.transform("found", lambda x: x["offer"]), F.array()))
+    return out.select("rig", F.size("offers").alias("count"), total.alias("total"), (total > F.size("offers")).alias("truncated"), F.col("hidden_rows").alias("hidden"), "offers")
+
+
+def python_round(x: Column, places: int) -> Column:
+    """``x`` to so many decimals as binary arithmetic is rounded exactly: halves to the even digit."""
+
+    @F.arrow_udf("double")
+    def rounded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pa.array([None if v is None else float(round(v, places)) for v in values.to_pylist()], pa.float64())
+
+    return rounded(x.cast("double"))
+
+
+def offer_id(at_ms: Column, pay: Column) -> Column:
+    """``time-cents``; x for a pay that wasn't read."""
+    return F.concat(at_ms.cast("string"), F.lit("-"), F.coalesce(F.bround(pay * 100, 0).cast("long").cast("string"), F.lit("x")))
+
+
+def journal_rows(readings: DataFrame) -> DataFrame:
+    """Rows as the journal keeps them, from judged readings.
+
+    Expects the columns of ``text.parse`` and ``rating.rate``, the settings ``target, band,
+    cost_per_mile``, and ``first_ms, seen_ms, seq, ms, locked, settled, whole``.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    minutes = F.coalesce("card_minutes", "minutes")
+    figures = (F.col("pay"), minutes, F.col("miles"))
+    first = F.coalesce("first_ms", "seen_ms")
+    r2 = lambda c: python_round(F.col(c), 2)
+    row = {
+        "v": F.lit(1), "id": offer_id(first, F.col("pay")), "seq": F.col("seq"), "at": F.col("seen_ms"), "firstAt": first, "pay": F.col("pay"), "minutes": minutes, "miles": F.col("miles"),
+        "items": F.col("items"), "shop": F.when(F.col("shop"), F.lit(True)), "perHour": r2("per_hour"), "grossPerHour": r2("gross_per_hour"), "perMile": r2("per_mile"), "cost": r2("cost"),
+        "billedMinutes": python_round(F.col("billed_minutes"), 1), "state": F.col("state"), "target": F.col("target"), "band": F.col("band"), "costPerMile": F.col("cost_per_mile"),
+        "legs": F.col("legs"), "mergedFrom": F.col("merged_from"), "hasTotal": flag("has_total"), "milesCorrected": flag("miles_corrected"), "milesUncertain": flag("miles_uncertain"),
+        "locked": flag("locked"), "whole": flag("whole"), "settled": flag("settled"), "suspect": suspect(*figures), "doubt": doubt(*figures), "places": F.coalesce("places", F.array().cast("array<string>")),
+        "deliverBy": F.col("deliver_by"), "fromDeadline": flag("from_deadline"), "ms": F.bround("ms", 0).cast("long"),
+    }
+    keys = [c for c in ("rig", "ord") if c in readings.columns]
+    return readings.select(*keys, *(c.alias(n) for n, c in row.items()))
+
+
+def writable(readings: DataFrame) -> DataFrame:
+    """Readings that the journal takes: ready and locked."""
+    return readings.where("ready AND locked")
+
+
+def live_rows(readings: DataFrame) -> DataFrame:
+    """What a page is told of each reading, figures rounded, text cut; ``live_lines`` makes it JSON."""
+    ready = lambda c, n=2: python_round(F.when(F.col("ready"), F.col(c)), n)
+    keys = [c for c in ("rig", "ord") if c in readings.columns]
+    same = ("ready", "locked", "state", "doubt", "pay", "minutes", "miles", "items", "legs", "whole")
+    return readings.select(
+        *keys, *same, ready("per_hour").alias("perHour"), ready("gross_per_hour").alias("grossPerHour"), ready("billed_minutes", 1).alias("billedMinutes"), python_round(F.col("per_mile"), 2).alias("perMile"),
+        ready("cost").alias("cost"), F.col("card_minutes").alias("cardMinutes"), F.coalesce("from_deadline", F.lit(False)).alias("fromDeadline"), F.col("deliver_by").alias("deliverBy"),
+        F.coalesce("places", F.array().cast("array<string>")).alias("places"), F.coalesce("merged_from", F.lit(1)).alias("mergedFrom"), F.bround("ms", 0).cast("long").alias("ms"),
+        F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("text"),
+    )
+
+
+def live_lines(readings: DataFrame) -> DataFrame:
+    rows = live_rows(readings)
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def note_of(body: Column) -> Column:
+    """``struct<kind,id,pay,minutes,miles,accepted,hidden,error>`` of a request (VARIANT) to mark an offer or make a rule.
+
+    A mark names an id of 1 to 79 characters, else a rule a pay and a time; either says whether
+    an offer is accepted or hidden.  Fields of another type than theirs count as absent.
+    """
+    of = lambda path, kind, said: F.when(F.schema_of_variant(F.try_variant_get(body, path, "variant")).rlike(said), F.try_variant_get(body, path, kind))
+    number = lambda name: finite(of(f"$.match.{name}", "double", "^(BIGINT|DOUBLE|DECIMAL|FLOAT)"))
+    ident = of("$.id", "string", "^STRING$")
+    ident = F.when(F.length(ident).between(1, 79), ident)
+    is_rule = ident.isNull() & F.schema_of_variant(F.try_variant_get(body, "$.match", "variant")).rlike("^(OBJECT|ARRAY)")
+    pay, minutes, miles = (F.when(is_rule, number(n)) for n in ("pay", "minutes", "miles"))
+    accepted, hidden = (of(f"$.{n}", "boolean", "^BOOLEAN$") for n in ("accepted", "hidden"))
+    kind = F.when(ident.isNotNull(), "mark").when(is_rule, "rule")
+    error = (
+        F.when(~F.coalesce(F.schema_of_variant(body).rlike("^OBJECT"), F.lit(False)), "bad body").when(kind.isNull(), "no offer named")
+        .when((kind == "rule") & (pay.isNull() | minutes.isNull()), "a rule needs a pay and a time").when(accepted.isNull() & hidden.isNull(), "nothing to note")
+    )
+    return F.struct(kind.alias("kind"), ident.alias("id"), pay.alias("pay"), minutes.alias("minutes"), miles.alias("miles"), accepted.alias("accepted"), hidden.alias("hidden"), error.alias("error"))

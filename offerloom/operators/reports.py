@@ -60,28 +60,69 @@ def by_place(rows: DataFrame, query: str) -> DataFrame:
 
 
 def health(reads: DataFrame, by: list[str], seconds: int = 120) -> DataFrame:
-    """Reads in windows of two minutes: how many, how many whole, failed, and the upper median latency."""
-    at = F.floor(F.col("seen_ms") / (seconds * 1000)).cast("long")
+    """Reads in windows of two minutes or more: how many, how many whole, without pay, failed, and the upper median latency.
+
+    A window begins with a rig's first read after the last window has ended, and ends with the
+    first read that is two minutes later than its first; so windows without reads don't exist.
+    """
+    gap = seconds * 1000
+    order = W.partitionBy(*by).orderBy("seen_ms")
+    # a silence as long as a window always ends one, so each stretch between silences is told on its own
+    breaks = F.coalesce((F.col("seen_ms") - F.lag("seen_ms").over(order) >= gap).cast("int"), F.lit(0))
+    rows = reads.withColumn("_break", breaks).withColumn("_stretch", F.sum("_break").over(order))
+    start = lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= gap), F.concat(a, F.array(t))).otherwise(a)
+    times = rows.groupBy(*by, "_stretch").agg(F.sort_array(F.collect_set("seen_ms")).alias("times"))
+    starts = times.select(*by, "_stretch", F.aggregate("times", F.array().cast("array<long>"), start).alias("starts"))
+    rows = rows.join(starts, [*by, "_stretch"]).withColumn("from_ms", F.array_max(F.filter("starts", lambda t: t <= F.col("seen_ms"))))
     ms = F.sort_array(F.collect_list("ms"))
-    return reads.groupBy(*by, at.alias("bucket")).agg(
+    return rows.groupBy(*by, "from_ms").agg(
         F.count("*").alias("reads"), F.count_if("complete").alias("complete"), F.count_if(F.col("pay").isNull()).alias("no_pay"), F.count_if("failed").alias("failed"),
         F.get(ms, F.floor(F.size(ms) / 2).cast("int")).alias("upper_median_ms"),
     )
 
 
+def half_up(x: Column) -> Column:
+    """To a whole number, halves up."""
+    return F.floor(x + 0.5).cast("long")
+
+
 def ago(ms: Column) -> Column:
-    """How long ago, in words."""
-    m, h, d = F.floor(ms / 60000), F.floor(ms / 3600000), F.floor(ms / 86400000)
+    """How long ago, in words: minutes, hours and days each rounded from the one below."""
+    minutes = half_up(ms / 60000)
+    hours = half_up(minutes / 60)
     say = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
-    return F.when(ms < 60000, "just now").when(ms < 3600000, say(m, "m ago")).when(ms < 86400000, say(h, "h ago")).otherwise(say(d, "d ago"))
+    return F.when(minutes < 1, "now").when(minutes < 60, say(minutes, "m ago")).when(hours < 24, say(hours, "h ago")).otherwise(say(half_up(hours / 24), "d ago"))
+
+
+def fixed(x: Column, decimals: int) -> Column:
+    """So many decimals, halves of the shown digits away from zero."""
+    return F.format_string(f"%.{decimals}f", x)
+
+
+def money_text(x: Column, decimals: int = 2) -> Column:
+    """An amount for display, its sign in front of the currency; two dashes if there is none."""
+    known = ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(known, F.concat(F.when(x < 0, "-$").otherwise("$"), fixed(F.abs(x), decimals))).otherwise("--")
+
+
+def rate_text(x: Column) -> Column:
+    """A rate for display: no decimals from 100 on, else one."""
+    return F.when(F.abs(x) >= 100, money_text(x, 0)).otherwise(money_text(x, 1))
+
+
+def round1(x: Column) -> Column:
+    """To a tenth, halves up."""
+    return F.floor(x * 10 + 0.5) / 10
 
 
-def money_text(x: Column) -> Column:
-    """A rate for display: no decimals from 100 on, two below."""
-    return F.when(x.isNull(), "").when(F.abs(x) >= 100, F.format_string("$%.0f", x)).otherwise(F.format_string("$%.2f", x))
+def spoken(state: Column, per_hour: Column, doubt: Column) -> Column:
+    """What is said aloud: the verdict and the rate, or what to check; null without an offer."""
+    words = F.when(state == "go", "accept").when(state == "warn", "close").when(state == "no", "pass")
+    check = F.when(doubt == "pay", "check the pay.").when(doubt == "time", "check the time.").when(doubt == "speed", "check the distance.").otherwise("read that again.")
+    rate = F.concat(words, F.lit(". "), F.bround(per_hour, 0).cast("long").cast("string"), F.lit(" an hour."))
+    return F.when(state == "doubt", check).otherwise(rate)
 
 
-def spoken(state: Column, per_hour: Column) -> Column:
-    label = F.when(state == "go", "take it").when(state == "warn", "borderline").when(state == "no", "skip").when(state == "doubt", "check the card").otherwise("no offer")
-    rate = F.concat(F.floor(per_hour + 0.5).cast("string"), F.lit(" an hour"))
-    return F.when(state.isin("go", "warn", "no"), F.concat_ws(", ", label, rate)).otherwise(label)
+def stage_medians(rows: DataFrame, by: list[str], stages: list[str]) -> DataFrame:
+    """The median time of each stage, one row for each."""
+    return rows.unpivot(by, stages, "stage", "ms").groupBy(*by, "stage").agg(F.median("ms").alias("median_ms"))

@@ -15,10 +15,10 @@ VOTED = f"""(SELECT * EXCLUDE (pick) FROM (
         + CASE WHEN a.miles IS NOT NULL AND b.miles = a.miles THEN 2 ELSE 0 END) FROM {R} b WHERE b.rig = a.rig AND b.id = a.id AND b.ord <> a.ord), 0)
       - CASE WHEN a.suspect THEN 1000 ELSE 0 END - CASE WHEN a.whole IS NOT DISTINCT FROM false THEN 100 ELSE 0 END
       - CASE WHEN a.miles IS NULL AND EXISTS (SELECT 1 FROM {R} b WHERE b.rig = a.rig AND b.id = a.id AND b.miles IS NOT NULL) THEN 3 ELSE 0 END AS score FROM {R} a)) WHERE pick = 1)"""
-MARKS = f"(SELECT id, arg_max(accepted, ord) FILTER (WHERE accepted IS NOT NULL) AS ma, arg_max(hidden, ord) FILTER (WHERE hidden IS NOT NULL) AS mh FROM {M} GROUP BY id)"
-RULES = f"(SELECT pay AS rp, minutes AS rm, miles AS rd, arg_max(hidden, ord) AS rh FROM {U} WHERE hidden IS NOT NULL GROUP BY ALL)"
-LATEST = f"""(SELECT v.* REPLACE (coalesce(mh, rh, v.hidden) AS hidden, coalesce(ma, v.accepted) AS accepted) FROM {VOTED} v LEFT JOIN {MARKS} m ON m.id = v.id
-  LEFT JOIN {RULES} r ON r.rp IS NOT DISTINCT FROM v.pay AND r.rm IS NOT DISTINCT FROM v.minutes AND r.rd IS NOT DISTINCT FROM v.miles)"""
+MARKS = f"(SELECT rig, id, arg_max(accepted, ord) FILTER (WHERE accepted IS NOT NULL) AS ma, arg_max(hidden, ord) FILTER (WHERE hidden IS NOT NULL) AS mh FROM {M} GROUP BY rig, id)"
+RULES = f"(SELECT rig AS rr, pay AS rp, minutes AS rm, miles AS rd, arg_max(hidden, ord) AS rh FROM {U} WHERE hidden IS NOT NULL GROUP BY ALL)"
+LATEST = f"""(SELECT v.* REPLACE (coalesce(mh, rh, v.hidden) AS hidden, coalesce(ma, v.accepted) AS accepted) FROM {VOTED} v LEFT JOIN {MARKS} m ON m.id = v.id AND m.rig = v.rig
+  LEFT JOIN {RULES} r ON r.rr = v.rig AND r.rp IS NOT DISTINCT FROM v.pay AND r.rm IS NOT DISTINCT FROM v.minutes AND r.rd IS NOT DISTINCT FROM v.miles)"""
 FLOOR = 1_705_000_000_000
 
 
@@ -36,12 +36,12 @@ def consensus_mode(spark, sf_dir):
     return journal.consensus(fx.readings(spark, sf_dir), ["rig", "id"], "pay")
 
 
-@query(f"SELECT id, ma AS mark_accepted, mh AS mark_hidden FROM {MARKS}")
+@query(f"SELECT rig, id, ma AS mark_accepted, mh AS mark_hidden FROM {MARKS}")
 def journal_marks(spark, sf_dir):
     return journal.fold_marks(fx.marks(spark, sf_dir))
 
 
-@query(f"SELECT rp AS pay, rm AS minutes, rd AS miles, rh AS rule_hidden FROM {RULES}")
+@query(f"SELECT rr AS rig, rp AS pay, rm AS minutes, rd AS miles, rh AS rule_hidden FROM {RULES}")
 def journal_rules(spark, sf_dir):
     return journal.fold_rules(fx.rules(spark, sf_dir))
 
@@ -67,13 +67,13 @@ def journal_hidden_counts(spark, sf_dir):
 
 
 @query(f"""SELECT rig, id, concat_ws(',', rig::VARCHAR, id::VARCHAR, seq::VARCHAR, coalesce((minutes::BIGINT)::VARCHAR, ''), CASE WHEN accepted IS NULL THEN '' WHEN accepted THEN '1' ELSE '0' END,
-  CASE WHEN hidden IS NULL THEN '' WHEN hidden THEN '1' ELSE '0' END, '"card ' || repeat('"', 2) || id || repeat('"', 3), strftime(make_timestamp(seen_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z') AS line FROM {LATEST}""")
+  CASE WHEN hidden IS NULL THEN '' WHEN hidden THEN '1' ELSE '0' END, '"card ' || repeat('"', 2) || id || repeat('"', 3), '"' || strftime(make_timestamp(seen_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z"') AS line FROM {LATEST}""")
 def journal_csv(spark, sf_dir):
     rows = latest(spark, sf_dir).withColumn("note", F.concat(F.lit('card "'), F.col("id"), F.lit('"')))
     return journal.csv_lines(rows, ["rig", "id", "seq", "minutes", "accepted", "hidden", "note"]).select("rig", "id", "line")
 
 
-@query(f"SELECT rig, max(seen_ms) FILTER (WHERE kind = 'offer') AS newest_ms, count(*) FILTER (WHERE kind = 'offer') AS offers, count(*) AS rows FROM (SELECT rig, seen_ms, 'offer' AS kind FROM {R} UNION ALL SELECT id % 4, 9999999999999, 'mark' FROM {M}) GROUP BY rig")
+@query(f"SELECT rig, max(seen_ms) FILTER (WHERE kind = 'offer') AS newest_ms, count(*) FILTER (WHERE kind = 'offer') AS offers, count(*) AS rows FROM (SELECT rig, seen_ms, 'offer' AS kind FROM {R} UNION ALL SELECT rig, 9999999999999, 'mark' FROM {M}) GROUP BY rig")
 def newest_watermark(spark, sf_dir):
-    marks = fx.marks(spark, sf_dir).select((F.col("id") % 4).alias("rig"), F.lit(9999999999999).alias("seen_ms"), F.lit("mark").alias("kind"))
+    marks = fx.marks(spark, sf_dir).select("rig", F.lit(9999999999999).alias("seen_ms"), F.lit("mark").alias("kind"))
     return journal.newest(fx.readings(spark, sf_dir).select("rig", "seen_ms", F.lit("offer").alias("kind")).unionByName(marks), ["rig"])

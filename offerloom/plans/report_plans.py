@@ -60,15 +60,20 @@ def place_search(spark, sf_dir):
     return reports.by_place(cards.withColumn("places", text.find_places(F.col("text"))), "corner BAK").select("ord")
 
 
-@query(f"""SELECT rig, seen_ms // 120000 AS bucket, count(*) AS reads, count(*) FILTER (WHERE ord % 3 > 0) AS complete, 0::BIGINT AS no_pay, count(*) FILTER (WHERE ord % 10 = 0) AS failed,
-  list_sort(list(100 + (ord * 37) % 900))[count(*) // 2 + 1] AS upper_median_ms FROM {fx.offers_sql()} GROUP BY ALL""")
+#: Windows one after the other: from each start to the first read two minutes later.
+@query(f"""WITH RECURSIVE r AS (SELECT rig, seen_ms, 100 + (ord * 37) % 900 AS ms, ord % 3 > 0 AS c, ord % 10 = 0 AS f FROM {fx.offers_sql()}),
+  t AS (SELECT rig, min(seen_ms) AS from_ms FROM r GROUP BY rig
+        UNION ALL SELECT t.rig, (SELECT min(seen_ms) FROM r WHERE r.rig = t.rig AND r.seen_ms >= t.from_ms + 120000) FROM t WHERE t.from_ms IS NOT NULL),
+  s AS (SELECT rig, from_ms, coalesce(lead(from_ms) OVER (PARTITION BY rig ORDER BY from_ms), 9000000000000000) AS to_ms FROM t WHERE from_ms IS NOT NULL)
+  SELECT r.rig, from_ms, count(*) AS reads, count(*) FILTER (WHERE c) AS complete, 0::BIGINT AS no_pay, count(*) FILTER (WHERE f) AS failed, list_sort(list(ms))[count(*) // 2 + 1] AS upper_median_ms
+  FROM r JOIN s ON r.rig = s.rig AND seen_ms >= from_ms AND seen_ms < to_ms GROUP BY r.rig, from_ms""")
 def health_windows(spark, sf_dir):
     reads = fx.offers(spark, sf_dir).withColumns({"ms": 100 + (F.col("ord") * 37) % 900, "complete": F.col("ord") % 3 > 0, "failed": F.col("ord") % 10 == 0})
     return reports.health(reads, ["rig"])
 
 
-@query("SELECT ord, CASE WHEN ms < 60000 THEN 'just now' WHEN ms < 3600000 THEN ms // 60000 || 'm ago' WHEN ms < 86400000 THEN ms // 3600000 || 'h ago' ELSE ms // 86400000 || 'd ago' END AS said"
-       f" FROM (SELECT ord, (ord * 7919 * 101) % 400000000 AS ms FROM {fx.offers_sql()})")
+@query(f"""SELECT ord, CASE WHEN m < 1 THEN 'now' WHEN m < 60 THEN m || 'm ago' WHEN (m + 30) // 60 < 24 THEN (m + 30) // 60 || 'h ago' ELSE ((m + 30) // 60 + 12) // 24 || 'd ago' END AS said
+  FROM (SELECT ord, ((ord * 7919 * 101) % 400000000 + 30000) // 60000 AS m FROM {fx.offers_sql()})""")
 def ago_buckets(spark, sf_dir):
     return fx.offers(spark, sf_dir).select("ord", reports.ago((F.col("ord") * 7919 * 101) % 400000000).alias("said"))
 
@@ -78,7 +83,24 @@ def iso_times(spark, sf_dir):
     return fx.offers(spark, sf_dir).select("ord", journal.iso_time(F.col("seen_ms")).alias("iso"))
 
 
-@query(f"""SELECT ord, CASE state WHEN 'go' THEN 'take it, ' || floor(per_hour + 0.5)::BIGINT || ' an hour' WHEN 'warn' THEN 'borderline, ' || floor(per_hour + 0.5)::BIGINT || ' an hour'
-  WHEN 'no' THEN 'skip, ' || floor(per_hour + 0.5)::BIGINT || ' an hour' ELSE 'check the card' END AS said FROM {RATED}""")
+@query(f"""SELECT ord, CASE WHEN doubt = 'pay' THEN 'check the pay.' WHEN doubt = 'time' THEN 'check the time.' WHEN doubt = 'speed' THEN 'check the distance.'
+  ELSE CASE state WHEN 'go' THEN 'accept' WHEN 'warn' THEN 'close' ELSE 'pass' END || '. ' || round_even(per_hour, 0)::BIGINT || ' an hour.' END AS said FROM {RATED}""")
 def spoken_verdict(spark, sf_dir):
-    return rated(spark, sf_dir).select("ord", reports.spoken(F.col("state"), F.col("per_hour").cast("double")).alias("said"))
+    return rated(spark, sf_dir).select("ord", reports.spoken(F.col("state"), F.col("per_hour").cast("double"), F.col("doubt")).alias("said"))
+
+
+_X = "((ord * 7919) % 40001 - 12000) / 64.0"
+
+
+@query(f"""SELECT ord, CASE WHEN x < 0 THEN '-$' ELSE '$' END || printf('%.2f', abs(x)) AS money, CASE WHEN x < 0 THEN '-$' ELSE '$' END || CASE WHEN abs(x) >= 100 THEN (floor(abs(x) + 0.5)::BIGINT)::VARCHAR
+  ELSE printf('%.1f', floor(abs(x) * 10 + 0.5) / 10) END AS rate, floor(x * 10 + 0.5) / 10 AS tenth FROM (SELECT ord, floor(({_X}::DOUBLE) * 8) / 8 + 0.0625 AS x FROM {fx.offers_sql()})""")
+def display_figures(spark, sf_dir):
+    x = F.floor(F.expr(f"CAST({_X} AS DOUBLE)") * 8) / 8 + 0.0625
+    rows = fx.offers(spark, sf_dir).select("ord", x.alias("x"))
+    return rows.select("ord", reports.money_text(F.col("x")).alias("money"), reports.rate_text(F.col("x")).alias("rate"), reports.round1(F.col("x")).alias("tenth"))
+
+
+@query(f"""SELECT rig, stage, median(ms)::DOUBLE AS median_ms FROM (SELECT rig, 'find' AS stage, (ord * 7) % 90 AS ms FROM {fx.offers_sql()} UNION ALL SELECT rig, 'read', 100 + (ord * 37) % 900 FROM {fx.offers_sql()}) GROUP BY ALL""")
+def stage_medians(spark, sf_dir):
+    rows = fx.offers(spark, sf_dir).withColumns({"find": (F.col("ord") * 7) % 90, "read": 100 + (F.col("ord") * 37) % 900})
+    return reports.stage_medians(rows, ["rig"], ["find", "read"])

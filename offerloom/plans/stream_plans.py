@@ -8,20 +8,59 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.functions import text
 from offerloom.plans.base import query
 from offerloom.plans.sync_plans import batch
 from offerloom.sources import fixtures as fx
 from offerloom.streaming import jobs
 
 
+#: Three readings of an offer, a second apart; the second may show its pay a hundredfold, no pay,
+#: or one of the two legs misread; every fifth offer names a total beside its legs.
+_FRAMES = (
+    "SELECT (event_id DIV 3) % 4 AS rig, event_id AS ord, event_id DIV 3 AS k, event_id % 3 AS nth, event_id * 1000 AS ts_ms,"
+    " CASE WHEN (event_id DIV 3) % 11 = 0 AND event_id % 3 = 1 THEN NULL WHEN (event_id DIV 3) % 7 = 0 AND event_id % 3 = 1 THEN 100 ELSE 1 END"
+    " * ((200 + ((event_id DIV 3) * 7919) % 2800) / 100.0{d}) AS pay, CAST(3 + (event_id DIV 3) % 9 AS DOUBLE) AS m1,"
+    " CAST(15 + (event_id DIV 3) % 20 AS DOUBLE) + CASE WHEN (event_id DIV 3) % 5 = 1 AND event_id % 3 = 0 THEN 40 ELSE 0 END AS m2,"
+    " CAST(1 + (event_id DIV 3) % 3 AS DOUBLE) AS d1, CASE WHEN (event_id DIV 3) % 4 = 1 AND event_id % 3 = 2 THEN NULL"
+    " ELSE CAST(5 + (event_id DIV 3) % 8 AS DOUBLE) END AS d2, (event_id DIV 3) % 5 = 0 AS total,"
+    " CASE WHEN event_id % 3 < 2 THEN CAST((event_id DIV 3) % 6 + 1 AS DOUBLE) END AS items, (event_id DIV 3) % 13 = 0 AND event_id % 3 = 1 AS shop,"
+    " event_id % 3 = 2 AS settled FROM {events}"
+)
+FRAMES = f"({_FRAMES.replace('{d}', '::DOUBLE').replace(' DIV ', ' // ').replace('{events}', 'events')})"
+
+
 def events(spark, sf_dir) -> DataFrame:
-    """Parsed card frames in the form the state machines take."""
-    r = fx.readings(spark, sf_dir).where("pay IS NOT NULL")
-    card = F.concat(F.lit("$"), F.format_string("%.2f", "pay"), F.lit(" "), F.col("minutes").cast("long"), F.lit(" min"))
-    card = F.concat(card, F.coalesce(F.concat(F.lit(" ("), F.col("miles").cast("string"), F.lit(" mi) total")), F.lit(" trip")))
-    parsed = text.parse(r.select("rig", "ord", F.col("seen_ms").alias("ts_ms"), card.alias("text"), (F.col("ord") % 3 == 2).alias("settled")))
-    return parsed.select(*jobs.EVENT)
+    """Readings in the form the state machines take."""
+    r = spark.sql(_FRAMES.replace("{d}", "D"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    leg = lambda m, d, total: F.struct(F.col(m).alias("minutes"), F.col(d).alias("miles"), total.alias("is_total"))
+    legs = F.array(leg("m1", "d1", F.lit(False)), leg("m2", "d2", F.col("total")))
+    used = F.when(F.col("total"), F.slice(legs, 2, 1)).otherwise(legs)
+    add = lambda name: F.aggregate("leg_detail", F.lit(0.0), lambda a, x: a + F.coalesce(x[name], F.lit(0.0)))
+    r = r.withColumn("leg_detail", used).withColumns({"legs": F.size("leg_detail"), "minutes": add("minutes"), "miles": F.when(F.exists("leg_detail", lambda x: x["miles"].isNotNull()), add("miles")), "deliver_by": F.lit(None).cast("int"), "miles_corrected": F.lit(False)})
+    return r.select(*jobs.EVENT)
+
+
+#: What the machines should say of these frames, told without them: pays part an offer's three frames
+#: into episodes, and within one the most frequent value so far counts.
+_SAID = f"""
+e AS (SELECT *, sum(begins) OVER (PARTITION BY rig ORDER BY ord) + 1 AS episode FROM (
+  SELECT *, CASE WHEN k IS NOT DISTINCT FROM lag(k) OVER w AND pay = lag(pay) OVER w THEN 0 ELSE 1 END AS begins FROM {FRAMES} WHERE pay IS NOT NULL WINDOW w AS (PARTITION BY rig ORDER BY ord))),
+j AS (SELECT a.*, b.m2 AS bm2, b.d2 AS bd2, b.items AS bitems, b.shop AS bshop FROM e a JOIN e b ON a.rig = b.rig AND a.episode = b.episode AND b.ord <= a.ord),
+v AS (SELECT ord, arg_max(bm2, n * 1000 + bm2) AS vm2 FROM (SELECT ord, bm2, count(*) AS n FROM j GROUP BY ALL) GROUP BY ord),
+g AS (SELECT ord, max(bd2) AS vd2, max(bitems) AS items, count(*) AS merged_from, bool_or(bshop) AS shop FROM j GROUP BY ord),
+said AS (SELECT e.rig, e.ord, e.ts_ms, e.k, e.nth, e.settled, pay, CASE WHEN total THEN vm2 ELSE m1 + vm2 END AS minutes, CASE WHEN total THEN vd2 ELSE d1 + coalesce(vd2, 0) END AS miles,
+  g.items, CASE WHEN total THEN 1 ELSE 2 END AS legs, g.merged_from, e.episode, total AS has_total, CASE WHEN g.shop THEN true END AS shop
+  FROM e JOIN v USING (ord) JOIN g USING (ord))"""
+MERGED_SQL = f"""WITH {_SAID} SELECT rig, ord, pay, minutes, miles, items, legs, merged_from, episode, has_total, shop FROM said
+UNION ALL SELECT rig, ord, pay, CASE WHEN total THEN m2 ELSE m1 + m2 END, CASE WHEN total THEN d2 ELSE d1 + coalesce(d2, 0) END, items, CASE WHEN total THEN 1 ELSE 2 END, 0, NULL, NULL, shop
+FROM {FRAMES} WHERE pay IS NULL"""
+#: An offer's identity: the pay of its first believable reading; what can't be believed neither ends nor begins it.
+JOURNAL_SQL = f"""WITH {_SAID},
+o AS (SELECT *, pay NOT BETWEEN 1 AND 300 OR minutes NOT BETWEEN 2 AND 240 OR (miles >= 1 AND miles * 60 / minutes > 75) AS odd FROM said),
+i AS (SELECT *, first_value(ts_ms) OVER k || '-' || round_even(first_value(pay) OVER k * 100, 0)::BIGINT AS offer_id, first_value(ts_ms) OVER k AS first_ms FROM o WINDOW k AS (PARTITION BY rig, k ORDER BY ord)),
+c AS (SELECT *, lag(ord) OVER w IS NOT NULL AND pay = lag(pay) OVER w AND minutes = lag(minutes) OVER w AND miles IS NOT DISTINCT FROM lag(miles) OVER w AND items IS NOT DISTINCT FROM lag(items) OVER w
+  AND shop IS NOT DISTINCT FROM lag(shop) OVER w AND legs = lag(legs) OVER w AS same FROM i WINDOW w AS (PARTITION BY rig, k ORDER BY ord))
+SELECT rig, ord, offer_id, row_number() OVER (PARTITION BY rig, offer_id ORDER BY ord) AS seq, first_ms, settled, pay, minutes, miles FROM c WHERE NOT same OR settled"""
 
 
 def _folder(spark) -> str:
@@ -39,24 +78,32 @@ def drain(spark, rows: DataFrame, make, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out")
 
 
-@query()
+@query(MERGED_SQL)
 def stream_accumulate(spark, sf_dir):
-    return drain(spark, events(spark, sf_dir), jobs.merge_stream, "merge")
+    return _merged(drain(spark, events(spark, sf_dir), jobs.merge_stream, "merge"))
 
 
-@query()
+@query(JOURNAL_SQL)
 def stream_identity(spark, sf_dir):
-    return drain(spark, events(spark, sf_dir), lambda s: jobs.merge_stream(s, journal=True), "identity")
+    return _journal(drain(spark, events(spark, sf_dir), lambda s: jobs.merge_stream(s, journal=True), "identity"))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.select("rig", "ord", "pay", "minutes", "miles", "items", F.col("legs").cast("long").alias("legs"), F.col("merged_from").cast("long").alias("merged_from"), "episode", "has_total", "shop")
+
+
+def _journal(rows: DataFrame) -> DataFrame:
+    return rows.select("rig", "ord", "offer_id", F.col("seq").cast("long").alias("seq"), "first_ms", "settled", "pay", "minutes", "miles")
 
 
-@query()
+@query(MERGED_SQL)
 def batch_accumulate(spark, sf_dir):
-    return jobs.merge_batch(events(spark, sf_dir))
+    return _merged(jobs.merge_batch(events(spark, sf_dir)))
 
 
-@query()
+@query(JOURNAL_SQL)
 def batch_identity(spark, sf_dir):
-    return jobs.merge_batch(events(spark, sf_dir), journal=True)
+    return _journal(jobs.merge_batch(events(spark, sf_dir), journal=True))
 
 
 @query(f"SELECT DISTINCT CASE WHEN ord % 19 = 0 THEN NULL ELSE (ord // 2)::VARCHAR END AS sync_key FROM {fx.offers_sql()} WHERE ord % 19 <> 0")

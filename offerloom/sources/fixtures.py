@@ -60,11 +60,11 @@ def readings_sql() -> str:
 
 
 _MARKS = (
-    "SELECT event_id DIV 3 AS id, event_id AS ord, CASE WHEN event_type = 'purchase' THEN true WHEN event_id % 2 = 0 THEN false END AS accepted,"
+    "SELECT user_id % 4 AS rig, event_id DIV 3 AS id, event_id AS ord, CASE WHEN event_type = 'purchase' THEN true WHEN event_id % 2 = 0 THEN false END AS accepted,"
     " CASE WHEN event_type = 'error' THEN event_id % 4 <> 0 END AS hidden FROM {events} WHERE event_type IN ('purchase', 'error')"
 )
 _RULES = (
-    "SELECT event_id AS ord, (200 + ((event_id DIV 3) * 7919) % 2800) / 100.0{d} AS pay, CAST(5 + ((event_id DIV 3) * 31) % 40 AS DOUBLE) AS minutes,"
+    "SELECT user_id % 4 AS rig, event_id AS ord, (200 + ((event_id DIV 3) * 7919) % 2800) / 100.0{d} AS pay, CAST(5 + ((event_id DIV 3) * 31) % 40 AS DOUBLE) AS minutes,"
     " CASE WHEN event_id % 2 = 0 THEN (5 + ((event_id DIV 3) * 17) % 150) / 10.0{d} END AS miles, event_id % 5 <> 0 AS hidden FROM {events} WHERE event_id % 211 = 0"
 )
 

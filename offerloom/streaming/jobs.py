@@ -3,6 +3,7 @@
 Batches are dealt by rig, sorted, and folded row by row, so a rig's record streams through
 its task and is never held whole.  Streams keep each rig's state as JSON in the state store.
 Rows of one micro-batch are ordered by time and ``ord`` first; a later batch continues.
+After a restart without a checkpoint, each rig's last journal row says where it goes on.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from offerloom.streaming.merge import identity_step, merge_step, new_identity, new_merge
+from offerloom.streaming.merge import Card, Offer, from_json, identify, merge, resumed, to_json
 
 EVENT = ["rig", "ord", "ts_ms", "pay", "minutes", "miles", "items", "deliver_by", "legs", "leg_detail", "miles_corrected", "shop", "settled"]
 _NUMBERS = "pay double, minutes double, miles double, items double, deliver_by int, legs int"
@@ -23,6 +24,9 @@ MERGED = f"rig long, ord long, ts_ms long, {_NUMBERS}, merged_from int, episode
 JOURNAL = f"rig long, ord long, ts_ms long, offer_id string, seq int, first_ms long, settled boolean, {_NUMBERS}, shop boolean"
 
 
+LAST = ["ts_ms", "offer_id", "seq", "first_ms", "pay", "minutes", "miles", "items", "deliver_by", "shop", "legs"]
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -32,28 +36,41 @@ def _none(v):
 
 
 def _events(pdf: pd.DataFrame) -> Iterator[dict]:
-    for values in pdf[EVENT].itertuples(index=False, name=None):
-        e = dict(zip(EVENT, values))
-        legs = e.pop("leg_detail")
+    for values in pdf[[*EVENT, "last"]].itertuples(index=False, name=None):
+        e = dict(zip([*EVENT, "last"], values))
+        legs, last = e.pop("leg_detail"), e.pop("last")
         e = {k: _none(v) for k, v in e.items()}
         e["leg_detail"] = [{k: _none(v) for k, v in leg.items()} for leg in (legs if legs is not None else [])]
         for name in ("deliver_by", "legs"):
             e[name] = None if e[name] is None else int(e[name])
+        e["last"] = {k: _none(v) for k, v in dict(last).items()} if last is not None else None
         yield e
 
 
-def _advance(state: dict, e: dict, journal: bool) -> tuple[dict, dict | None]:
-    state["merge"], merged = merge_step(state["merge"], e)
+def _advance(state: tuple[Card, Offer], e: dict, journal: bool) -> tuple[tuple[Card, Offer], dict | None]:
+    card, offer = state
+    card, merged = merge(card, e)
     if not journal:
-        return state, merged
+        return (card, offer), merged
     if not merged["merged_from"] or not merged["complete"]:
-        return state, None
-    state["identity"], row = identity_step(state["identity"], merged)
-    return state, row
+        return (card, offer), None
+    offer, row = identify(offer, merged)
+    return (card, offer), row
+
+
+def _start(e: dict) -> tuple[Card, Offer]:
+    """A rig's state before its first reading ``e``."""
+    return Card(), resumed(e["last"], e["ts_ms"]) if e["last"] else Offer()
 
 
-def _start() -> dict:
-    return {"merge": new_merge(), "identity": new_identity()}
+def _with_last(readings: DataFrame, last: DataFrame | None) -> DataFrame:
+    """Readings with their rig's last journal row, of which there is one a rig at most."""
+    rows = readings.select(*EVENT)
+    kind = "struct<ts_ms:long,offer_id:string,seq:int,first_ms:long,pay:double,minutes:double,miles:double,items:double,deliver_by:int,shop:boolean,legs:int>"
+    if last is None:
+        return rows.withColumn("last", F.lit(None).cast(kind))
+    newest = last.groupBy("rig").agg(F.max_by(F.struct(*LAST), F.struct("ts_ms", "seq")).cast(kind).alias("last"))
+    return rows.join(newest, "rig", "left")
 
 
 def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
@@ -63,42 +80,42 @@ def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
     return pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names).astype({n: pd_kind[kinds[n]] for n in names})
 
 
-def merge_batch(readings: DataFrame, journal: bool = False) -> DataFrame:
-    """Merged readings (or journal rows) of a table of ``EVENT`` columns."""
+def merge_batch(readings: DataFrame, journal: bool = False, last: DataFrame | None = None) -> DataFrame:
+    """Merged readings (or journal rows) of a table of ``EVENT`` columns; ``last``: journal rows written before."""
     schema = JOURNAL if journal else MERGED
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rig, state = None, _start()
+        rig, state = None, None
         for pdf in batches:
             out = []
             for e in _events(pdf):
-                if e["rig"] != rig:
-                    rig, state = e["rig"], _start()
+                if state is None or e["rig"] != rig:
+                    rig, state = e["rig"], _start(e)
                 state, row = _advance(state, e, journal)
                 if row:
                     out.append(row)
             if out:
                 yield _frame(out, schema)
 
-    return readings.select(*EVENT).repartition("rig").sortWithinPartitions("rig", "ts_ms", "ord").mapInPandas(fold, schema)
+    return _with_last(readings, last).repartition("rig").sortWithinPartitions("rig", "ts_ms", "ord").mapInPandas(fold, schema)
 
 
-def merge_stream(readings: DataFrame, journal: bool = False) -> DataFrame:
-    """The same over a stream."""
+def merge_stream(readings: DataFrame, journal: bool = False, last: DataFrame | None = None) -> DataFrame:
+    """The same over a stream; bound a micro-batch by the source's ``maxFilesPerTrigger``."""
     schema = JOURNAL if journal else MERGED
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else _start()
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state = from_json(json.loads(held.get[0])) if held.exists else None
         out = []
         for e in _events(pd.concat(list(batches)).sort_values(["ts_ms", "ord"])):
-            held, row = _advance(held, e, journal)
+            state, row = _advance(state or _start(e), e, journal)
             if row:
                 out.append(row)
-        state.update((json.dumps(held),))
+        held.update((json.dumps(to_json(*state)),))
         if out:
             yield _frame(out, schema)
 
-    return readings.select(*EVENT).groupBy("rig").applyInPandasWithState(fold, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return _with_last(readings, last).groupBy("rig").applyInPandasWithState(fold, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def dedupe_stream(rows: DataFrame, key: str = "sync_key") -> DataFrame:

@@ -25,14 +25,16 @@ def test_vote(spark):
 
 def test_marks_and_rules(spark):
     rows = spark.createDataFrame([reading("a", 1, 7.5, miles=None), reading("b", 2, 7.5), reading("c", 3, 8.0)], READING)
-    rules = spark.createDataFrame([(1, 7.5, 10.0, None, True), (2, 7.5, 10.0, 2.0, True), (3, 7.5, 10.0, 2.0, False), (4, 7.5, 10.0, 2.0, None), (5, 8.0, 10.0, 2.0, True)], "ord long, pay double, minutes double, miles double, hidden boolean")
-    marks = spark.createDataFrame([("c", 1, True, False), ("c", 2, None, None), ("b", 3, True, None), (None, 4, True, True)], "id string, ord long, accepted boolean, hidden boolean")
+    rules = spark.createDataFrame([(1, 7.5, 10.0, None, True), (2, 7.5, 10.0, 2.0, True), (3, 7.5, 10.0, 2.0, False), (4, 7.5, 10.0, 2.0, None), (5, 8.0, 10.0, 2.0, True)], "ord long, pay double, minutes double, miles double, hidden boolean").withColumn("rig", F.lit(0).cast("long"))
+    marks = spark.createDataFrame([("c", 1, True, False), ("c", 2, None, None), ("b", 3, True, None), (None, 4, True, True)], "id string, ord long, accepted boolean, hidden boolean").withColumn("rig", F.lit(0).cast("long"))
     got = {r.id: (r.hidden, r.accepted) for r in journal.latest(rows, marks, rules).collect()}
     assert got == {"a": (True, None), "b": (False, True), "c": (False, True)}
+    other = journal.latest(rows, marks.withColumn("rig", F.lit(1)), rules.withColumn("rig", F.lit(1)))
+    assert {r.id: (r.hidden, r.accepted) for r in other.collect()} == {"a": (None, None), "b": (None, None), "c": (None, None)}
 
 
 def test_window_tail_counts(spark):
-    rows = journal.latest(spark.createDataFrame([reading(str(i), i, 5.0 + i, hidden=i % 4 == 0) for i in range(10)], READING), *(spark.createDataFrame([], s) for s in ("id string, ord long, accepted boolean, hidden boolean", "ord long, pay double, minutes double, miles double, hidden boolean")))
+    rows = journal.latest(spark.createDataFrame([reading(str(i), i, 5.0 + i, hidden=i % 4 == 0) for i in range(10)], READING), *(spark.createDataFrame([], s) for s in ("rig long, id string, ord long, accepted boolean, hidden boolean", "rig long, ord long, pay double, minutes double, miles double, hidden boolean").withColumn("rig", F.lit(0).cast("long"))))
     inside = journal.window(rows, F.lit(1003))
     assert journal.hidden_counts(inside, ["rig"]).first()[1:] == (7, 2, 5)
     assert sorted(r.ord for r in journal.tail(journal.visible(inside), 3).collect()) == [6, 7, 9] and journal.tail(inside, 0).count() == 7
@@ -41,7 +43,7 @@ def test_window_tail_counts(spark):
 def test_csv_cells(spark):
     df = spark.createDataFrame([(1, 2.0, None, True, ["a", 'b "c"'], 'say "hi"', 9e18), (2, 2.5, "x", None, None, None, 0.0)], "a long, b double, c string, d boolean, e array<string>, g string, far double").withColumn("seen_ms", F.col("far").cast("long"))
     lines = [r.line for r in journal.csv_lines(df, ["a", "b", "c", "d", "e", "g"]).orderBy("a").collect()]
-    assert lines == ['1,2,,1,"a; b ""c""","say ""hi""",', '2,2.5,"x",,,,1970-01-01T00:00:00.000Z']
+    assert lines == ['1,2,,1,"a; b ""c""","say ""hi""",""', '2,2.5,"x",,,,"1970-01-01T00:00:00.000Z"']
 
 
 def test_damaged_lines(spark, tmp_path):

@@ -2,7 +2,10 @@ import pytest
 
 from offerloom.plans import stream_plans
 from offerloom.streaming import jobs
-from offerloom.streaming.merge import consensus, identity_step, merge_step, new_identity, new_merge, resumed
+from offerloom.streaming.merge import Card, Offer, from_json, identify, merge, resumed, to_json, vote, winner
+
+
+READING = "rig long, ord long, ts_ms long, pay double, minutes double, miles double, items double, deliver_by int, legs int, leg_detail array<struct<minutes:double,miles:double,is_total:boolean>>, miles_corrected boolean, shop boolean, settled boolean"
 
 
 def event(ts, pay=10.0, legs=((20.0, 5.0, False),), **more):
@@ -12,9 +15,9 @@ def event(ts, pay=10.0, legs=((20.0, 5.0, False),), **more):
 
 
 def run(events):
-    state, out = new_merge(), []
+    state, out = Card(), []
     for e in events:
-        state, row = merge_step(state, e)
+        state, row = merge(from_json(to_json(state, Offer()))[0], e)
         out.append(row)
     return out
 
@@ -23,7 +26,13 @@ def test_lost_legs_and_votes():
     two = ((4.0, 1.0, False), (18.0, 6.5, False))
     rows = run([event(0, legs=two), event(1000, legs=two[1:]), event(2000, legs=((4.0, 1.0, False), (18.0, 65.0, False))), event(3000, legs=two)])
     assert [r["minutes"] for r in rows] == [22, 22, 22, 22] and rows[1]["grew"] and rows[3]["miles"] == 7.5 and rows[3]["merged_from"] == 4
-    assert consensus([3, 23, 3, 23]) == 23 and consensus([]) == 0
+    votes = []
+    for v in (3, 23, 3, None, 23):
+        votes = vote(votes, v)
+    assert winner(votes) == 23 and winner([]) == 0
+    # a leg of no minutes is a leg; a card without any has none
+    assert run([event(0, legs=((0.0, 1.0, False), (18.0, 6.5, False)))])[0]["legs"] == 2
+    assert run([event(0, legs=(), legs_=0, minutes=9.0)])[0]["legs"] == 0
 
 
 def test_windows_and_new_cards():
@@ -39,10 +48,10 @@ def test_windows_and_new_cards():
 
 
 def journal(events, state=None):
-    merge, state, out = new_merge(), state or new_identity(), []
+    card, state, out = Card(), state or Offer(), []
     for e in events:
-        merge, m = merge_step(merge, e)
-        state, row = identity_step(state, m)
+        card, m = merge(card, e)
+        state, row = identify(state, m)
         if row:
             out.append(row)
     return out
@@ -57,8 +66,20 @@ def test_identity():
     assert [r["offer_id"] for r in journal([event(0), event(5_000, pay=12.0)])] == ["0-1000", "5000-1200"]
 
 
-def test_restart():
+def test_settled_once_more_for_each_content():
+    rows = journal([event(0, settled=True), event(1000, settled=True), event(2000, settled=True), event(3000, items=2.0), event(4000, items=2.0, settled=True)])
+    assert [(r["seq"], r["settled"]) for r in rows] == [(1, True), (2, True), (3, False), (4, True)]
+
+
+def test_restart(spark):
     last = journal([event(0)])[-1]
+    rows = spark.createDataFrame([{k: e[k] for k in jobs.EVENT} for e in (event(80_000), event(81_000, settled=True), event(400_000))], READING)
+    written = spark.createDataFrame([{k: last[k] for k in ["rig", *jobs.LAST]}], "rig long, ts_ms long, offer_id string, seq int, first_ms long, pay double, minutes double, miles double, items double, deliver_by int, shop boolean, legs int")
+    ids = lambda df: [(r.offer_id, r.seq, r.settled) for r in df.orderBy("ts_ms").collect()]
+    assert ids(jobs.merge_batch(rows, journal=True, last=written)) == [("0-1000", 2, True), ("400000-1000", 1, False)]
+    assert ids(jobs.merge_batch(rows, journal=True))[0] == ("80000-1000", 1, False)
+    streamed = stream_plans.drain(spark, rows, lambda s: jobs.merge_stream(s, journal=True, last=written), "resume")
+    assert ids(streamed) == [("0-1000", 2, True), ("400000-1000", 1, False)]
     assert journal([event(80_000)], resumed(last, 80_000)) == []
     assert journal([event(95_000)], resumed(last, 95_000))[0]["offer_id"] == "95000-1000"
 
