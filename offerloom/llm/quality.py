@@ -16,7 +16,8 @@ pieces that end at white space, so that no feature is lost and memory stays boun
 
 Null and empty texts, and texts without words, get the bias alone.  Without labels of both
 kinds all scores are the share of label 1 (0.5 if there are none).  Labels that are null,
-neither 0 nor 1, or contradict each other for a doc_id are not used.
+neither 0 nor 1, or contradict each other for a doc_id are not used.  Repeated rows each get
+their score; an empty table gives an empty result, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -126,14 +127,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def train(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Model:
-    """SGD over ``steps`` documents, the two labels in turn, each label's rows in shuffled passes."""
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct buckets, and the share of its features in each."""
+    ids, counts = np.empty(0, np.int32), np.empty(0, np.int64)
+    for _, some in chunks([text]):  # a long text piece by piece
+        for _, bucket in features(some):
+            new, n = np.unique(np.concatenate([ids, bucket]), return_inverse=True)
+            counts = np.bincount(n, np.concatenate([counts, np.ones(len(bucket))]), len(new)).astype(np.int64)
+            ids = new
+    return ids, (counts / max(1, counts.sum())).astype(np.float32)
+
+
+def text_shares(text: Column) -> Column:
+    kinds = {"ids": pa.list_(pa.int32()), "weights": pa.list_(pa.float32())}
+
+    @F.arrow_udf("ids array<int>, weights array<float>")
+    def shares_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [shares(t) for some in text_slices(texts) for t in some]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+    return shares_of(text)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = STEPS, rate: float = RATE, seed: int = 7) -> Model:
+    """SGD over ``steps`` documents (their ``shares``), the two labels in turn, each label's rows in shuffled passes."""
     rng = np.random.default_rng(seed)
-    rows = []
-    for t in texts:
-        found = [b for _, some in chunks([t]) for _, b in features(some)]
-        ids, counts = np.unique(np.concatenate(found) if found else np.empty(0, np.int32), return_counts=True)
-        rows.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((2, DIM), np.float32)
     bias = np.zeros(2, np.float32)
@@ -164,15 +183,16 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: int = 400_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
     """Learn from at most ``per_class`` documents of each label outside fold 0.
 
-    They are chosen among those that have a text of at most ``max_chars``; a doc_id teaches
-    one text, the least of these.
+    They are chosen among those that have a text, of any length; a doc_id teaches one text, the
+    least it has.  Tasks count the features; the driver gets these, ``BUCKETS`` numbers a
+    document at most, and no text.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(fold() != 0)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("quality")).where("low = quality")
-    texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
     able = materialise(known.join(texts.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     counts = dict(known.groupBy("quality").count().collect())
@@ -181,10 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, max_chars: in
     if len(counts) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0 if not counts else (40.0 if share else -40.0))
     chosen = some[0].union(some[1])  # at most 2 * per_class rows, so it may be broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "quality", text_shares(F.col("text")).alias("s")).select("doc_id", "quality", "s.*").toPandas().sort_values("doc_id")
     if rows["quality"].nunique() < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    return train(rows["text"].tolist(), rows["quality"].astype(int).tolist())
+    return train([(np.asarray(i, np.int32), np.asarray(w, np.float32)) for i, w in zip(rows["ids"], rows["weights"])], rows["quality"].astype(int).tolist())
 
 
 def quality_score(text: Column, model: Model) -> Column:

@@ -16,7 +16,9 @@ two pages, unless an edge joins them.  Keys such as ``utm_source`` don't count,
 only query is a spelling of the path.
 
 Null urls and urls without ``://`` have an empty host and path, no rule and no aliases.
-Repeated pages each keep their row.  Everything is DataFrame expressions.
+Repeated pages each keep their row; of rules equally long that fit, one that allows wins.  Very
+long urls and html are read whole.  An empty table gives an empty result, and columns beside
+``page_id``, ``url`` and ``html`` are not looked at.  Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Most rules that one literal map should hold.
+#: Most rules that one literal map should hold; more are joined as a table.
 MOST_RULES = 20_000
 
 
@@ -54,20 +56,38 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
     Rules stand in a literal map by host; a url looks up its host's suffixes.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
     if not rules:
         return F.lit(None).cast("struct<length:int,allow:boolean,rule:string,verdict:string>")
     by_host: dict[str, list] = {}
     for verdict, h, p in rules:
         by_host.setdefault(h, []).append(F.struct(F.lit(len(h + p)).alias("length"), F.lit(verdict == "allow").alias("allow"), F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"), F.lit(p).alias("path")))
     table = F.create_map(*(x for h, found in by_host.items() for x in (F.lit(h), F.array(*found))))
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    found = F.flatten(F.filter(F.transform(suffixes, lambda s: F.element_at(table, s)), lambda x: x.isNotNull()))
+    found = F.flatten(F.filter(F.transform(suffixes(host), lambda s: F.element_at(table, s)), lambda x: x.isNotNull()))
     return F.array_max(F.filter(found, lambda r: F.startswith(path, r["path"])))
 
 
+def suffixes(host: Column) -> Column:
+    """A host and the domains it lies in."""
+    labels = F.split(host, r"\.", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def with_rule(rows: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``rows(host, path)`` with ``r``, the rule that fits.
+
+    Beyond ``MOST_RULES`` each distinct host and path meets the rules in a join on the host's
+    suffixes, so neither side is bounded; the result is the same.
+    """
+    if len(rules) <= MOST_RULES:
+        return rows.withColumn("r", matched_rule(F.col("host"), F.col("path"), rules))
+    table = rows.sparkSession.createDataFrame(list(rules), "verdict string, rule_host string, rule_path string")
+    places = rows.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes(F.col("host"))))
+    told = F.struct((F.length("rule_host") + F.length("rule_path")).alias("length"), (F.col("verdict") == "allow").alias("allow"), F.concat("rule_host", "rule_path").alias("rule"), "verdict", F.col("rule_path").alias("path"))
+    met = places.join(table, "rule_host").where(F.startswith(F.col("path"), F.col("rule_path")))
+    best = met.select("host", "path", told.alias("r")).groupBy("host", "path").agg(F.max("r").alias("r"))
+    return rows.join(best, ["host", "path"], "left")
+
+
 def plain_form(host: Column, path: Column) -> Column:
     bare = F.regexp_replace(host, r"^(?:www|m)\.", "")
     return F.concat(bare, F.lit("/"), F.regexp_replace(F.regexp_replace(F.ltrim(path, F.lit("/")), r"\.html?$", ""), r"/+$", ""))
@@ -122,7 +142,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         links = links.unionByName(edges.select("src", "dst"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), node_of(F.col("url")).alias("node"))
-    judged = judged.withColumn("r", matched_rule(F.col("host"), F.col("path"), rules))
+    judged = with_rule(judged, rules)
     judged = judged.withColumn("plain", F.when(F.col("host") != "", plain_form(F.col("host"), F.col("path")))).withColumn("node", F.when(F.col("host") != "", F.col("node")))
     judged = materialise(judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("own"), "plain", "node"))
     # decisions by plain form first: only these few rows meet the classes

@@ -1,5 +1,8 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
+from offerloom.llm import fingerprints as fp
 from offerloom.llm.fingerprints import fingerprint_report
 
 from .helpers import awkward, by_id, docs
@@ -38,3 +41,26 @@ def test_no_python_in_the_plan_and_empty_table(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert fingerprint_report(docs(spark, [])).count() == 0
     assert fingerprint_report(docs(spark, [(1, "only one here", "en", "s", 3)])).first().near_next == 1.0
+
+
+def plain_digits(hashes):
+    """One bin after the other: its least hash; an empty one's is that of the first bin in its order that has one."""
+    least = {}
+    for h in hashes:
+        b = (h >> (64 - fp.BIN_BITS)) + fp.BINS // 2
+        least[b] = min(h, least.get(b, h))
+    orders = fp._orders(fp.BINS)
+    pick = lambda b: least[b] if b in least else next((least[o] for o in orders[b][: fp.PROBES] if o in least), None)
+    found = [pick(b) for b in range(fp.BINS)]
+    return "".join("0123456789abcdef"[h % 16] if h is not None else "?" for h in found) if least else "", found.count(None)
+
+
+def test_digits_equal_a_plain_loop(spark):
+    texts = [t or "" for _, t, *_ in awkward()] + ["a b c d e f g h", " ".join(f"w{i}" for i in range(60))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fp.fingerprint(F.col("t")).alias("f"), fp.shingle_hashes(F.col("t")).alias("h")).collect()
+    for r in rows:
+        want, beyond = plain_digits(r.h)
+        assert len(want) == len(r.f) and all(a in (b, "?") for a, b in zip(want, r.f)), r.t[:40]
+        assert beyond == 0 or len(set(r.h)) < 2 * fp.BINS
+        if len(set(r.h)) == 1:
+            assert len(set(r.f)) == 1

@@ -42,9 +42,41 @@ def test_long_texts_are_scored_in_pieces():
 
 def test_sample_is_full_and_has_one_text_of_a_document(spark, monkeypatch):
     taught = []
-    monkeypatch.setattr(quality, "train", lambda texts, labels: taught.append((texts, labels)))
-    rows = [(i, "x" * 200 if i % 2 else None if i % 3 == 0 else f"{c} {i}") for i in range(200) for c in "ba"]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    quality.fit(d, spark.createDataFrame([(i, i // 2 % 2) for i in range(200)], "doc_id long, quality int"), per_class=10, max_chars=100)
-    texts, labels = taught[0]
-    assert sorted(labels) == [0] * 10 + [1] * 10 and len(set(texts)) == 20 and all(t.startswith("a ") for t in texts)
+    monkeypatch.setattr(quality, "train", lambda rows, labels: taught.append((rows, labels)))
+    texts = {i: [None] if i % 3 == 0 else ["b" * 600_000, f"a {i}"] if i % 2 else [f"c {i} " * 200_000] for i in range(60)}
+    d = spark.createDataFrame([(i, t) for i, some in texts.items() for t in some], "doc_id long, text string")
+    quality.fit(d, spark.createDataFrame([(i, i // 2 % 2) for i in range(60)], "doc_id long, quality int"), per_class=10)
+    rows, labels = taught[0]
+    assert sorted(labels) == [0] * 10 + [1] * 10
+    known = [quality.shares(min(t for t in some if t)) for some in texts.values() if some != [None]]
+    assert all(any(len(ids) == len(k) and (ids == k).all() and (w == v).all() for k, v in known) for ids, w in rows)
+
+
+def plain_scores(texts, vectors, out, bias):
+    """The average of a text's feature vectors, and a softmax over the outputs; features one by one."""
+    found = []
+    for t in texts:
+        buckets = [b for _, bucket in quality.features([t]) for b in bucket.tolist()] if t else []
+        mean = sum((vectors[b].astype(float) for b in buckets), quality.np.zeros(vectors.shape[1])) / max(1, len(buckets))
+        z = out.astype(float) @ mean + bias
+        e = quality.np.exp(z - z.max())
+        found.append(float(e[1] / e.sum()))
+    return found
+
+
+def test_scores_equal_average_and_softmax():
+    np = quality.np
+    rng = np.random.default_rng(3)
+    vectors, out, bias = rng.normal(size=(quality.BUCKETS, quality.DIM)), rng.normal(size=(2, quality.DIM)), rng.normal(size=2)
+    model = quality.Model(vectors @ (out[1] - out[0]), float(bias[1] - bias[0]))
+    texts = [t or "" for _, t, *_ in awkward()]
+    assert np.allclose(model.scores(texts), plain_scores(texts, vectors, out, bias), atol=1e-9)
+
+
+def test_features_are_words_repeats_and_inner_grams():
+    """Equal features share a bucket, others don't (but for rare collisions)."""
+    bag = lambda t: sorted(b for _, bucket in quality.features([t]) for b in bucket.tolist())
+    assert bag("ab cd") == bag(" ab\t cd\n") != bag("cd ab e")
+    n = lambda t: sum(len(b) for _, b in quality.features([t]))
+    # a word, its repeat mark, and of " ab " the n-grams of 2 to 4 code points with the boundary at an end only
+    assert n("ab") == 2 + 3 + 2 + 1 and n("ab ab") == 2 * n("ab")

@@ -81,3 +81,13 @@ def test_queries_of_a_path_are_pages_of_their_own(spark):
     rows += [(7, "http://one.org/p", link("http://host.org/go?u=1&utm_source=x")), (8, "http://two.org/p", link("http://host.org/go?u=3")), (9, "http://three.org/p", link("http://host.org/go?u=4"))]
     found = {i: r.verdict for i, r in by_id(filter_urls(table(spark, rows)), "page_id").items()}
     assert {i for i, v in found.items() if v == "block"} == {1, 2, 7}
+
+
+def test_more_rules_than_a_map_holds(spark, monkeypatch):
+    from offerloom.llm import url_filter
+
+    rules = [*RULES, ("block", "x.com", "/a"), ("allow", "x.com", "/ab"), ("allow", "tie.org", "/p"), ("block", "tie.org", "/p")]
+    rows = table(spark, [(i, u, None) for i, u in enumerate(["http://x.com/a", "http://y.x.com/abc", "http://tie.org/pq", "http://m.net/es/", "http://q.org/", None, "http://www.example.com/en/1"])])
+    few = sorted(map(str, filter_urls(rows, rules).collect()))
+    monkeypatch.setattr(url_filter, "MOST_RULES", 3)
+    assert sorted(map(str, filter_urls(rows, rules).collect())) == few
