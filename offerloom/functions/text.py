@@ -79,10 +79,15 @@ def find_pay(text: Column) -> Column:
     return F.array_max(F.filter(F.transform(found, to_number), lambda v: (v > 0) & (v < MOST_PAY)))
 
 
-def leg_matches(text: Column) -> Column:
-    """Every leg-like match: ``minutes, miles, had_decimal, is_total, corrected, kept, match``."""
-    ahead = LEG + "(?=(.{0,14}))"
-    parts = F.arrays_zip(*(_all(text, ahead, g).alias(n) for g, n in ((1, "hours"), (2, "mins"), (3, "dist"), (4, "ahead"))))
+def leg_matches(whole: Column, gaps: Column) -> Column:
+    """Every leg-like match (``whole``, between the texts ``gaps``): ``minutes, miles, had_decimal, is_total, corrected, kept``.
+
+    The pattern has run over the text once; its parts are taken from the short matches.
+    """
+    # 14 characters hold four matches at most
+    pieces = lambda i: (F.coalesce(F.get(x, i + k), F.lit("")) for k in range(1, 5) for x in (gaps, whole))
+    following = lambda i: F.substring(F.concat(*pieces(i)), 1, 14)
+    parts = F.transform(whole, lambda m, i: F.struct(*(F.regexp_extract(m, LEG, g).alias(n) for g, n in ((1, "hours"), (2, "mins"), (3, "dist"))), following(i).alias("ahead")))
 
     def leg(m: Column) -> Column:
         mins = to_number(m["mins"])
@@ -100,9 +105,18 @@ def leg_matches(text: Column) -> Column:
     return F.transform(parts, leg)
 
 
+def cut(text: Column) -> tuple[Column, Column]:
+    """The text's leg-like matches and the texts between them."""
+    return _all(text, LEG, 0), F.split(text, LEG, -1)
+
+
 def find_legs(text: Column) -> Column:
     """``array<struct<minutes,miles,had_decimal,is_total,corrected>>`` in the order of the text."""
-    kept = F.filter(leg_matches(text), lambda x: x["kept"])
+    return kept_legs(leg_matches(*cut(text)))
+
+
+def kept_legs(matches: Column) -> Column:
+    kept = F.filter(matches, lambda x: x["kept"])
     names = ("minutes", "miles", "had_decimal", "is_total", "corrected")
     return F.transform(kept, lambda x: F.struct(*(x[n].alias(n) for n in names)))
 
@@ -119,7 +133,8 @@ def lone_miles(text: Column) -> Column:
 
 def find_deadline(text: Column) -> Column:
     """Minutes after midnight of "Deliver by h:mm AM/PM"."""
-    hour, minute, half = (_first(text, DELIVER_BY, g) for g in (1, 2, 3))
+    found = _first(text, DELIVER_BY, 0)
+    hour, minute, half = (F.nullif(F.regexp_extract(found, DELIVER_BY, g), F.lit("")) for g in (1, 2, 3))
     hour, minute = hour.cast("int"), minute.cast("int")
     at = hour % 12 * 60 + minute + F.when(F.lower(half) == "p", 720).otherwise(0)
     return F.when((hour >= 1) & (hour <= 12) & (minute <= 59), at)
@@ -136,8 +151,11 @@ def _strip(value: Column, more: str = "") -> Column:
 
 def find_places(text: Column) -> Column:
     """Up to four places the card names: behind "Pickup", behind the deadline, and behind each leg."""
-    matches = leg_matches(text)
-    whole, gaps = _all(text, LEG, 0), F.split(text, LEG, -1)
+    whole, gaps = cut(text)
+    return named_places(text, leg_matches(whole, gaps), whole, gaps)
+
+
+def named_places(text: Column, matches: Column, whole: Column, gaps: Column) -> Column:
 
     # text between a kept leg and the next kept one; a match that isn't kept is text like any other
     def grow(tails: Column, i: Column) -> Column:
@@ -172,7 +190,10 @@ def parse(df, text: str = "text"):
     """
     df = df.withColumn(text, normalize(F.col(text)))
     t = F.col(text)
-    df = df.withColumn("_legs", find_legs(t))
+    whole, gaps = cut(t)
+    df = df.withColumns({"_whole": whole, "_gaps": gaps})
+    df = df.withColumn("_matches", leg_matches(F.col("_whole"), F.col("_gaps"))).withColumn("_legs", kept_legs(F.col("_matches")))
+    places = named_places(t, F.col("_matches"), F.col("_whole"), F.col("_gaps"))
     totals = F.filter("_legs", lambda x: x["is_total"])
     df = df.withColumn("_used", F.when(F.size(totals) > 0, totals).otherwise(F.col("_legs")))
     far = F.filter("_used", lambda x: x["miles"].isNotNull())
@@ -180,11 +201,11 @@ def parse(df, text: str = "text"):
     df = df.withColumn("_miles", round2(_sum(F.transform("_far", lambda x: x["miles"]))))
     df = df.withColumn("_dist", check_distance(F.col("_minutes"), F.col("_miles"), F.exists("_far", lambda x: x["had_decimal"])))
     alone = F.when(F.size("_used") == 0, lone_miles(t))
-    df = df.withColumns({"pay": find_pay(t), "minutes": F.col("_minutes"), "miles": F.coalesce("_dist.miles", alone), "deliver_by": find_deadline(t), "places": find_places(t), "items": find_items(t), "shop": find_shop(t)})
+    df = df.withColumns({"pay": find_pay(t), "minutes": F.col("_minutes"), "miles": F.coalesce("_dist.miles", alone), "deliver_by": find_deadline(t), "places": places, "items": find_items(t), "shop": find_shop(t)})
     return df.withColumns({
         "leg_detail": F.transform("_used", lambda x: F.struct(x["minutes"].alias("minutes"), x["miles"].alias("miles"), x["is_total"].alias("is_total"))),
         "legs": F.size("_used"),
         "miles_corrected": F.col("_dist.corrected") | F.exists("_far", lambda x: x["corrected"]),
         "miles_uncertain": F.col("_dist.uncertain"),
         "complete": is_complete(F.col("pay"), F.col("minutes"), F.col("deliver_by")),
-    }).drop("_legs", "_used", "_minutes", "_far", "_miles", "_dist")
+    }).drop("_whole", "_gaps", "_matches", "_legs", "_used", "_minutes", "_far", "_miles", "_dist")

@@ -164,7 +164,7 @@ def resample(rows: DataFrame, by: list[str], reach_ms: int = 4000) -> DataFrame:
 def tsv_words(lines: DataFrame, line: str = "line") -> DataFrame:
     """Words of an OCR engine's tab-separated report: place and text; lines that aren't a word go."""
     cells = F.split(line, "\t", -1)
-    whole = lambda i: F.get(cells, i).try_cast("int")
+    whole = lambda i: F.get(cells, i).try_cast("long")
     names = ("level", "page_num", "block", "par", "line_num", "nth", "left", "top", "width", "height")
     rest = [c for c in lines.columns if c != line]
     words = lines.select(*rest, *(whole(i).alias(n) for i, n in enumerate(names)), F.get(cells, 10).try_cast("double").alias("conf"), F.trim(F.get(cells, 11)).alias("text"))

@@ -49,8 +49,8 @@ def doubt_reason(spark, sf_dir):
     (SELECT unnest([15.0, 20.0, 25.0, 30.0])::DOUBLE AS target) t, (SELECT unnest([0.0, 0.3, 0.67])::DOUBLE AS cost_per_mile) c)) GROUP BY ALL""")
 def rate_settings_sweep(spark, sf_dir):
     """Every offer under each of a few settings, which are a small table of fixed size."""
-    settings = spark.createDataFrame([(t, c) for t in (15.0, 20.0, 25.0, 30.0) for c in (0.0, 0.3, 0.67)], "target double, cost_per_mile double")
-    o = fx.offers(spark, sf_dir).withColumn("s", F.explode(F.array(*(F.struct(F.lit(r.target).alias("target"), F.lit(r.cost_per_mile).alias("cost_per_mile")) for r in settings.collect()))))
+    settings = [F.struct(F.lit(t).alias("target"), F.lit(c).alias("cost_per_mile")) for t in (15.0, 20.0, 25.0, 30.0) for c in (0.0, 0.3, 0.67)]
+    o = fx.offers(spark, sf_dir).withColumn("s", F.explode(F.array(*settings)))
     r = rating.rate(F.col("pay"), F.col("minutes"), F.col("miles"), target=F.col("s.target"), cost_per_mile=F.col("s.cost_per_mile"))
     return o.select(F.col("s.target").alias("target"), F.col("s.cost_per_mile").alias("cost_per_mile"), r["state"].alias("state")).groupBy("target", "cost_per_mile", "state").agg(F.count("*").alias("offers"))
 
@@ -82,6 +82,12 @@ def round2(spark, sf_dir):
 CARDS = fx.card_numbers_sql()
 
 
+def cards(spark, sf_dir):
+    """Card texts, dealt over all cores if the scan has fewer parts: reading a card costs more than moving it."""
+    c, cores = fx.cards(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return c if c.rdd.getNumPartitions() >= cores else c.repartition(cores, "ord")
+
+
 @query(f"SELECT ord, CASE WHEN kind = 2 THEN hr % 12 * 60 + mi + 720 END AS deadline FROM {CARDS}")
 def deadline_minutes(spark, sf_dir):
     return fx.cards(spark, sf_dir).select("ord", text.find_deadline(F.col("text")).cast("long").alias("deadline"))
@@ -120,7 +126,7 @@ def card_items(spark, sf_dir):
 @query(f"""SELECT ord, 0 AS nth, (CASE WHEN kind = 1 THEN m2 ELSE m1 END)::DOUBLE AS minutes, (CASE WHEN kind = 1 THEN d2 ELSE d1 END) + 0.5::DOUBLE AS miles, kind <> 0 AS is_total FROM {CARDS} WHERE kind <> 2
   UNION ALL SELECT ord, 1, m2::DOUBLE, d2 + 0.5::DOUBLE, false FROM {CARDS} WHERE kind = 0""")
 def card_legs(spark, sf_dir):
-    c = fx.cards(spark, sf_dir).select("ord", F.posexplode(text.find_legs(F.col("text"))).alias("nth", "leg"))
+    c = cards(spark, sf_dir).select("ord", F.posexplode(text.find_legs(F.col("text"))).alias("nth", "leg"))
     return c.select("ord", "nth", "leg.minutes", "leg.miles", "leg.is_total")
 
 
@@ -129,11 +135,11 @@ def card_legs(spark, sf_dir):
   CASE WHEN kind = 3 THEN true END AS shop, true AS complete, true AS whole
   FROM (SELECT *, (CASE kind WHEN 0 THEN d1 + d2 + 1.0::DOUBLE WHEN 3 THEN d1 + 0.5::DOUBLE ELSE d2 + 0.5::DOUBLE END) AS m, CASE kind WHEN 0 THEN m1 + m2 WHEN 1 THEN m2 ELSE m1 END AS t FROM {CARDS})""")
 def card_parse(spark, sf_dir):
-    p = text.parse(fx.cards(spark, sf_dir).select("ord", "text"))
+    p = text.parse(cards(spark, sf_dir).select("ord", "text"))
     whole = rating.is_whole(F.col("complete"), F.lit(False), F.col("leg_detail"), F.col("legs"), F.col("deliver_by"), F.col("miles"))
     return p.select("ord", "pay", "minutes", "miles", "legs", "miles_uncertain", "shop", "complete", whole.alias("whole"))
 
 
 @query(f"SELECT ord, CASE WHEN kind = 2 THEN 'Corner Bakery' ELSE '' END AS places FROM {CARDS}")
 def card_places(spark, sf_dir):
-    return fx.cards(spark, sf_dir).select("ord", F.array_join(text.find_places(F.col("text")), "|").alias("places"))
+    return cards(spark, sf_dir).select("ord", F.array_join(text.find_places(F.col("text")), "|").alias("places"))

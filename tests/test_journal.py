@@ -34,12 +34,34 @@ def test_marks_and_rules(spark):
 
 
 def test_window_tail_counts(spark):
-    rows = journal.latest(spark.createDataFrame([reading(str(i), i, 5.0 + i, hidden=i % 4 == 0) for i in range(10)], READING), *(spark.createDataFrame([], s) for s in ("rig long, id string, ord long, accepted boolean, hidden boolean", "rig long, ord long, pay double, minutes double, miles double, hidden boolean").withColumn("rig", F.lit(0).cast("long"))))
+    rows = journal.latest(spark.createDataFrame([reading(str(i), i, 5.0 + i, hidden=i % 4 == 0) for i in range(10)], READING), *(spark.createDataFrame([], s) for s in ("rig long, id string, ord long, accepted boolean, hidden boolean", "rig long, ord long, pay double, minutes double, miles double, hidden boolean")))
     inside = journal.window(rows, F.lit(1003))
     assert journal.hidden_counts(inside, ["rig"]).first()[1:] == (7, 2, 5)
     assert sorted(r.ord for r in journal.tail(journal.visible(inside), 3).collect()) == [6, 7, 9] and journal.tail(inside, 0).count() == 7
 
 
+def test_rounding_is_exact(spark):
+    values = [2.675, 0.125, 0.375, -2.5, 1.005, None, 1e300, 10.005]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (0, 1, 2):
+        assert [r[0] for r in df.select(journal.python_round(F.col("v"), places)).collect()] == [None if v is None else round(v, places) for v in values]
+
+
+def test_requests(spark):
+    bodies = ["[]", "7", '{"accepted": true}', '{"id": ""}', '{"id": "a", "accepted": 1}', '{"id": "a", "hidden": false}', '{"id": 3, "match": {"pay": 7, "minutes": 20}, "hidden": true}', '{"match": [], "hidden": true}', '{"match": {"pay": 7, "minutes": null}, "hidden": true}']
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string").select("i", journal.note_of(F.try_parse_json("b")).alias("n")).orderBy("i").collect()
+    assert [r.n.error for r in rows] == ["bad body", "bad body", "no offer named", "no offer named", "nothing to note", None, None, "a rule needs a pay and a time", "a rule needs a pay and a time"]
+    assert (rows[5].n.kind, rows[6].n.kind, rows[6].n.pay, rows[6].n.miles) == ("mark", "rule", 7.0, None)
+
+
+def test_lines_written_and_read(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, None, ["x", "y"]), ("b", 2, 7.5, [])], "id string, seq int, pay double, places array<string>")
+    jl.write_lines(rows, str(tmp_path / "j"))
+    jl.write_lines(rows.limit(1), str(tmp_path / "j"))
+    good = jl.good_rows(jl.parse_lines(jl.read_lines(spark, str(tmp_path / "j"))))
+    assert sorted(r[0] for r in good.select(jl.field(F.col("row"), "id", "string")).collect()) == ["a", "a", "b"]
+
+
 def test_csv_cells(spark):
     df = spark.createDataFrame([(1, 2.0, None, True, ["a", 'b "c"'], 'say "hi"', 9e18), (2, 2.5, "x", None, None, None, 0.0)], "a long, b double, c string, d boolean, e array<string>, g string, far double").withColumn("seen_ms", F.col("far").cast("long"))
     lines = [r.line for r in journal.csv_lines(df, ["a", "b", "c", "d", "e", "g"]).orderBy("a").collect()]
