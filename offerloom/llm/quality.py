@@ -139,13 +139,13 @@ def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_shares(text: Column) -> Column:
-    kinds = {"ids": pa.list_(pa.int32()), "weights": pa.list_(pa.float32())}
+    """``struct<ids,weights>``: ``shares`` as packed 32-bit numbers, which are small on the driver."""
 
-    @F.arrow_udf("ids array<int>, weights array<float>")
+    @F.arrow_udf("ids binary, weights binary")
     def shares_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [shares(t) for some in text_slices(texts) for t in some]
-            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+            rows = [[x.tobytes() for x in shares(t)] for some in text_slices(texts) for t in some]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(2)], names=["ids", "weights"])
 
     return shares_of(text)
 
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "quality", text_shares(F.col("text")).alias("s")).select("doc_id", "quality", "s.*").toPandas().sort_values("doc_id")
     if rows["quality"].nunique() < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    return train([(np.asarray(i, np.int32), np.asarray(w, np.float32)) for i, w in zip(rows["ids"], rows["weights"])], rows["quality"].astype(int).tolist())
+    return train([(np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for i, w in zip(rows["ids"], rows["weights"])], rows["quality"].astype(int).tolist())
 
 
 def quality_score(text: Column, model: Model) -> Column:
