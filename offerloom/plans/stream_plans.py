@@ -54,12 +54,14 @@ said AS (SELECT e.rig, e.ord, e.ts_ms, e.k, e.nth, e.settled, pay, CASE WHEN tot
 MERGED_SQL = f"""WITH {_SAID} SELECT rig, ord, pay, minutes, miles, items, legs, merged_from, episode, has_total, shop FROM said
 UNION ALL SELECT rig, ord, pay, CASE WHEN total THEN m2 ELSE m1 + m2 END, CASE WHEN total THEN d2 ELSE d1 + coalesce(d2, 0) END, items, CASE WHEN total THEN 1 ELSE 2 END, 0, NULL, NULL, shop
 FROM {FRAMES} WHERE pay IS NULL"""
-#: An offer's identity: the pay of its first believable reading; what can't be believed neither ends nor begins it.
+#: An offer's identity is its believable pay: another one begins another offer; what can't be believed neither ends nor begins one.
 JOURNAL_SQL = f"""WITH {_SAID},
-o AS (SELECT *, pay NOT BETWEEN 1 AND 300 OR minutes NOT BETWEEN 2 AND 240 OR (miles >= 1 AND miles * 60 / minutes > 75) AS odd FROM said),
-i AS (SELECT *, first_value(ts_ms) OVER k || '-' || round_even(first_value(pay) OVER k * 100, 0)::BIGINT AS offer_id, first_value(ts_ms) OVER k AS first_ms FROM o WINDOW k AS (PARTITION BY rig, k ORDER BY ord)),
+o AS (SELECT *, pay NOT BETWEEN 1 AND 300 OR minutes NOT BETWEEN 2 AND 240 OR coalesce(miles >= 1 AND miles * 60 / minutes > 75, false) AS odd FROM said),
+b AS (SELECT *, last_value(CASE WHEN NOT odd THEN pay END IGNORE NULLS) OVER (PARTITION BY rig, k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM o),
+n AS (SELECT *, sum(CASE WHEN NOT odd AND pay IS DISTINCT FROM anchor THEN 1 ELSE 0 END) OVER (PARTITION BY rig, k ORDER BY ord) AS nth_offer FROM b),
+i AS (SELECT *, first_value(ts_ms) OVER k || '-' || round_even(first_value(pay) OVER k * 100, 0)::BIGINT AS offer_id, first_value(ts_ms) OVER k AS first_ms FROM n WINDOW k AS (PARTITION BY rig, k, nth_offer ORDER BY ord)),
 c AS (SELECT *, lag(ord) OVER w IS NOT NULL AND pay = lag(pay) OVER w AND minutes = lag(minutes) OVER w AND miles IS NOT DISTINCT FROM lag(miles) OVER w AND items IS NOT DISTINCT FROM lag(items) OVER w
-  AND shop IS NOT DISTINCT FROM lag(shop) OVER w AND legs = lag(legs) OVER w AS same FROM i WINDOW w AS (PARTITION BY rig, k ORDER BY ord))
+  AND shop IS NOT DISTINCT FROM lag(shop) OVER w AND legs = lag(legs) OVER w AS same FROM i WINDOW w AS (PARTITION BY rig, k, nth_offer ORDER BY ord))
 SELECT rig, ord, offer_id, row_number() OVER (PARTITION BY rig, offer_id ORDER BY ord) AS seq, first_ms, settled, pay, minutes, miles FROM c WHERE NOT same OR settled"""
 
 
