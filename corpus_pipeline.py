@@ -22,6 +22,8 @@ SHINGLE = 5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a score of ``LEAST_QUALITY`` or more.  Null and empty texts have the model's bias as their score; very
+    long texts are scored whole; repeated rows, ties and columns of any name stay as they are."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.quality_score(F.col("text"), model) >= LEAST_QUALITY)
 
@@ -42,15 +44,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each run of overlapping secrets replaced by its first one's kind in brackets, ``n_chars`` counted anew.
+    Null texts stay null; every row stays, repeated ones too."""
     masked = docs.withColumn("text", secrets.redact(F.col("text")))
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in its order.  Texts without words (null, empty) take nothing of the budget
+    and stay if their place is before its end; a null source is a source of its own.  Rows that share doc_id, source and
+    size are taken equally often, as often as the one of them that is taken most."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and their number for every row; null and empty texts have none."""
     return bpe.encode_documents(docs, *vocabulary()).select("doc_id", "lang", "source", "n_tokens", "token_ids")
 
 
