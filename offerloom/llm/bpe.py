@@ -125,8 +125,8 @@ class Codec:
                 at = int(rows[-1][2, -1])
             yield tuple(np.concatenate(rows, axis=1))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        return b"".join(map(self.table.__getitem__, np.asarray(ids, np.int64).tolist()))
 
 
 @functools.cache
