@@ -76,13 +76,17 @@ def replay(run_rows: DataFrame, targets: tuple[int, int] = TARGETS) -> DataFrame
     """``rig, threshold, target``: earned, hours, trips and offers over all runs."""
     start = F.struct(F.lit(0.0).alias("e"), F.lit(0).cast("long").alias("n"), F.lit(-1.0).alias("b"))
 
-    def step(a: Column, x: Column) -> Column:
-        busy = (x["seen_ms"] < a["b"]) | (x["per_hour"] < F.col("target"))
-        took = F.struct((a["e"] + x["net"]).alias("e"), (a["n"] + 1).alias("n"), (x["seen_ms"] + x["mins"] * 60000.0).alias("b"))
-        return F.when(busy, a).otherwise(took)
+    def fold(target: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            busy = (x["seen_ms"] < a["b"]) | (x["per_hour"] < target)
+            took = F.struct((a["e"] + x["net"]).alias("e"), (a["n"] + 1).alias("n"), (x["seen_ms"] + x["mins"] * 60000.0).alias("b"))
+            return F.when(busy, a).otherwise(took)
 
-    rows = run_rows.withColumn("target", F.explode(F.sequence(F.lit(targets[0]), F.lit(targets[1]))))
-    rows = rows.withColumn("r", F.aggregate("os", start, step))
+        return F.struct(target.alias("target"), F.aggregate("os", start, step).alias("r"))
+
+    # all targets read the run's one array; rows for each target carry its sums only
+    tried = F.explode(F.transform(F.sequence(F.lit(targets[0]), F.lit(targets[1])), fold)).alias("t")
+    rows = run_rows.select("rig", "threshold", "offers", "first_ms", "last_ms", tried).select("*", "t.*")
     span = F.greatest(F.col("last_ms").cast("double"), F.col("r.b")) - F.col("first_ms")
     # cents and milliseconds add up without rounding, whatever the order
     total = rows.groupBy("rig", "threshold", "target").agg(
