@@ -2,7 +2,8 @@
 
 Each rig's offers are cut into runs by silences.  A replay of a target within a run is
 greedy (take what pays enough while free) and so a fold over the run's offers in order; it
-is parallel over rigs, runs and targets.  Thresholds are one more key, not a loop.
+is parallel over rigs, runs and thresholds, which are one more key, not a loop.  All targets
+of a run are tried in its row.
 """
 
 from __future__ import annotations
