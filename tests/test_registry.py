@@ -1,6 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -18,6 +19,8 @@ def duck(sf_dir):
 
 
 def plain(v):
+    if isinstance(v, (list, np.ndarray)):
+        return [plain(x) for x in v]
     if v is None or v is pd.NA or v is pd.NaT or v != v:
         return None
     v = v.item() if hasattr(v, "item") else v
