@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import bpe, embedding_dedup, fingerprints, lm_score, mixing, neardup, quality, secrets, sharding, url_filter
+from offerloom.llm import bpe, embedding_dedup, fim, fingerprints, hnsw, lm_score, merkle, mixing, neardup, quality, secrets, sharding, url_filter
 from offerloom.llm.common import table, text_or_empty
 
 
@@ -59,12 +59,27 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_embedding_dedup, op4_quality, op5_sharding, op6_bpe, op7_url_filter, op8_lm_score, op9_mixing, op10_neardup)
+    f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_embedding_dedup, op4_quality, op5_sharding, op6_bpe, op7_url_filter, op8_lm_score, op9_mixing, op10_neardup, op11_nearest, op12_fill_in_middle, op13_merkle_manifest)
 }
 ORACLES: dict[str, str] = {
     "op3_embedding_dedup": embedding_dedup.EMBEDDING_SQL,
     "op7_url_filter": url_filter.URL_SQL,
     "op9_mixing": mixing.MIX_SQL,
     "op10_neardup": neardup.NEARDUP_SQL,
+    "op11_nearest": hnsw.NEAREST_SQL,
+    "op12_fill_in_middle": fim.FIM_SQL,
+    "op13_merkle_manifest": merkle.MERKLE_SQL,
 }
