@@ -14,17 +14,19 @@ from offerloom.sources import fixtures as fx
 from offerloom.streaming import jobs
 
 
-#: Three readings of an offer, a second apart; the second may show its pay a hundredfold, no pay,
-#: or one of the two legs misread; every fifth offer names a total beside its legs.
+#: Three readings of an offer, a second apart, dealt to four rigs.  Of a rig's every twelve offers the sixth pays what
+#: the one before paid, for another journey, and the tenth is the one before, still in view 12 s later.  The second
+#: reading may show its pay a hundredfold, no pay or a distance too far for its time, the first one a wrong time; every
+#: fifth offer is one leg, which is told to be the total at once or from the second reading on; some second ones
+#: aren't locked.
 _FRAMES = (
-    "SELECT (event_id DIV 3) % 4 AS rig, event_id AS ord, event_id DIV 3 AS k, event_id % 3 AS nth, event_id * 1000 AS ts_ms,"
-    " CASE WHEN (event_id DIV 3) % 11 = 0 AND event_id % 3 = 1 THEN NULL WHEN (event_id DIV 3) % 7 = 0 AND event_id % 3 = 1 THEN 100 ELSE 1 END"
-    " * ((200 + ((event_id DIV 3) * 7919) % 2800) / 100.0{d}) AS pay, CAST(3 + (event_id DIV 3) % 9 AS DOUBLE) AS m1,"
-    " CAST(15 + (event_id DIV 3) % 20 AS DOUBLE) + CASE WHEN (event_id DIV 3) % 5 = 1 AND event_id % 3 = 0 THEN 40 ELSE 0 END AS m2,"
-    " CAST(1 + (event_id DIV 3) % 3 AS DOUBLE) AS d1, CASE WHEN (event_id DIV 3) % 4 = 1 AND event_id % 3 = 2 THEN NULL"
-    " ELSE CAST(5 + (event_id DIV 3) % 8 AS DOUBLE) END AS d2, (event_id DIV 3) % 5 = 0 AS total,"
-    " CASE WHEN event_id % 3 < 2 THEN CAST((event_id DIV 3) % 6 + 1 AS DOUBLE) END AS items, (event_id DIV 3) % 13 = 0 AND event_id % 3 = 1 AS shop,"
-    " event_id % 3 = 2 AS settled FROM {events}"
+    "SELECT k % 4 AS rig, event_id AS ord, s, nth, event_id * 1000 AS ts_ms, CASE WHEN k % 11 = 0 AND nth = 1 THEN NULL WHEN k % 7 = 0 AND nth = 1 THEN 100 ELSE 1 END"
+    " * ((200 + (CASE WHEN turn = 5 THEN k - 4 ELSE s END * 7919) % 2800) / 100.0{d}) AS pay,"
+    " CASE WHEN turn = 5 THEN 12.5{d} ELSE CAST(3 + s % 9 AS DOUBLE) END AS m1, CAST(15 + s % 20 + CASE WHEN turn = 5 THEN 60 ELSE 0 END + CASE WHEN s % 5 = 1 AND nth = 0 AND turn <> 9 THEN 40 ELSE 0 END AS DOUBLE) AS m2,"
+    " CASE WHEN turn = 5 THEN 0.5{d} ELSE CAST(1 + s % 3 AS DOUBLE) END AS d1, CASE WHEN s % 4 = 1 AND s % 5 <> 1 AND nth = 2 THEN NULL WHEN s % 17 = 3 AND s % 5 = 2 AND nth = 1 THEN 165{d}"
+    " ELSE CAST(5 + s % 8 AS DOUBLE) + CASE WHEN turn = 5 THEN 15.5{d} ELSE 0 END END AS d2, s % 5 = 0 AS single, s % 5 = 0 AND (s % 10 > 0 OR nth > 0) AS total,"
+    " CASE WHEN nth < 2 THEN CAST(s % 6 + 1 AS DOUBLE) END AS items, s % 13 = 0 AND nth = 1 AS shop, nth = 2 AS settled, s % 6 <> 2 OR nth <> 1 AS locked"
+    " FROM (SELECT event_id, event_id % 3 AS nth, event_id DIV 3 AS k, (event_id DIV 12) % 12 AS turn, CASE WHEN (event_id DIV 12) % 12 = 9 THEN event_id DIV 3 - 4 ELSE event_id DIV 3 END AS s FROM {events})"
 )
 FRAMES = f"({_FRAMES.replace('{d}', '::DOUBLE').replace(' DIV ', ' // ').replace('{events}', 'events')})"
 
@@ -34,35 +36,44 @@ def events(spark, sf_dir) -> DataFrame:
     r = spark.sql(_FRAMES.replace("{d}", "D"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
     leg = lambda m, d, total: F.struct(F.col(m).alias("minutes"), F.col(d).alias("miles"), total.alias("is_total"))
     legs = F.array(leg("m1", "d1", F.lit(False)), leg("m2", "d2", F.col("total")))
-    used = F.when(F.col("total"), F.slice(legs, 2, 1)).otherwise(legs)
+    used = F.when(F.col("single"), F.slice(legs, 2, 1)).otherwise(legs)
     add = lambda name: F.aggregate("leg_detail", F.lit(0.0), lambda a, x: a + F.coalesce(x[name], F.lit(0.0)))
     r = r.withColumn("leg_detail", used).withColumns({"legs": F.size("leg_detail"), "minutes": add("minutes"), "miles": F.when(F.exists("leg_detail", lambda x: x["miles"].isNotNull()), add("miles")), "deliver_by": F.lit(None).cast("int"), "miles_corrected": F.lit(False)})
     return r.select(*jobs.EVENT)
 
 
-#: What the machines should say of these frames, told without them: pays part an offer's three frames
-#: into episodes, and within one the most frequent value so far counts.
+#: What the machines should say of these frames, told without them: readings of one offer and pay are a run, which
+#: ends 12 s after its first; within an episode the most frequent value so far counts, the largest of several.
 _SAID = f"""
-e AS (SELECT *, sum(begins) OVER (PARTITION BY rig ORDER BY ord) + 1 AS episode FROM (
-  SELECT *, CASE WHEN k IS NOT DISTINCT FROM lag(k) OVER w AND pay = lag(pay) OVER w THEN 0 ELSE 1 END AS begins FROM {FRAMES} WHERE pay IS NOT NULL WINDOW w AS (PARTITION BY rig ORDER BY ord))),
-j AS (SELECT a.*, b.m2 AS bm2, b.d2 AS bd2, b.items AS bitems, b.shop AS bshop FROM e a JOIN e b ON a.rig = b.rig AND a.episode = b.episode AND b.ord <= a.ord),
+f AS (SELECT *, sum(breaks) OVER (PARTITION BY rig ORDER BY ord) AS run FROM (
+  SELECT *, CASE WHEN s IS NOT DISTINCT FROM lag(s) OVER w AND pay = lag(pay) OVER w THEN 0 ELSE 1 END AS breaks FROM {FRAMES} WHERE pay IS NOT NULL WINDOW w AS (PARTITION BY rig ORDER BY ord))),
+e AS (SELECT *, dense_rank() OVER (PARTITION BY rig ORDER BY run, late) + 1 AS episode FROM (SELECT *, ts_ms - min(ts_ms) OVER (PARTITION BY rig, run) > 12000 AS late FROM f)),
+j AS (SELECT a.*, b.m2 AS bm2, b.d2 AS bd2, b.items AS bitems, b.shop AS bshop, b.total AS btotal FROM e a JOIN e b ON a.rig = b.rig AND a.episode = b.episode AND b.ord <= a.ord),
 v AS (SELECT ord, arg_max(bm2, n * 1000 + bm2) AS vm2 FROM (SELECT ord, bm2, count(*) AS n FROM j GROUP BY ALL) GROUP BY ord),
-g AS (SELECT ord, max(bd2) AS vd2, max(bitems) AS items, count(*) AS merged_from, bool_or(bshop) AS shop FROM j GROUP BY ord),
-said AS (SELECT e.rig, e.ord, e.ts_ms, e.k, e.nth, e.settled, pay, CASE WHEN total THEN vm2 ELSE m1 + vm2 END AS minutes, CASE WHEN total THEN vd2 ELSE d1 + coalesce(vd2, 0) END AS miles,
-  g.items, CASE WHEN total THEN 1 ELSE 2 END AS legs, g.merged_from, e.episode, total AS has_total, CASE WHEN g.shop THEN true END AS shop
-  FROM e JOIN v USING (ord) JOIN g USING (ord))"""
-MERGED_SQL = f"""WITH {_SAID} SELECT rig, ord, pay, minutes, miles, items, legs, merged_from, episode, has_total, shop FROM said
-UNION ALL SELECT rig, ord, pay, CASE WHEN total THEN m2 ELSE m1 + m2 END, CASE WHEN total THEN d2 ELSE d1 + coalesce(d2, 0) END, items, CASE WHEN total THEN 1 ELSE 2 END, 0, NULL, NULL, shop
+x AS (SELECT ord, arg_max(bd2, n * 1000 + bd2) AS vd2 FROM (SELECT ord, bd2, count(*) AS n FROM j WHERE bd2 IS NOT NULL GROUP BY ALL) GROUP BY ord),
+g AS (SELECT ord, arg_max(bitems, n * 1000 + bitems) AS items FROM (SELECT ord, bitems, count(*) AS n FROM j WHERE bitems IS NOT NULL GROUP BY ALL) GROUP BY ord),
+h AS (SELECT ord, count(*) AS merged_from, bool_or(bshop) AS shop, bool_or(btotal) AS has_total FROM j GROUP BY ord),
+said AS (SELECT *, coalesce(miles * 60 / minutes > 75, false) AS miles_uncertain FROM (
+  SELECT e.rig, e.ord, e.ts_ms, e.s, e.settled, e.locked, pay, CASE WHEN single THEN vm2 ELSE m1 + vm2 END AS minutes, CASE WHEN single THEN vd2 ELSE d1 + coalesce(vd2, 0) END AS miles,
+    g.items, CASE WHEN single THEN 1 ELSE 2 END AS legs, h.merged_from, e.episode, h.has_total, CASE WHEN h.shop THEN true END AS shop
+  FROM e JOIN v USING (ord) LEFT JOIN x USING (ord) LEFT JOIN g USING (ord) JOIN h USING (ord)))"""
+MERGED_SQL = f"""WITH {_SAID} SELECT rig, ord, pay, minutes, miles, items, legs, merged_from, episode, has_total, miles_uncertain, shop FROM said
+UNION ALL SELECT rig, ord, pay, CASE WHEN single THEN m2 ELSE m1 + m2 END, CASE WHEN single THEN d2 ELSE d1 + coalesce(d2, 0) END, items, CASE WHEN single THEN 1 ELSE 2 END, 0, NULL, NULL, NULL, shop
 FROM {FRAMES} WHERE pay IS NULL"""
-#: An offer's identity is its believable pay: another one begins another offer; what can't be believed neither ends nor begins one.
+#: Of locked readings an offer's identity is its believable pay: another one begins another offer, and so does another
+#: journey; what can't be believed neither ends nor begins one.  A row follows where pay, minutes, miles, items, the
+#: total or the distance's doubt differ from the reading before, and where a settled reading first says the same.
 JOURNAL_SQL = f"""WITH {_SAID},
-o AS (SELECT *, pay NOT BETWEEN 1 AND 300 OR minutes NOT BETWEEN 2 AND 240 OR coalesce(miles >= 1 AND miles * 60 / minutes > 75, false) AS odd FROM said),
-b AS (SELECT *, last_value(CASE WHEN NOT odd THEN pay END IGNORE NULLS) OVER (PARTITION BY rig, k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM o),
-n AS (SELECT *, sum(CASE WHEN NOT odd AND pay IS DISTINCT FROM anchor THEN 1 ELSE 0 END) OVER (PARTITION BY rig, k ORDER BY ord) AS nth_offer FROM b),
-i AS (SELECT *, first_value(ts_ms) OVER k || '-' || round_even(first_value(pay) OVER k * 100, 0)::BIGINT AS offer_id, first_value(ts_ms) OVER k AS first_ms FROM n WINDOW k AS (PARTITION BY rig, k, nth_offer ORDER BY ord)),
-c AS (SELECT *, lag(ord) OVER w IS NOT NULL AND pay = lag(pay) OVER w AND minutes = lag(minutes) OVER w AND miles IS NOT DISTINCT FROM lag(miles) OVER w AND items IS NOT DISTINCT FROM lag(items) OVER w
-  AND shop IS NOT DISTINCT FROM lag(shop) OVER w AND legs = lag(legs) OVER w AS same FROM i WINDOW w AS (PARTITION BY rig, k, nth_offer ORDER BY ord))
-SELECT rig, ord, offer_id, row_number() OVER (PARTITION BY rig, offer_id ORDER BY ord) AS seq, first_ms, settled, pay, minutes, miles FROM c WHERE NOT same OR settled"""
+o AS (SELECT *, pay NOT BETWEEN 1 AND 300 OR minutes NOT BETWEEN 2 AND 240 OR coalesce(miles >= 1 AND miles * 60 / minutes > 75, false) AS odd FROM said WHERE locked),
+b AS (SELECT *, last_value(CASE WHEN NOT odd THEN pay END IGNORE NULLS) OVER (PARTITION BY rig, s ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM o),
+n AS (SELECT *, sum(CASE WHEN NOT odd AND pay IS DISTINCT FROM anchor THEN 1 ELSE 0 END) OVER (PARTITION BY rig, s ORDER BY ord) AS nth_offer FROM b),
+i AS (SELECT *, first_value(ts_ms) OVER k || '-' || round_even(first_value(pay) OVER k * 100, 0)::BIGINT AS offer_id, first_value(ts_ms) OVER k AS first_ms, {{content}} AS content FROM n WINDOW k AS (PARTITION BY rig, s, nth_offer ORDER BY ord)),
+c AS (SELECT *, lag(ord) OVER w IS NOT NULL AND content = lag(content) OVER w AS same FROM i WINDOW w AS (PARTITION BY rig, s, nth_offer ORDER BY ord)),
+r AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY rig, s, nth_offer ORDER BY ord) AS wording FROM c),
+t AS (SELECT *, same AND settled AND sum(CASE WHEN same AND settled THEN 1 ELSE 0 END) OVER (PARTITION BY rig, s, nth_offer, wording ORDER BY ord) = 1 AS upgrade FROM r)
+SELECT rig, ord, offer_id, row_number() OVER (PARTITION BY rig, offer_id ORDER BY ord) AS seq, first_ms, settled, pay, minutes, miles, has_total, miles_uncertain FROM t WHERE NOT same OR upgrade""".replace(
+    "{content}", "concat_ws(',', pay, minutes, coalesce(miles, -1), coalesce(items, -1), has_total, miles_uncertain)"
+)
 
 
 def _folder(spark) -> str:
@@ -91,11 +102,11 @@ def stream_identity(spark, sf_dir):
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    return rows.select("rig", "ord", "pay", "minutes", "miles", "items", F.col("legs").cast("long").alias("legs"), F.col("merged_from").cast("long").alias("merged_from"), "episode", "has_total", "shop")
+    return rows.select("rig", "ord", "pay", "minutes", "miles", "items", F.col("legs").cast("long").alias("legs"), F.col("merged_from").cast("long").alias("merged_from"), "episode", "has_total", "miles_uncertain", "shop")
 
 
 def _journal(rows: DataFrame) -> DataFrame:
-    return rows.select("rig", "ord", "offer_id", F.col("seq").cast("long").alias("seq"), "first_ms", "settled", "pay", "minutes", "miles")
+    return rows.select("rig", "ord", "offer_id", F.col("seq").cast("long").alias("seq"), "first_ms", "settled", "pay", "minutes", "miles", "has_total", "miles_uncertain")
 
 
 @query(MERGED_SQL)

@@ -18,13 +18,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from offerloom.streaming.merge import Card, Offer, from_json, identify, merge, resumed, to_json
 
-EVENT = ["rig", "ord", "ts_ms", "pay", "minutes", "miles", "items", "deliver_by", "legs", "leg_detail", "miles_corrected", "shop", "settled"]
+EVENT = ["rig", "ord", "ts_ms", "pay", "minutes", "miles", "items", "deliver_by", "legs", "leg_detail", "miles_corrected", "shop", "settled", "locked"]
 _NUMBERS = "pay double, minutes double, miles double, items double, deliver_by int, legs int"
 MERGED = f"rig long, ord long, ts_ms long, {_NUMBERS}, merged_from int, episode long, new_card boolean, has_total boolean, grew boolean, miles_corrected boolean, miles_uncertain boolean, shop boolean, complete boolean"
-JOURNAL = f"rig long, ord long, ts_ms long, offer_id string, seq int, first_ms long, settled boolean, {_NUMBERS}, shop boolean"
+JOURNAL = f"rig long, ord long, ts_ms long, offer_id string, seq int, first_ms long, settled boolean, {_NUMBERS}, shop boolean, has_total boolean, miles_uncertain boolean"
 
 
-LAST = ["ts_ms", "offer_id", "seq", "first_ms", "pay", "minutes", "miles", "items", "deliver_by", "shop", "legs"]
+LAST = ["ts_ms", "offer_id", "seq", "first_ms", "pay", "minutes", "miles", "items", "deliver_by", "has_total", "miles_uncertain"]
 
 
 def _names(schema: str) -> list[str]:
@@ -52,7 +52,7 @@ def _advance(state: tuple[Card, Offer], e: dict, journal: bool) -> tuple[tuple[C
     card, merged = merge(card, e)
     if not journal:
         return (card, offer), merged
-    if not merged["merged_from"] or not merged["complete"]:
+    if not (merged["merged_from"] and merged["complete"] and e["locked"]):  # the gate: a whole offer that two readings agree on
         return (card, offer), None
     offer, row = identify(offer, merged)
     return (card, offer), row
@@ -66,7 +66,7 @@ def _start(e: dict) -> tuple[Card, Offer]:
 def _with_last(readings: DataFrame, last: DataFrame | None) -> DataFrame:
     """Readings with their rig's last journal row, of which there is one a rig at most."""
     rows = readings.select(*EVENT)
-    kind = "struct<ts_ms:long,offer_id:string,seq:int,first_ms:long,pay:double,minutes:double,miles:double,items:double,deliver_by:int,shop:boolean,legs:int>"
+    kind = "struct<ts_ms:long,offer_id:string,seq:int,first_ms:long,pay:double,minutes:double,miles:double,items:double,deliver_by:int,has_total:boolean,miles_uncertain:boolean>"
     if last is None:
         return rows.withColumn("last", F.lit(None).cast(kind))
     newest = last.groupBy("rig").agg(F.max_by(F.struct(*LAST), F.struct("ts_ms", "seq")).cast(kind).alias("last"))

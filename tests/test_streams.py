@@ -5,13 +5,13 @@ from offerloom.streaming import jobs
 from offerloom.streaming.merge import Card, Offer, from_json, identify, merge, resumed, to_json, vote, winner
 
 
-READING = "rig long, ord long, ts_ms long, pay double, minutes double, miles double, items double, deliver_by int, legs int, leg_detail array<struct<minutes:double,miles:double,is_total:boolean>>, miles_corrected boolean, shop boolean, settled boolean"
+READING = "rig long, ord long, ts_ms long, pay double, minutes double, miles double, items double, deliver_by int, legs int, leg_detail array<struct<minutes:double,miles:double,is_total:boolean>>, miles_corrected boolean, shop boolean, settled boolean, locked boolean"
 
 
 def event(ts, pay=10.0, legs=((20.0, 5.0, False),), **more):
     detail = [{"minutes": m, "miles": d, "is_total": t} for m, d, t in legs]
     far = [d for _, d, _ in legs if d is not None]
-    return {"rig": 0, "ord": ts, "ts_ms": ts, "pay": pay, "minutes": sum(m for m, _, _ in legs) or None, "miles": sum(far) if far else None, "items": None, "deliver_by": None, "legs": len(legs), "leg_detail": detail, "miles_corrected": False, "shop": None, "settled": False} | more
+    return {"rig": 0, "ord": ts, "ts_ms": ts, "pay": pay, "minutes": sum(m for m, _, _ in legs) or None, "miles": sum(far) if far else None, "items": None, "deliver_by": None, "legs": len(legs), "leg_detail": detail, "miles_corrected": False, "shop": None, "settled": False, "locked": True} | more
 
 
 def run(events):
@@ -71,10 +71,44 @@ def test_settled_once_more_for_each_content():
     assert [(r["seq"], r["settled"]) for r in rows] == [(1, True), (2, True), (3, False), (4, True)]
 
 
+def test_what_writes_a_row():
+    """All that moves money or trust writes a row, and nothing else does."""
+    base = event(0, legs=((20.0, 5.0, False),))
+    flips = {
+        "a total": (event(1000, legs=((20.0, 5.0, True),)), 2), "items": (event(1000, items=3.0), 2), "a deadline": (event(1000, deliver_by=900), 2),
+        "a shop flag": (event(1000, shop=True), 1), "the same": (event(1000), 1), "a corrected distance": (event(1000, miles_corrected=True), 1),
+        "a distance too far": (event(1000, legs=((20.0, 55.0, False),)), 2),
+    }
+    for what, (e, rows) in flips.items():
+        assert len(journal([base, e])) == rows, what
+    total = journal([base, event(1000, legs=((20.0, 5.0, True),))])[-1]
+    assert total["has_total"] and total["minutes"] == 20 and total["seq"] == 2
+    # a leg count alone says nothing new
+    a, b = (m | {"episode": 2, "new_card": False} for m in (merge(Card(), base)[1], merge(Card(), base)[1]))
+    offer, _ = identify(Offer(), a)
+    assert identify(offer, b | {"legs": 2})[1] is None and identify(offer, b | {"miles_uncertain": True})[1]
+
+
+def test_legs_without_a_time_leave_the_readings_own():
+    assert merge(Card(), event(0, legs=((0.0, 1.0, False),), minutes=12.0))[1]["minutes"] == 12.0
+
+
+def test_another_journey_at_equal_pay_is_another_offer():
+    other = [event(4_000, legs=((35.0, 17.0, False),)), event(5_000, legs=((35.0, 17.0, False),))]
+    assert [(r["offer_id"], r["seq"]) for r in journal([event(0), *other])] == [("0-1000", 1), ("4000-1000", 1)]
+    # seen again after its window, or later than the first window: still the same offer
+    assert [r["offer_id"] for r in journal([event(0), event(13_000), event(26_000, items=2.0)])] == ["0-1000", "0-1000"]
+
+
+def test_unlocked_readings_write_nothing(spark):
+    rows = spark.createDataFrame([{k: e[k] for k in jobs.EVENT} for e in (event(0, locked=False), event(1000), event(2000, locked=False, items=4.0), event(3000))], READING)
+    assert [(r.ts_ms, r.seq, r["items"]) for r in jobs.merge_batch(rows, journal=True).orderBy("ts_ms").collect()] == [(1000, 1, None), (3000, 2, 4.0)]
+
+
 def test_restart(spark):
     last = journal([event(0)])[-1]
     rows = spark.createDataFrame([{k: e[k] for k in jobs.EVENT} for e in (event(80_000), event(81_000, settled=True), event(400_000))], READING)
-    written = spark.createDataFrame([{k: last[k] for k in ["rig", *jobs.LAST]}], "rig long, ts_ms long, offer_id string, seq int, first_ms long, pay double, minutes double, miles double, items double, deliver_by int, shop boolean, legs int")
+    written = spark.createDataFrame([{k: last[k] for k in ["rig", *jobs.LAST]}], "rig long, ts_ms long, offer_id string, seq int, first_ms long, pay double, minutes double, miles double, items double, deliver_by int, has_total boolean, miles_uncertain boolean")
     ids = lambda df: [(r.offer_id, r.seq, r.settled) for r in df.orderBy("ts_ms").collect()]
     assert ids(jobs.merge_batch(rows, journal=True, last=written)) == [("0-1000", 2, True), ("400000-1000", 1, False)]
     assert ids(jobs.merge_batch(rows, journal=True))[0] == ("80000-1000", 1, False)
