@@ -120,7 +120,7 @@ def typed_calculator(spark, sf_dir):
     return o.select("ord", *(r[c].alias(c) for c in ("ready", "per_hour", "per_mile", "state")))
 
 
-_GATES = "SELECT user_id % 4 AS rig, event_id AS ord, {ms} AS seen_ms, CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST((event_id {div} 8) % 3 + 5 AS DOUBLE) END AS pay, CAST((event_id {div} 40) % 2 + 10 AS DOUBLE) AS minutes, event_id % 5 > 0 AS complete, event_id % 3 > 0 AS whole, event_id % 11 > 0 AS ready, event_id % 4 > 0 AS locked, event_id % 2 = 0 AS stable, (event_id {div} 16) % 5 AS episode FROM {events}"
+_GATES = "SELECT user_id % 4 AS rig, event_id AS ord, {ms} AS seen_ms, CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST((event_id {div} 8) % 3 + 5 AS DOUBLE) END AS pay, CAST((event_id {div} 40) % 2 + 10 AS DOUBLE) AS minutes, CASE WHEN event_id % 7 > 0 THEN CAST((event_id {div} 24) % 2 + 3 AS DOUBLE) END AS miles, event_id % 5 > 0 AS complete, event_id % 3 > 0 AS whole, event_id % 11 > 0 AS ready, event_id % 4 > 0 AS locked, event_id % 2 = 0 AS stable, (event_id {div} 16) % 5 AS episode FROM {events}"
 GATES = f"({_GATES.format(div='//', ms='epoch_us(ts) // 1000', events='events')})"
 W = "PARTITION BY rig ORDER BY seen_ms, ord"
 
@@ -140,13 +140,16 @@ _RIGS = "FROM (SELECT DISTINCT rig FROM g)"
 _SIG = "x.pay IS NOT DISTINCT FROM s_pay AND x.minutes IS NOT DISTINCT FROM s_minutes AND s_any"
 
 
-@query(_step("agree AS s_agree, pay AS s_pay, minutes AS s_minutes, any_ AS s_any, misses AS s_misses, lock AS s_lock",
-             f"0::BIGINT AS agree, NULL::DOUBLE AS pay, NULL::DOUBLE AS minutes, false AS any_, 0::BIGINT AS misses, false AS lock {_RIGS}",
-             f"""CASE WHEN x.complete THEN CASE WHEN {_SIG} THEN s_agree + 1 ELSE 1 END WHEN s_misses >= 2 THEN 0 ELSE s_agree END, CASE WHEN x.complete THEN x.pay ELSE s_pay END, CASE WHEN x.complete THEN x.minutes ELSE s_minutes END,
+_SIG3 = f"x.miles IS NOT DISTINCT FROM s_miles AND {_SIG}"
+
+
+@query(_step("agree AS s_agree, pay AS s_pay, minutes AS s_minutes, miles AS s_miles, any_ AS s_any, misses AS s_misses, lock AS s_lock",
+             f"0::BIGINT AS agree, NULL::DOUBLE AS pay, NULL::DOUBLE AS minutes, NULL::DOUBLE AS miles, false AS any_, 0::BIGINT AS misses, false AS lock {_RIGS}",
+             f"""CASE WHEN x.complete THEN CASE WHEN {_SIG3} THEN s_agree + 1 ELSE 1 END WHEN s_misses >= 2 THEN 0 ELSE s_agree END, CASE WHEN x.complete THEN x.pay ELSE s_pay END, CASE WHEN x.complete THEN x.minutes ELSE s_minutes END, CASE WHEN x.complete THEN x.miles ELSE s_miles END,
              CASE WHEN x.complete THEN true WHEN s_misses >= 2 THEN false ELSE s_any END, CASE WHEN x.complete THEN 0 ELSE s_misses + 1 END,
-             CASE WHEN x.complete THEN CASE WHEN {_SIG} THEN s_agree + 1 ELSE 1 END >= 2 AND x.whole WHEN s_misses >= 2 THEN false ELSE s_lock END""", "agree, lock"))
+             CASE WHEN x.complete THEN CASE WHEN {_SIG3} THEN s_agree + 1 ELSE 1 END >= 2 AND x.whole WHEN s_misses >= 2 THEN false ELSE s_lock END""", "agree, lock"))
 def browser_lock(spark, sf_dir):
-    return frames.browser_lock(gates(spark, sf_dir), ["rig"], ["pay", "minutes"]).select("rig", "ord", "agree", "lock")
+    return frames.browser_lock(gates(spark, sf_dir), ["rig"], ["pay", "minutes", "miles"]).select("rig", "ord", "agree", "lock")
 
 
 @query(_step("streak AS s_streak", f"0::BIGINT AS streak {_RIGS}", "CASE WHEN x.whole OR x.stable THEN s_streak + 1 ELSE 0 END", "streak >= 6 AS aimed"))

@@ -81,11 +81,17 @@ def _folder(spark) -> str:
     return f"{base}/streams/{uuid.uuid4().hex}"
 
 
-def drain(spark, rows: DataFrame, make, name: str) -> DataFrame:
-    """Write ``rows`` as files, run ``make`` over them as a stream until they are read, and return what it wrote."""
+def drain(spark, rows: DataFrame, make, name: str, batches: int = 2, time: str = "ts_ms") -> DataFrame:
+    """Write ``rows`` as files, run ``make`` over them as a stream until they are read, and return what it wrote.
+
+    Files follow each other in time, and a micro-batch reads one of them.
+    """
     at = _folder(spark)
-    rows.write.parquet(f"{at}/in")
-    source = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+    cuts = rows.approxQuantile(time, [k / batches for k in range(1, batches)], 0.01) if time in rows.columns else []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        some = rows if low is None else rows.where(F.col(time) > low)
+        (some if high is None else some.where(F.col(time) <= high)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     writer = make(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
     writer.queryName(f"{name}_{uuid.uuid4().hex[:8]}").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
