@@ -40,7 +40,7 @@ from offerloom.llm.common import materialise
 
 FANOUT = 2
 #: Leaves of a partition, and partitions whose peaks are merged in one group.
-LEAVES, FAN_IN = 1 << 15, 256
+LEAVES, FAN_IN = 1 << 15, 16
 
 Node = tuple[int, int, str]  # level, index in the level, digest
 
