@@ -15,7 +15,8 @@ shares several lists is counted in that of the smallest pivot.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, as do
 null vec_ids.  A vector shorter than the longest one counts as filled up with zeros.  Rows
-that share a vec_id count as one; the numbers of their links are those of the first class.
+that share a vec_id count as one, with the least of their vectors that can be compared, and
+each has that one's result.
 Among pivots equally near, the first one counts as nearer.  An empty table gives an empty
 result, and columns beside ``vec_id`` and ``embedding`` are not looked at.
 """
@@ -175,7 +176,8 @@ def _verify(first: int, least: int, width: int, cosine: float):
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors(vec_id, embedding)``."""
     rows = vectors.select("vec_id", "embedding", (usable(F.col("embedding")) & F.col("vec_id").isNotNull()).alias("able"))
-    able = rows.where("able").select("vec_id", "embedding", F.sha2(F.array_join(F.col("embedding"), ","), 256).alias("same"))
+    able = rows.where("able").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    able = materialise(able.withColumn("same", F.sha2(F.array_join("embedding", ","), 256)))
     size = able.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
     classes = materialise(able.groupBy("same").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
     member = materialise(able.select("same", "vec_id").join(classes, "same").select("vec_id", "id", "copies"))
@@ -190,7 +192,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     edges = found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst"))
     copies = member.where("vec_id <> id").select(F.col("id").alias("src"), F.col("vec_id").alias("dst"))
     named = materialise(components(edges.unionByName(copies)))
-    counted = materialise(member.join(links, "id", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).groupBy("vec_id").agg(F.min("n_links").alias("n_links")))
+    counted = materialise(member.join(links, "id", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = rows.select("vec_id").join(counted, "vec_id", "left").join(named.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
@@ -212,12 +214,11 @@ def _search(nodes: DataFrame, pivots: np.ndarray, width: int, cosine: float) ->
 
 
 EMBEDDING_SQL = f"""
-WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-ok AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
-       WHERE e IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
-          WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {COSINE}),
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+w AS (SELECT vec_id, min(e) AS e FROM v WHERE e IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+f AS (SELECT vec_id, list_resize(e, (SELECT max(len(e)) FROM w), 0::DOUBLE) AS e FROM w),
+ok AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM f),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {COSINE}),
 reach(id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.seen),
 c AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY id),
 n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)

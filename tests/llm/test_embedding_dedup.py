@@ -73,6 +73,29 @@ def test_empty_and_repeated(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in twins) == [(1, 1, 1, True), (2, 1, 1, False)]
 
 
+def test_repeated_ids_are_one_vector(spark):
+    """Rows that share an id link with no row of their own, and count once for the others."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, a), (3, a), (4, b), (4, b), (5, b), (5, a), (6, [1.0]), (7, None), (7, b)]
+    found = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame([(i, v, 1, 0, 0) for i, v in rows], KIND)).collect()]
+    want = [(1, 2, 1, True)] * 2 + [(3, 2, 1, False)] + [(4, 2, 4, True)] * 2 + [(5, 2, 4, False)] * 2 + [(6, 2, 1, False)] + [(7, 2, 4, False)] * 2
+    assert sorted(found) == sorted(want)
+
+
+def test_random_tables_with_repeats_equal_brute_force(spark):
+    rng = np.random.default_rng(21)
+    for seed in range(3):
+        base = rng.normal(size=(40, 6))
+        v = base[rng.integers(0, 40, 200)] + 0.1 * rng.normal(size=(200, 6)) * (rng.random((200, 1)) < 0.7)
+        ids = rng.integers(0, 150, 200).tolist()
+        rows = list(zip(ids, v.astype(np.float32).tolist()))
+        least: dict[int, list] = {}
+        for i, x in rows:
+            least[i] = min(least.get(i, x), x)
+        want, found = brute(sorted(least.items())), near_vectors(spark.createDataFrame([(i, x, 1, 0, 0) for i, x in rows], KIND)).collect()
+        assert len(found) == len(rows) and all((r.n_links, r.component_id) == want[r.vec_id] for r in found)
+
+
 @pytest.mark.parametrize("n_pivots", [64, 900, 4096])
 def test_unrelated_vectors_are_no_candidates(n_pivots):
     """What the shared pivots leave to be compared: nearly nothing but what is near."""
