@@ -8,9 +8,9 @@ explicitly allowed member is allowed, else one with a blocked member is blocked,
 allowed.  A url's own rule always stands.
 
 Edges come from the pages themselves: every ``rel=canonical`` link and refresh redirect, its
-target read relative to the page, and the url's spelling (scheme, ``www.`` or ``m.``, query,
-fragment, trailing slash and ``.html``), which links a url to its plain form.  More can be
-given.  Rules don't see queries, so what they decide on a plain form holds for its queries
+target read relative to the page (comments declare nothing), and the url's spelling (scheme, ``www.``
+or ``m.``, query, fragment, trailing slash and ``.html``), which links a url to its plain form.
+More can be given.  Rules don't see queries, so what they decide on a plain form holds for its queries
 too; but declared edges join one query of a path, not all: ``/go?u=1`` and ``/go?u=2`` are
 two pages, unless an edge joins them.  Keys such as ``utm_source`` don't count, and a path's
 only query is a spelling of the path.
@@ -95,7 +95,7 @@ def plain_form(host: Column, path: Column) -> Column:
 
 def resolved(target: Column, base: Column) -> Column:
     """``target`` as a url of its own, read on the page ``base``; null if it leads to no page."""
-    t = F.regexp_replace(F.trim(target), r"(?i)&amp;", "&")
+    t = F.trim(target)
     scheme, site = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     at, tail = F.regexp_extract(t, r"(?s)^([^?#]*)", 1), F.regexp_extract(t, r"(?s)^[^?#]*(.*)", 1)
     folder = F.concat(F.lit("/"), F.regexp_replace(F.ltrim(path_of(base), F.lit("/")), r"[^/]*$", ""))
@@ -107,12 +107,36 @@ def resolved(target: Column, base: Column) -> Column:
     return F.when(t.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None)).when(F.startswith(t, F.lit("//")), F.when(site != "", F.concat(scheme, F.lit(":"), t))).otherwise(within)
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in a tag, quoted or not; empty if there is none."""
+    found = lambda value: F.regexp_extract(tag, rf"(?is)(?<![\w-]){name}\s*=\s*{value}", 1)
+    return F.coalesce(*(F.nullif(found(v), F.lit("")) for v in ('"([^"]*)"', "'([^']*)'", r"([^\s\"'>]+)")), F.lit(""))
+
+
+def unescaped(text: Column) -> Column:
+    """Text with character references to numbers and to the characters of markup replaced."""
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(0)))
+    number = lambda c: F.when(c.rlike("(?i)^&#x"), F.conv(F.regexp_extract(c, "(?i)x([0-9a-f]+)", 1), 16, 10)).otherwise(F.regexp_extract(c, "([0-9]+)", 1)).cast("long")
+    point = lambda n: F.when(n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    text = F.aggregate(codes, text, lambda done, c: F.replace(done, c, F.coalesce(point(number(c)), c)))
+    for said, meant in (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = F.regexp_replace(text, f"(?i)&{said};", meant)
+    return text
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst`` urls: all canonical links and refresh redirects that the pages' html declares, as they stand there."""
-    link = r"(?is)<link\b(?=[^>]*(?<![\w-])rel\s*=\s*(?:[\"'][^\"'>]*)?(?<![\w-])canonical(?![\w-]))[^>]*(?<![\w-])href\s*=\s*[\"']?\s*([^\"'\s>]+)"
-    refresh = r"(?is)<meta\b(?=[^>]*(?<![\w-])http-equiv\s*=\s*[\"']?\s*refresh\b)[^>]*(?<![\w-])content\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
-    to = F.concat(*(F.regexp_extract_all("html", F.lit(x), F.lit(1)) for x in (link, refresh)))
-    return pages.select(F.col("url").alias("src"), F.explode(to).alias("dst")).where("dst <> '' AND src IS NOT NULL")
+    """``src, dst`` urls: all canonical links and refresh redirects that the pages' html declares, as they stand there.
+
+    Comments declare nothing; a quoted target ends with its quote, and may hold spaces.
+    """
+    html = F.regexp_replace("html", r"(?s)<!--.*?(?:-->|$)", "")
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), F.lit(0))
+    links = F.filter(tags("link"), lambda t: attribute(t, "rel").rlike(r"(?i)(?<![\w-])canonical(?![\w-])"))
+    refresh = F.filter(tags("meta"), lambda t: attribute(t, "http-equiv").rlike(r"(?i)^\s*refresh\s*$"))
+    target = lambda t: F.regexp_replace(F.regexp_extract(attribute(t, "content"), r"(?is)\burl\s*=\s*(.*)$", 1), r"""(?s)^(["'])(.*?)\1.*$""", "$2")
+    to = F.concat(F.transform(links, lambda t: attribute(t, "href")), F.transform(refresh, target))
+    to = F.filter(F.transform(to, lambda u: F.trim(F.regexp_replace(unescaped(u), r"[\t\n\r\f]+", " "))), lambda u: u != "")
+    return pages.select(F.col("url").alias("src"), F.explode(to).alias("dst")).where("src IS NOT NULL")
 
 
 def node_of(url: Column) -> Column:
@@ -135,6 +159,17 @@ def declared_classes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return components(materialise(edges.unionByName(only))).select("node", F.regexp_extract("node", r"(?s)^[^?]*", 0).alias("plain"), F.col("component").alias("class"))
 
 
+def aliased(judged: DataFrame) -> DataFrame:
+    """``judged`` with ``plain`` replaced by the class that the edges from spellings to plain forms make."""
+    edges = judged.where("spelling <> plain").select(F.col("spelling").alias("src"), F.col("plain").alias("dst")).distinct()
+    named = components(materialise(edges))
+    # a class goes by its plain form, by which declared links know it
+    ends = edges.select(F.col("dst").alias("form")).distinct()
+    form = named.join(ends, F.col("node") == F.col("form")).groupBy("component").agg(F.min("form").alias("form"))
+    known = materialise(named.join(form, "component").select(F.col("node").alias("spelling"), "form"))
+    return judged.join(known, "spelling", "left").withColumn("plain", F.coalesce("form", "plain")).drop("spelling", "form")
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.  ``edges(src, dst)``: further urls that lead to each other."""
     links = page_edges(pages)
@@ -143,9 +178,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), node_of(F.col("url")).alias("node"))
     judged = with_rule(judged, rules)
-    judged = judged.withColumn("plain", F.when(F.col("host") != "", plain_form(F.col("host"), F.col("path")))).withColumn("node", F.when(F.col("host") != "", F.col("node")))
-    judged = materialise(judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("own"), "plain", "node"))
-    # decisions by plain form first: only these few rows meet the classes
+    there = lambda c: F.when(F.col("host") != "", c)
+    judged = judged.withColumns({"plain": there(plain_form(F.col("host"), F.col("path"))), "node": there(F.col("node")), "spelling": there(F.concat("host", "path"))})
+    judged = judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("own"), "plain", "node", "spelling")
+    judged = materialise(aliased(materialise(judged)))
+    # decisions by class of spellings first: only these few rows meet the declared classes
     said = judged.where("plain IS NOT NULL").groupBy("plain").agg(F.max((F.col("own") == "allow").cast("int")).alias("allowed"), F.max((F.col("own") == "block").cast("int")).alias("blocked"))
     said = materialise(said)
     shut = "blocked = 1 AND coalesce(allowed, 0) = 0"

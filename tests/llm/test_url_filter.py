@@ -1,3 +1,6 @@
+import random
+import re
+
 from offerloom.llm.url_filter import RULES, filter_urls
 
 from .helpers import by_id
@@ -91,3 +94,51 @@ def test_more_rules_than_a_map_holds(spark, monkeypatch):
     few = sorted(map(str, filter_urls(rows, rules).collect()))
     monkeypatch.setattr(url_filter, "MOST_RULES", 3)
     assert sorted(map(str, filter_urls(rows, rules).collect())) == few
+
+
+def test_quoted_targets_comments_and_references(spark):
+    shut = "http://a.net/es/my page"
+    rows = [(1, shut, "")]
+    forms = [
+        f'<link rel="canonical" href="{shut}">', f"<link href='{shut}' rel='canonical'>", f'<link title="a > b" rel=canonical href="  {shut}\n">', '<link rel="canonical" href="http://a.net/es/my&#32;page">',
+        '<link rel="canonical" href="http://a.net/es/my&#x20;page">', '<link rel="canonical" href="&#104;ttp://a.net/es/my page?utm_source=x&amp;utm_medium=y">', f"<meta content=\"0; url='{shut}'\" http-equiv='Refresh'>",
+        f'<!-- x --><link rel="canonical" href="{shut}"><!-- y -->',
+    ]
+    none = [f'<!-- <link rel="canonical" href="{shut}"> -->', f'<!-- <link rel="canonical" href="{shut}">', f'<link rel="alternate" href="{shut}">', f'<a rel="canonical" href="{shut}">', f'<link rel="canonical" title="{shut}">', '<link rel="canonical" href="http://a.net/es/my">']
+    rows += [(10 + i, f"http://o{i}.org/p", h) for i, h in enumerate(forms)] + [(50 + i, f"http://q{i}.org/p", h) for i, h in enumerate(none)]
+    found = {i: r.verdict for i, r in by_id(filter_urls(table(spark, rows)), "page_id").items()}
+    # (a path may begin like a shorter one: /es/my is another page)
+    assert {i for i, v in found.items() if v == "block"} == {1, *range(10, 10 + len(forms))}
+
+
+def test_random_link_graphs_equal_brute_force(spark):
+    """Pages in any spelling, links in any html form, decoys in comments; classes by union-find."""
+    for seed in range(3):
+        r = random.Random(seed)
+        hosts = [f"h{i}.org" for i in range(25)] + ["b.net", "c.net", "good.com"]
+        plain = [f"{h}/{p}" for h in hosts for p in ("es/a", "en/b", "fr/c d")]
+        spell = lambda p: r.choice(["http://", "https://"]) + r.choice(["", "www.", "m."]) + p + r.choice(["", "/", ".html", "#x", "/#y"])
+        pages, edges = [], []
+        for i in range(150):
+            p, t, html = r.choice(plain), r.choice(plain), "<p>"
+            if r.random() < 0.5:
+                u = spell(t)
+                html = r.choice([f'<link rel="canonical" href="{u}">', f"<link href='{u}' rel=canonical>", f'<meta http-equiv="refresh" content="0; url={u}">', f'<LINK REL="x canonical" HREF=" {u.replace(" ", "&#32;")} ">'])
+                edges.append((p, t))
+            pages.append((i, spell(p), html + f'<!-- <link rel="canonical" href="{spell(r.choice(plain))}"> -->'))
+        root = {p: p for p in plain}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        own = {i: brute(u)[3] for i, u, _ in pages}
+        place = {i: next(p for p in plain if re.fullmatch(r"https?://(www\.|m\.)?" + re.escape(p) + r"(/|\.html)?(#.*)?", u)) for i, u, _ in pages}
+        said: dict[str, set] = {}
+        for i, v in own.items():
+            said.setdefault(find(place[i]), set()).add(v)
+        want = {i: v or ("block" if "block" in said[find(place[i])] and "allow" not in said[find(place[i])] else "allow") for i, v in own.items()}
+        assert {i: x.verdict for i, x in by_id(filter_urls(table(spark, pages)), "page_id").items()} == want
