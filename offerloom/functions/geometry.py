@@ -73,6 +73,14 @@ def centre(q: Column) -> Column:
     return F.struct(mean("x").alias("x"), mean("y").alias("y"))
 
 
+def area_centre(q: Column) -> Column:
+    """Centre of the area of a quad; null if it has none."""
+    turn = lambda i: point(q, i)["x"] * point(q, (i + 1) % 4)["y"] - point(q, (i + 1) % 4)["x"] * point(q, i)["y"]
+    twice = turn(0) + turn(1) + turn(2) + turn(3)
+    along = lambda c: sum(((point(q, i)[c] + point(q, (i + 1) % 4)[c]) * turn(i) for i in range(1, 4)), (point(q, 0)[c] + point(q, 1)[c]) * turn(0)) / (3 * twice)
+    return F.when(twice != 0, F.struct(along("x").alias("x"), along("y").alias("y")))
+
+
 def ease(old: Column, new: Column, share: float = 0.35) -> Column:
     """Corners moved a share of the way."""
     move = lambda a, b: F.struct(*((a[c] + (b[c] - a[c]) * share).alias(c) for c in ("x", "y")))

@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from offerloom.functions import geometry, luma
 from offerloom.functions.text import find_pay, normalize
 
 # How much a frame must change to be looked at, and how little to be still.
 CHANGED, STILL = 6, 2
 AGREE = 2
 CLIPPED_SHARE = 0.02
+# Fixed value: within this share of a picture's range, what is nearer to dark or to light is too close to call.
+TOO_CLOSE = 0.06
 
 
 def in_order(by: list[str]) -> W:
@@ -97,6 +100,56 @@ def exposure_choice(frames: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min_by("exposure", F.struct(F.abs(F.col("brightness") - 205), F.col("exposure"))).alias("exposure"))
 
 
+def exposure_scores(shots: DataFrame, by: list[str], nth: str = "nth") -> DataFrame:
+    """``banding, brightness, clipped`` of the frames that were taken at one setting, ``by`` it.
+
+    Banding is what moves from frame to frame in the rows' means: a card's content stays and
+    cancels out.  Brightness and blown-out share are the first frame's.  Only profiles and two
+    numbers of a frame are shuffled, never its pixels.
+    """
+    told = shots.where(F.col("luma").isNotNull()).select(
+        *by, nth, luma.row_profile(F.col("luma")).alias("_profile"), luma.brightness(F.col("luma")).alias("_bright"), luma.clipped_share(F.col("luma")).alias("_clipped")
+    )
+    every = W.partitionBy(*by)
+    told = told.withColumn("_rows", F.min(F.size("_profile")).over(every)).withColumn("_before", F.lag("_profile").over(every.orderBy(nth)))
+    told = told.withColumn("_moved", F.when(F.col("_before").isNotNull(), luma.profile_change(F.col("_profile"), F.col("_before"), F.col("_rows"))))
+    return told.groupBy(*by).agg(
+        F.coalesce(F.avg("_moved"), F.lit(0.0)).alias("banding"), F.coalesce(F.min_by("_bright", nth), F.lit(0.0)).alias("brightness"), F.coalesce(F.min_by("_clipped", nth), F.lit(0.0)).alias("clipped")
+    )
+
+
+def dark_mode(rows: DataFrame, by: list[str], pixels: str = "pixels") -> DataFrame:
+    """``dark``: whether a card is light text on a dark ground, as its median is nearer to the dark end of its range.
+
+    A picture that is too close to call keeps the last answer of its rig, if there is one; a picture without pixels
+    has none and changes nothing.
+    """
+    p = F.col(pixels)
+    rows = rows.withColumns({"_low": luma.percentile(p, 5), "_high": luma.percentile(p, 95), "_ground": luma.percentile(p, 50)})
+    middle = (F.col("_low") + F.col("_high")) / 2
+    close = F.abs(F.col("_ground") - middle) < TOO_CLOSE * F.greatest(F.lit(1.0), F.col("_high") - F.col("_low"))
+    rows = rows.withColumn("_dark", F.col("_ground") < middle).withColumn("_close", close)
+    order = in_order(by).rowsBetween(W.unboundedPreceding, 0)
+    # a rig's first picture is an answer however close it is, and so is each that isn't too close
+    first = F.row_number().over(W.partitionBy(*by, F.col("_dark").isNull()).orderBy("seen_ms", "ord")) == 1
+    rows = rows.withColumn("_said", F.when(F.col("_dark").isNotNull() & (first | ~F.col("_close")), F.col("_dark")))
+    kept = F.last("_said", ignorenulls=True).over(order)
+    return rows.withColumn("dark", F.when(F.col("_dark").isNotNull(), kept)).drop("_low", "_high", "_ground", "_dark", "_close", "_said")
+
+
+def nearest_centre(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """``quad``: of a frame's candidates the one nearest its middle, one that holds the middle before all others.
+
+    Distance is the area's centre's, by the frame's longer side; a candidate without an area comes last, and the first
+    (``nth``) of equals is taken.  Expects ``quad``, ``nth``, ``frame_width``, ``frame_height``.
+    """
+    middle = F.struct((F.col("frame_width") / 2).alias("x"), (F.col("frame_height") / 2).alias("y"))
+    c = geometry.area_centre(F.col("quad"))
+    away = geometry.distance(c, middle) / F.greatest("frame_width", "frame_height")
+    score = F.when(c.isNull(), F.lit(1e9)).otherwise(away - geometry.contains(F.col("quad"), middle).cast("double"))
+    return candidates.where(F.col("quad").isNotNull()).withColumn("_score", score).groupBy(*by).agg(F.min_by("quad", F.struct("_score", "nth")).alias("quad"), F.min("_score").alias("score"), F.count("*").alias("candidates"))
+
+
 def browser_lock(rows: DataFrame, by: list[str], signature: list[str], misses: int = 3) -> DataFrame:
     """``agree, lock`` as a page keeps them: readings in a row that say the same lock if the last one is whole.
 

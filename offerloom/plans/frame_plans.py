@@ -84,3 +84,80 @@ def quad_metrics(spark, sf_dir):
     q = e.withColumn("q", F.array(p(210 + b, 400 + a), p(zero, 400 + b), p(zero, zero), p(200 + a, b))).withColumn("q", geometry.order_corners(F.col("q")))
     c = geometry.centre(F.col("q"))
     return q.select("ord", F.round(geometry.width(F.col("q")), 6).alias("width"), F.round(geometry.height(F.col("q")), 6).alias("height"), c["x"].alias("cx"), c["y"].alias("cy"))
+
+
+# Frames of 6 rows and 8 pixels from each event; three events are the frames of a shot, whose rows ripple at some settings.
+_LUMA = "SELECT event_id // 3 AS shot, event_id % 3 AS nth, (event_id // 3) % 12 AS exposure, (event_id // 36) % 4 AS rig, {pixels} AS luma FROM {events}"
+_PIXEL = "least(255, (event_id // 3 * 31 + r * 37 + c * 13) % 180 + 20 * ((event_id // 3) % 6) + CASE WHEN (event_id // 3) % 4 > 1 THEN (r + event_id) % 3 * 25 ELSE 0 END)"
+_SQL_ROWS = f"list_transform(generate_series(0, 5 - event_id % 2), lambda r: list_transform(generate_series(0, 7), lambda c: {_PIXEL}))"
+_SPARK_ROWS = f"transform(sequence(0L, 5 - event_id % 2), r -> transform(sequence(0L, 7L), c -> {_PIXEL}))".replace("//", "DIV")
+LUMA = _LUMA.format(pixels=_SQL_ROWS, events="events")
+
+
+def shots(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.sql(_LUMA.replace("//", "DIV").format(pixels=_SPARK_ROWS, events="{events}"), events=e)
+
+
+_SCORES = f"""WITH f AS (SELECT *, list_transform(luma, lambda r: list_avg(list_transform(r, lambda x: x::DOUBLE))) AS profile, flatten(luma) AS pixels FROM ({LUMA})),
+p AS (SELECT *, min(len(profile)) OVER (PARTITION BY shot) AS n, lag(profile) OVER (PARTITION BY shot ORDER BY nth) AS before FROM f)
+SELECT rig, exposure, shot, round(coalesce(avg(list_avg(list_transform(list_zip(profile[1:n], before[1:n]), lambda z: abs(z[1] - z[2])))) FILTER (WHERE before IS NOT NULL), 0), 6) AS banding,
+  round(arg_min(list_aggregate(pixels, 'quantile_cont', 0.9), nth), 6) AS brightness, round(arg_min(len(list_filter(pixels, lambda x: x >= 250)) / len(pixels)::DOUBLE, nth), 6) AS clipped FROM p GROUP BY rig, exposure, shot"""
+
+
+@query(_SCORES)
+def exposure_scores(spark, sf_dir):
+    told = frames.exposure_scores(shots(spark, sf_dir), ["rig", "exposure", "shot"])
+    return told.select("rig", "exposure", "shot", *(F.round(c, 6).alias(c) for c in ("banding", "brightness", "clipped")))
+
+
+@query(f"""SELECT rig, round_, arg_min(exposure, abs(brightness - 205) * 1000 + exposure) AS exposure FROM (SELECT *, min(banding) OVER (PARTITION BY rig, round_) AS least_b FROM (
+  SELECT *, shot // 48 AS round_, bool_or(clipped <= 0.08) OVER (PARTITION BY rig, shot // 48) AS any_ok FROM ({_SCORES})) WHERE clipped <= 0.08 OR NOT any_ok) WHERE banding <= least_b + 1 GROUP BY rig, round_""")
+def exposure_chosen(spark, sf_dir):
+    """The exposure of each round of calibration, from its frames' pixels."""
+    told = exposure_scores(spark, sf_dir).withColumn("round_", F.floor(F.col("shot") / 48).cast("long"))
+    return frames.exposure_choice(told, ["rig", "round_"])
+
+
+# Pictures of 21 pixels: ground and ink change ends every 50 events, and often the ground is near the middle.
+_CARDS = "SELECT user_id % 4 AS rig, event_id AS ord, {ms} AS seen_ms, CASE WHEN event_id % 31 > 0 THEN {pixels} END AS pixels FROM {events}"
+_INK = "CASE WHEN i < 3 THEN 20 + event_id % 7 WHEN i > 17 THEN 220 - event_id % 5 ELSE 120 + CASE event_id % 3 WHEN 0 THEN (event_id * 7) % 16 - 8 ELSE CASE WHEN (event_id // 50) % 2 = 0 THEN 60 ELSE -60 END + event_id % 9 END END"
+PICTURES = _CARDS.format(ms="epoch_us(ts) // 1000", pixels=f"list_transform(generate_series(0, 20), lambda i: {_INK})", events="events")
+
+
+def pictures(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pixels = f"transform(sequence(0L, 20L), i -> {_INK})".replace("//", "DIV")
+    return spark.sql(_CARDS.format(ms="unix_micros(CAST(ts AS TIMESTAMP)) div 1000", pixels=pixels, events="{events}"), events=e)
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT *, (lo + hi) / 2 AS mid FROM (SELECT rig, ord, seen_ms, list_aggregate(pixels, 'quantile_cont', 0.05) AS lo, list_aggregate(pixels, 'quantile_cont', 0.95) AS hi, list_aggregate(pixels, 'quantile_cont', 0.5) AS ground FROM ({PICTURES}))),
+g AS (SELECT *, row_number() OVER ({W}) AS n FROM d),
+walk AS (SELECT rig, 0::BIGINT AS n, 0::BIGINT AS ord, NULL::BOOLEAN AS was, NULL::BOOLEAN AS dark FROM (SELECT DISTINCT rig FROM g)
+UNION ALL SELECT rig, n, ord, coalesce(dark, s_was), dark FROM (SELECT x.rig, x.n, x.ord, s_was, CASE WHEN s_was IS NOT NULL AND abs(ground - mid) < 0.06 * greatest(1, hi - lo) THEN s_was ELSE ground < mid END AS dark
+  FROM (SELECT rig AS r_, n AS n_, was AS s_was FROM walk) s JOIN g x ON x.rig = r_ AND x.n = n_ + 1))
+SELECT rig, ord, CASE WHEN ground IS NOT NULL THEN dark END AS dark FROM walk JOIN g USING (rig, n, ord) WHERE n > 0""")
+def dark_mode(spark, sf_dir):
+    return frames.dark_mode(pictures(spark, sf_dir), ["rig"]).select("rig", "ord", "dark")
+
+
+# Three candidates a frame: boxes about the middle and beside it, some leaning, some flat.
+_BOXES = (
+    "SELECT event_id // 3 AS frame, event_id % 3 AS nth, 640.0::DOUBLE AS frame_width, 480.0::DOUBLE AS frame_height, 1.0::DOUBLE * ((event_id * 37) % 420) AS x, 1.0::DOUBLE * ((event_id * 53) % 300) AS y,"
+    " 1.0::DOUBLE * CASE WHEN event_id % 17 = 0 THEN 0 ELSE 60 + (event_id * 11) % 200 END AS w, 1.0::DOUBLE * CASE WHEN event_id % 17 = 0 THEN 0 ELSE 80 + (event_id * 7) % 160 END AS h, 1.0::DOUBLE * (event_id % 4 * 8) AS lean FROM {events}"
+)
+
+
+@query(f"""WITH b AS ({_BOXES.format(events='events')}), s AS (SELECT *, w > 0 AND x <= 320 - lean * (240 - y) / h AND 320 - lean * (240 - y) / h <= x + w AND y <= 240 AND 240 <= y + h AS holds,
+  sqrt((x + w / 2 + lean / 2 - 320) * (x + w / 2 + lean / 2 - 320) + (y + h / 2 - 240) * (y + h / 2 - 240)) / 640 AS away FROM b),
+r AS (SELECT *, CASE WHEN w > 0 THEN away - CASE WHEN holds THEN 1 ELSE 0 END ELSE 1e9 END AS score FROM s)
+SELECT frame, arg_min(x, nth) FILTER (WHERE place = 1) AS x, arg_min(y, nth) FILTER (WHERE place = 1) AS y, round(min(score), 6) AS score, count(*) AS candidates
+FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(score, 9), nth) AS place FROM r) GROUP BY frame""")
+def nearest_centre(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    b = spark.sql(_BOXES.replace("//", "DIV").replace("::DOUBLE", "D").format(events="{events}"), events=e)
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, w, h, lean = (F.col(c) for c in ("x", "y", "w", "h", "lean"))
+    b = b.withColumn("quad", F.array(p(x, y), p(x + w, y), p(x + w + lean, y + h), p(x + lean, y + h)))
+    found = frames.nearest_centre(b, ["frame"])
+    return found.select("frame", F.get("quad", 0)["x"].alias("x"), F.get("quad", 0)["y"].alias("y"), F.round("score", 6).alias("score"), "candidates")
