@@ -10,21 +10,17 @@ from offerloom.plans.base import ORACLES, query
 from offerloom.plans.stream_plans import drain
 from offerloom.streaming import controllers as c
 from offerloom.streaming import gates
-from offerloom.streaming.machines import LATENESS_MS, PROVIDER, fold, live
+from offerloom.streaming.machines import LATENESS_MS, fold, live
 
 
 def events(spark, sf_dir, sql: str) -> DataFrame:
-    return spark.sql(sql.replace(" // ", " DIV ").replace("::DOUBLE", "D"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    plain = sql.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}")  # braces of JSON are text
+    return spark.sql(plain.replace(" // ", " DIV ").replace("::DOUBLE", "D"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def streamed(spark, rows: DataFrame, machine, name: str, initial: DataFrame | None = None) -> DataFrame:
     """``rows``, in several micro-batches by time, through a machine as a stream."""
-    before = spark.conf.get(PROVIDER[0], None)
-    spark.conf.set(*PROVIDER)
-    try:
-        return drain(spark, rows, lambda s: live(s, machine, initial), name, batches=3)
-    finally:
-        spark.conf.unset(PROVIDER[0]) if before is None else spark.conf.set(PROVIDER[0], before)
+    return drain(spark, rows, lambda s: live(s, machine, initial), name)
 
 
 # Walks in SQL: rows of a rig one by one, each state kept; layers name what the next ones use.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from offerloom.plans.base import query
 from offerloom.plans.sync_plans import batch
 from offerloom.sources import fixtures as fx
 from offerloom.streaming import jobs
+from offerloom.streaming.machines import PROVIDER
 
 
 #: Three readings of an offer, a second apart, dealt to four rigs.  Of a rig's every twelve offers the sixth pays what
@@ -81,19 +83,36 @@ def _folder(spark) -> str:
     return f"{base}/streams/{uuid.uuid4().hex}"
 
 
-def drain(spark, rows: DataFrame, make, name: str, batches: int = 2, time: str = "ts_ms") -> DataFrame:
-    """Write ``rows`` as files, run ``make`` over them as a stream until they are read, and return what it wrote.
-
-    Files follow each other in time, and a micro-batch reads one of them.
-    """
-    at = _folder(spark)
+def feed(spark, rows: DataFrame, at: str, batches: int, time: str) -> DataFrame:
+    """``rows`` as a stream of files that follow each other in time, one in a micro-batch."""
     cuts = rows.approxQuantile(time, [k / batches for k in range(1, batches)], 0.01) if time in rows.columns else []
     for low, high in zip([None, *cuts], [*cuts, None]):
         some = rows if low is None else rows.where(F.col(time) > low)
         (some if high is None else some.where(F.col(time) <= high)).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    writer = make(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
-    writer.queryName(f"{name}_{uuid.uuid4().hex[:8]}").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+@contextmanager
+def named_states(spark):
+    """Streams begun within keep named states and timers."""
+    before = spark.conf.get(PROVIDER[0], None)
+    spark.conf.set(*PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER[0]) if before is None else spark.conf.set(PROVIDER[0], before)
+
+
+def finish(writer, at: str, name: str) -> None:
+    """Run a stream until its source is read."""
+    writer.option("checkpointLocation", f"{at}/state").queryName(f"{name}_{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start().awaitTermination()
+
+
+def drain(spark, rows: DataFrame, make, name: str, batches: int = 3, time: str = "ts_ms") -> DataFrame:
+    """What ``make`` says of ``rows`` as a stream."""
+    at = _folder(spark)
+    with named_states(spark):
+        finish(make(feed(spark, rows, at, batches, time)).writeStream.format("parquet").option("path", f"{at}/out").outputMode("append"), at, name)
     return spark.read.parquet(f"{at}/out")
 
 
@@ -127,4 +146,4 @@ def batch_identity(spark, sf_dir):
 
 @query(f"SELECT DISTINCT CASE WHEN ord % 19 = 0 THEN NULL ELSE (ord // 2)::VARCHAR END AS sync_key FROM {fx.offers_sql()} WHERE ord % 19 <> 0")
 def stream_ingest_dedupe(spark, sf_dir):
-    return drain(spark, batch(spark, sf_dir), jobs.dedupe_stream, "dedupe").select("sync_key")
+    return drain(spark, batch(spark, sf_dir), jobs.dedupe_stream, "dedupe", time="ord").select("sync_key")

@@ -142,6 +142,7 @@ class Attention(Machine):
 
     STATES = {"burst": Burst, "beat": Beat}
     OUT = "rig long, at_ms long, kind string"
+    TIMED = True
 
     def step(self, row: Values) -> Iterator[Values]:
         if row["whole"] and row["stable"]:

@@ -1,123 +1,110 @@
-"""The state machines over tables and streams, keyed by rig.
+"""The card and offer machines over tables and streams, keyed by rig.
 
-Batches are dealt by rig, sorted, and folded row by row, so a rig's record streams through
-its task and is never held whole.  Streams keep each rig's state as JSON in the state store.
-Rows of one micro-batch are ordered by time and ``ord`` first; a later batch continues.
-After a restart without a checkpoint, each rig's last journal row says where it goes on.
+A table's rows are dealt by rig, sorted, and stream through a task, so a rig's record is never
+held whole.  A stream keeps each rig's card and offer as two named states.  After a restart
+without a checkpoint each rig's last journal row is handed over as initial state and says
+where the rig goes on.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from offerloom.streaming.merge import Card, Offer, from_json, identify, merge, resumed, to_json
+from offerloom.streaming.machines import Machine, Values, fold, live
+from offerloom.streaming.merge import Card, Leg, Offer, identify, merge, resumed
 
 EVENT = ["rig", "ord", "ts_ms", "pay", "minutes", "miles", "items", "deliver_by", "legs", "leg_detail", "miles_corrected", "shop", "settled", "locked"]
 _NUMBERS = "pay double, minutes double, miles double, items double, deliver_by int, legs int"
 MERGED = f"rig long, ord long, ts_ms long, {_NUMBERS}, merged_from int, episode long, new_card boolean, has_total boolean, grew boolean, miles_corrected boolean, miles_uncertain boolean, shop boolean, complete boolean"
 JOURNAL = f"rig long, ord long, ts_ms long, offer_id string, seq int, first_ms long, settled boolean, {_NUMBERS}, shop boolean, has_total boolean, miles_uncertain boolean"
-
-
+#: What of a rig's last journal row says where to go on.
 LAST = ["ts_ms", "offer_id", "seq", "first_ms", "pay", "minutes", "miles", "items", "deliver_by", "has_total", "miles_uncertain"]
 
 
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
+@dataclass
+class Words:
+    json: str | None = None
 
 
-def _none(v):
-    return None if v is None or isinstance(v, float) and v != v or v is pd.NaT or v is pd.NA else v
+class Merging(Machine):
+    """Readings to what each card's readings say together."""
 
+    STATES = {"card": Words}
+    OUT = MERGED
 
-def _events(pdf: pd.DataFrame) -> Iterator[dict]:
-    for values in pdf[[*EVENT, "last"]].itertuples(index=False, name=None):
-        e = dict(zip([*EVENT, "last"], values))
-        legs, last = e.pop("leg_detail"), e.pop("last")
-        e = {k: _none(v) for k, v in e.items()}
-        e["leg_detail"] = [{k: _none(v) for k, v in leg.items()} for leg in (legs if legs is not None else [])]
-        for name in ("deliver_by", "legs"):
-            e[name] = None if e[name] is None else int(e[name])
-        e["last"] = {k: _none(v) for k, v in dict(last).items()} if last is not None else None
-        yield e
+    def __init__(self) -> None:
+        self.card = Card()
 
+    def pack(self) -> dict[str, tuple]:
+        return {"card": (json.dumps(asdict(self.card)),)}
 
-def _advance(state: tuple[Card, Offer], e: dict, journal: bool) -> tuple[tuple[Card, Offer], dict | None]:
-    card, offer = state
-    card, merged = merge(card, e)
-    if not journal:
-        return (card, offer), merged
-    if not (merged["merged_from"] and merged["complete"] and e["locked"]):  # the gate: a whole offer that two readings agree on
-        return (card, offer), None
-    offer, row = identify(offer, merged)
-    return (card, offer), row
+    def unpack(self, held: dict[str, tuple]) -> None:
+        if "card" in held:
+            values = json.loads(held["card"][0])
+            self.card = Card(**values | {"legs": [Leg(**x) for x in values["legs"]]})
 
+    def step(self, row: Values) -> Iterator[Values]:
+        self.card, merged = merge(self.card, row)
+        yield merged
 
-def _start(e: dict) -> tuple[Card, Offer]:
-    """A rig's state before its first reading ``e``."""
-    return Card(), resumed(e["last"], e["ts_ms"]) if e["last"] else Offer()
 
+class Journal(Merging):
+    """Readings to journal rows."""
 
-def _with_last(readings: DataFrame, last: DataFrame | None) -> DataFrame:
-    """Readings with their rig's last journal row, of which there is one a rig at most."""
-    rows = readings.select(*EVENT)
-    kind = "struct<ts_ms:long,offer_id:string,seq:int,first_ms:long,pay:double,minutes:double,miles:double,items:double,deliver_by:int,has_total:boolean,miles_uncertain:boolean>"
-    if last is None:
-        return rows.withColumn("last", F.lit(None).cast(kind))
-    newest = last.groupBy("rig").agg(F.max_by(F.struct(*LAST), F.struct("ts_ms", "seq")).cast(kind).alias("last"))
-    return rows.join(newest, "rig", "left")
+    STATES = {"card": Words, "offer": Words, "last": Words}
+    OUT = JOURNAL
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.offer: Offer | None = None
+        self.last: Values | None = None
 
-def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
-    names = _names(schema)
-    kinds = dict(x.split() for x in schema.split(", "))
-    pd_kind = {"long": "Int64", "int": "Int32", "boolean": "boolean", "double": "Float64", "string": "object"}
-    return pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names).astype({n: pd_kind[kinds[n]] for n in names})
+    def begin(self, row: Values) -> None:
+        self.last = {name: row[name] for name in LAST}
 
+    def pack(self) -> dict[str, tuple]:
+        return super().pack() | {"offer": (self.offer and json.dumps(asdict(self.offer)),), "last": (self.last and json.dumps(self.last),)}
 
-def merge_batch(readings: DataFrame, journal: bool = False, last: DataFrame | None = None) -> DataFrame:
-    """Merged readings (or journal rows) of a table of ``EVENT`` columns; ``last``: journal rows written before."""
-    schema = JOURNAL if journal else MERGED
+    def unpack(self, held: dict[str, tuple]) -> None:
+        super().unpack(held)
+        offer, last = (json.loads(held[name][0]) if held.get(name, (None,))[0] else None for name in ("offer", "last"))
+        self.offer, self.last = offer and Offer(**offer), last
+
+    def step(self, row: Values) -> Iterator[Values]:
+        if self.offer is None:
+            self.offer = resumed(self.last, row["ts_ms"]) if self.last else Offer()
+        self.card, merged = merge(self.card, row)
+        if merged["merged_from"] and merged["complete"] and row["locked"]:  # the gate: a whole offer that two readings agree on
+            self.offer, written = identify(self.offer, merged)
+            if written:
+                yield written
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rig, state = None, None
-        for pdf in batches:
-            out = []
-            for e in _events(pdf):
-                if state is None or e["rig"] != rig:
-                    rig, state = e["rig"], _start(e)
-                state, row = _advance(state, e, journal)
-                if row:
-                    out.append(row)
-            if out:
-                yield _frame(out, schema)
 
-    return _with_last(readings, last).repartition("rig").sortWithinPartitions("rig", "ts_ms", "ord").mapInPandas(fold, schema)
+def last_rows(last: DataFrame | None) -> DataFrame | None:
+    """Each rig's last row of a journal."""
+    if last is None:
+        return None
+    return last.groupBy("rig").agg(F.max_by(F.struct(*LAST), F.struct("ts_ms", "seq")).alias("r")).select("rig", "r.*")
 
 
-def merge_stream(readings: DataFrame, journal: bool = False, last: DataFrame | None = None) -> DataFrame:
-    """The same over a stream; bound a micro-batch by the source's ``maxFilesPerTrigger``."""
-    schema = JOURNAL if journal else MERGED
+def merge_batch(readings: DataFrame, journal: bool = False, last: DataFrame | None = None) -> DataFrame:
+    """Merged readings (or journal rows) of a table of ``EVENT`` columns; ``last``: journal rows written before."""
+    return fold(readings.select(*EVENT), Journal if journal else Merging, initial=last_rows(last) if journal else None)
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = from_json(json.loads(held.get[0])) if held.exists else None
-        out = []
-        for e in _events(pd.concat(list(batches)).sort_values(["ts_ms", "ord"])):
-            state, row = _advance(state or _start(e), e, journal)
-            if row:
-                out.append(row)
-        held.update((json.dumps(to_json(*state)),))
-        if out:
-            yield _frame(out, schema)
 
-    return _with_last(readings, last).groupBy("rig").applyInPandasWithState(fold, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+def merge_stream(readings: DataFrame, journal: bool = False, last: DataFrame | None = None) -> DataFrame:
+    """The same over a stream; ``last`` is handed to the state store once, not to every reading."""
+    return live(readings.select(*EVENT), Journal if journal else Merging, last_rows(last) if journal else None)
 
 
 def dedupe_stream(rows: DataFrame, key: str = "sync_key") -> DataFrame:
-    """Rows of a stream whose key has not been seen; a copy may arrive any time later, so all keys stay in state."""
+    """Rows of a stream whose key has not been seen; a copy may arrive any time later, so all keys stay in state.
+
+    Of copies in one batch any stays; ``ingest.ingest`` keeps the first.
+    """
     return rows.where(F.col(key).isNotNull()).dropDuplicates([key])

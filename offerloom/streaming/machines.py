@@ -36,11 +36,21 @@ class Machine:
 
     STATES: dict[str, type] = {}
     OUT = ""
+    #: Whether it names times.  One that doesn't takes rows of any age.
+    TIMED = False
 
     def __init__(self) -> None:
         for name, kind in self.STATES.items():
             setattr(self, name, kind())
 
+    def pack(self) -> dict[str, tuple]:
+        """Its states as the state store keeps them."""
+        return {name: astuple(getattr(self, name)) for name in self.STATES}
+
+    def unpack(self, held: dict[str, tuple]) -> None:
+        for name, values in held.items():
+            setattr(self, name, self.STATES[name](*(list(v) if isinstance(v, (list, tuple)) else v for v in values)))
+
     def begin(self, row: Values) -> None:
         """Take over what was known of the key before its first row."""
 
@@ -115,14 +125,14 @@ class Live(StatefulProcessor):
 
     def _load(self) -> Machine:
         m = self.machine()
-        for name, kind in self.machine.STATES.items():
-            if self.held[name].exists():
-                setattr(m, name, kind(*(list(v) if isinstance(v, (list, tuple)) else v for v in self.held[name].get())))
+        m.unpack({name: tuple(v.get()) for name, v in self.held.items() if v.exists()})
         return m
 
     def _save(self, m: Machine) -> None:
-        for name in self.machine.STATES:
-            self.held[name].update(astuple(getattr(m, name)))
+        for name, values in m.pack().items():
+            self.held[name].update(values)
+        if not m.TIMED:
+            return
         due = m.due()
         before = list(self.handle.listTimers())
         for at in before:
@@ -162,6 +172,7 @@ PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sq
 
 def live(rows: DataFrame, machine: type[Machine], initial: DataFrame | None = None, key: str = "rig") -> DataFrame:
     """The same over a stream; the session needs ``PROVIDER``.  ``initial`` is handed to the state store once."""
-    timed = rows.withColumn("_at", F.timestamp_millis("ts_ms")).withWatermark("_at", LATENESS)
     first = None if initial is None else initial.groupBy(key)
-    return timed.groupBy(key).transformWithState(Live(machine), machine.OUT, "Append", "EventTime", first)
+    if machine.TIMED:
+        rows = rows.withColumn("_at", F.timestamp_millis("ts_ms")).withWatermark("_at", LATENESS)
+    return rows.groupBy(key).transformWithState(Live(machine), machine.OUT, "Append", "EventTime" if machine.TIMED else "None", first)

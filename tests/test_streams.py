@@ -2,7 +2,7 @@ import pytest
 
 from offerloom.plans import stream_plans
 from offerloom.streaming import jobs
-from offerloom.streaming.merge import Card, Offer, from_json, identify, merge, resumed, to_json, vote, winner
+from offerloom.streaming.merge import Card, Offer, identify, merge, resumed, vote, winner
 
 
 READING = "rig long, ord long, ts_ms long, pay double, minutes double, miles double, items double, deliver_by int, legs int, leg_detail array<struct<minutes:double,miles:double,is_total:boolean>>, miles_corrected boolean, shop boolean, settled boolean, locked boolean"
@@ -15,10 +15,12 @@ def event(ts, pay=10.0, legs=((20.0, 5.0, False),), **more):
 
 
 def run(events):
-    state, out = Card(), []
+    out, held = [], {}
     for e in events:
-        state, row = merge(from_json(to_json(state, Offer()))[0], e)
-        out.append(row)
+        m = jobs.Merging()
+        m.unpack(held)  # as a state store hands it over
+        out += m.step(e)
+        held = m.pack()
     return out
 
 
