@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerloom.llm.common import materialise, text_slices
@@ -37,6 +38,8 @@ BUCKETS = 1 << BUCKET_BITS
 GRAMS = (2, 3, 4)
 #: Documents that training looks at, and its rate at the start.
 STEPS, RATE = 4000, 2.0
+#: Bytes of counted features of each label's documents, beyond which no further document teaches.
+SAMPLE_BYTES = 128 << 20
 #: Code points handled at once.
 CHUNK = 1 << 19
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -183,8 +186,9 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
-    """Learn from at most ``per_class`` documents of each label outside fold 0.
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from at most ``per_class`` documents of each label outside fold 0, and no more of them than have
+    ``sample_bytes`` of counted features (the first one always teaches).
 
     They are chosen among those that have a text, of any length; a doc_id teaches one text, the
     least it has.  Tasks count the features; the driver gets these, ``BUCKETS`` numbers a
@@ -201,7 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
     if len(counts) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0 if not counts else (40.0 if share else -40.0))
     chosen = some[0].union(some[1])  # at most 2 * per_class rows, so it may be broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "quality", text_shares(F.col("text")).alias("s")).select("doc_id", "quality", "s.*").toPandas().sort_values("doc_id")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "quality", text_shares(F.col("text")).alias("s")).select("doc_id", "quality", "s.*")
+    rows = materialise(rows)
+    size = F.octet_length("ids") + F.octet_length("weights")
+    before = F.sum(size.cast("long")).over(W.partitionBy("quality").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))  # per_class rows at most
+    few = rows.select("doc_id", "quality", before.alias("before")).where(f"coalesce(before, 0) < {sample_bytes}").select("doc_id", "quality")
+    rows = rows.join(F.broadcast(few), ["doc_id", "quality"]).toPandas().sort_values("doc_id")
     if rows["quality"].nunique() < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     return train([(np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for i, w in zip(rows["ids"], rows["weights"])], rows["quality"].astype(int).tolist())

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from offerloom.llm import quality
 from offerloom.llm.common import table
 
-from .helpers import awkward, by_id, docs
+from .helpers import awkward, by_id, docs, prose
 
 
 def test_held_out_accuracy(spark):
@@ -80,3 +80,16 @@ def test_features_are_words_repeats_and_inner_grams():
     n = lambda t: sum(len(b) for _, b in quality.features([t]))
     # a word, its repeat mark, and of " ab " the n-grams of 2 to 4 code points with the boundary at an end only
     assert n("ab") == 2 + 3 + 2 + 1 and n("ab ab") == 2 * n("ab")
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Documents teach in the order of the sample until their features fill the bound; the first one always does."""
+    rows = [(i, prose(i, 40) if i % 2 else "junk " * 40, "en", "s", 0) for i in range(60)]
+    d = docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    taught = []
+    monkeypatch.setattr(quality, "train", lambda rows, labels, **how: taught.append(labels))
+    for bound in (1 << 40, 1, 3000):
+        quality.fit(d, labels, sample_bytes=bound)
+    every, one, some = taught
+    assert sorted(one) == [0, 1] and len(one) < len(some) < len(every) and some.count(0) > some.count(1)
