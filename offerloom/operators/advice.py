@@ -3,11 +3,15 @@
 Each rig's offers are cut into runs by silences.  A replay of a target within a run is
 greedy (take what pays enough while free) and so a fold over the run's offers in order; it
 is parallel over rigs, runs and thresholds, which are one more key, not a loop.  All targets
-of a run are tried in its row.
+are tried at once while a run's offers pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,33 +71,68 @@ def segment(df: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFram
 
 
 def runs(segments: DataFrame) -> DataFrame:
-    return segments.groupBy("rig", "threshold", "run").agg(
-        F.count("*").alias("offers"), F.min("seen_ms").alias("first_ms"), F.max("seen_ms").alias("last_ms"),
-        F.sort_array(F.collect_list(F.struct("seen_ms", "ord", "net", "mins", "per_hour"))).alias("os"),
-    )
-
-
-def replay(run_rows: DataFrame, targets: tuple[int, int] = TARGETS) -> DataFrame:
-    """``rig, threshold, target``: earned, hours, trips and offers over all runs."""
-    start = F.struct(F.lit(0.0).alias("e"), F.lit(0).cast("long").alias("n"), F.lit(-1.0).alias("b"))
-
-    def fold(target: Column) -> Column:
-        def step(a: Column, x: Column) -> Column:
-            busy = (x["seen_ms"] < a["b"]) | (x["per_hour"] < target)
-            took = F.struct((a["e"] + x["net"]).alias("e"), (a["n"] + 1).alias("n"), (x["seen_ms"] + x["mins"] * 60000.0).alias("b"))
-            return F.when(busy, a).otherwise(took)
-
-        return F.struct(target.alias("target"), F.aggregate("os", start, step).alias("r"))
-
-    # all targets read the run's one array; rows for each target carry its sums only
-    tried = F.explode(F.transform(F.sequence(F.lit(targets[0]), F.lit(targets[1])), fold)).alias("t")
-    rows = run_rows.select("rig", "threshold", "offers", "first_ms", "last_ms", tried).select("*", "t.*")
-    span = F.greatest(F.col("last_ms").cast("double"), F.col("r.b")) - F.col("first_ms")
-    # cents and milliseconds add up without rounding, whatever the order
-    total = rows.groupBy("rig", "threshold", "target").agg(
-        F.sum(F.round(F.col("r.e") * 100).cast("long")).alias("earned_cents"), F.sum(F.round(span).cast("long")).alias("busy_ms"),
-        F.sum("r.n").alias("trips"), F.sum("offers").alias("seen"),
-    )
+    return segments.groupBy("rig", "threshold", "run").agg(F.count("*").alias("offers"), F.min("seen_ms").alias("first_ms"), F.max("seen_ms").alias("last_ms"))
+
+
+_TOTALS = "rig long, threshold int, target int, earned_cents long, busy_ms long, trips long, seen long"
+
+
+def _replayed(targets: tuple[int, int]):
+    """Offers in order of rig, threshold, run and time to totals for each target, added up over the runs that follow each other."""
+    from_, to = targets
+    wanted = np.arange(from_, to + 1, dtype=float)
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rig", "threshold", "run", "seen_ms", "net", "mins", "per_hour"]
+        now = total = None
+        seen = 0
+
+        def ended() -> np.ndarray:
+            """A run's earnings, time and trips; cents and milliseconds add up without rounding, whatever the order."""
+            span = np.maximum(last, busy_until) - first
+            return np.stack([np.rint(earned * 100), np.rint(span), trips])
+
+        def told() -> pa.RecordBatch:
+            n = len(wanted)
+            whole = [x.astype(np.int64) for x in total]
+            columns = [np.full(n, now[0], np.int64), np.full(n, now[1], np.int32), wanted.astype(np.int32), *whole, np.full(n, seen, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rig", "threshold", "target", "earned_cents", "busy_ms", "trips", "seen"])
+
+        for batch in batches:
+            for rig, threshold, run, at, net, mins, per_hour in zip(*(batch.column(c).to_pylist() for c in names)):
+                if now != (rig, threshold, run):
+                    if now is not None:
+                        total = total + ended()
+                        if now[:2] != (rig, threshold):
+                            yield told()
+                    if now is None or now[:2] != (rig, threshold):
+                        total, seen = np.zeros((3, len(wanted))), 0
+                    now, first = (rig, threshold, run), at
+                    earned, trips, busy_until = np.zeros(len(wanted)), np.zeros(len(wanted)), np.full(len(wanted), -1.0)
+                takes = (at >= busy_until) & (per_hour >= wanted)
+                earned[takes] += net
+                trips[takes] += 1
+                busy_until[takes] = at + mins * 60000.0
+                last = at
+                seen += 1
+        if now is not None:
+            total = total + ended()
+            yield told()
+
+    return replayed
+
+
+def replay(segments: DataFrame, targets: tuple[int, int] = TARGETS) -> DataFrame:
+    """``rig, threshold, target``: earned, hours, trips and offers over all runs.
+
+    Runs are dealt by their key and sorted, and their offers stream through a task that holds one state for each
+    target; so a run may be of any length.  A task adds up the runs it has of a rig and threshold.
+    """
+    key = ["rig", "threshold", "run"]
+    rows = segments.select(F.col("rig").cast("long").alias("rig"), F.col("threshold").cast("int").alias("threshold"), "run", "seen_ms", "ord", "net", "mins", "per_hour")
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "seen_ms", "ord")
+    parts = dealt.mapInArrow(_replayed(targets), _TOTALS)
+    total = parts.groupBy("rig", "threshold", "target").agg(*(F.sum(c).alias(c) for c in ("earned_cents", "busy_ms", "trips", "seen")))
     per_hour = F.coalesce(F.try_divide(F.col("earned_cents") / 100.0, F.col("busy_ms") / 3600000.0), F.lit(0.0))
     return total.withColumn("per_hour", per_hour).withColumn("hours", F.col("busy_ms") / 3600000.0).withColumn("takes", F.coalesce(F.try_divide(F.col("trips"), F.col("seen")), F.lit(0.0)))
 
@@ -144,7 +183,7 @@ def advise(offers: DataFrame, target: int = 25) -> DataFrame:
     thresholds disagree (``unsettled``).  What a target would have earned is not given out.
     """
     counted = usable(trustworthy(offers))
-    found = answers(replay(runs(segment(counted))))
+    found = answers(replay(segment(counted)))
     main = F.when(F.col("threshold") == MAIN_THRESHOLD, F.struct("best", "low", "high", "trips", "hours", "ladder"))
     # a rig's few answers meet in one row
     found = found.groupBy("rig").agg(

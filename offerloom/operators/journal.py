@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -105,6 +106,21 @@ def iso_time(ms: Column) -> Column:
     return F.when(ok, F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise("")
 
 
+def plain_number(c: Column) -> Column:
+    """A double in its shortest digits, without an exponent from 1e-6 up to 1e21; beyond that as 5e-7 or 1e+21.
+
+    The digits are the JVM's, which may have one more than needed beyond 15 figures.
+    """
+    said, size = c.cast("string"), F.abs(c)
+    digits = lambda scale: F.regexp_replace(said.cast(f"decimal(38,{scale})").cast("string"), r"\.?0+$", "")
+    far = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, r"\.0E", "E"), "E-", "e-"), "E", "e+")
+    whole = F.regexp_replace(said.cast("decimal(38,0)").cast("string"), r"^-0$", "0")
+    return (
+        F.when(F.isnan(c) | (size == float("inf")), said).when(c == 0, "0").when((size < 1e-6) | (size >= 1e21), far)
+        .when(c == F.floor(c), whole).when(size < 1, digits(24)).otherwise(digits(16))
+    )
+
+
 def csv_cell(c: Column, kind: str) -> Column:
     """A cell of a line: empty for null, 1 or 0 for a flag, a bare number, a joined list, a quoted text."""
     if kind == "boolean":
@@ -114,8 +130,7 @@ def csv_cell(c: Column, kind: str) -> Column:
     elif kind == "string":
         cell = quoted(c)
     elif kind == "double":
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        cell = F.when(whole, c.cast("long").cast("string")).otherwise(c.cast("string"))
+        cell = plain_number(c)
     else:
         cell = c.cast("string")
     return F.when(c.isNull(), "").otherwise(cell)
@@ -178,10 +193,20 @@ def response(offers: DataFrame, floor_ms: Column, limit: int, show_hidden: bool
 def python_round(x: Column, places: int) -> Column:
     """``x`` to so many decimals as binary arithmetic is rounded exactly: halves to the even digit."""
 
+    unit = 10.0**places
+
     @F.arrow_udf("double")
     def rounded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
-            yield pa.array([None if v is None else float(round(v, places)) for v in values.to_pylist()], pa.float64())
+            x, known = values.to_numpy(zero_copy_only=False), values.is_valid().to_numpy(zero_copy_only=False)
+            with np.errstate(invalid="ignore", over="ignore"):
+                scaled = x * unit
+                out = np.rint(scaled) / unit
+                # near a half, or too large for whole steps, the number itself decides
+                odd = ~(np.abs(scaled - np.floor(scaled) - 0.5) > 1e-6) | ~(np.abs(scaled) < 2**40)
+            for i in np.flatnonzero(odd & known):
+                out[i] = round(float(x[i]), places)
+            yield pa.array(out, pa.float64(), mask=~known)
 
     return rounded(x.cast("double"))
 

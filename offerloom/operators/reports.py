@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from offerloom.streaming.machines import Machine, Values, fold
+
 
 def utc(ms: Column) -> Column:
     return F.timestamp_millis(ms)
@@ -59,26 +64,48 @@ def by_place(rows: DataFrame, query: str) -> DataFrame:
     return rows.where(F.exists("places", lambda p: F.contains(F.lower(p), F.lit(query.lower()))))
 
 
-def health(reads: DataFrame, by: list[str], seconds: int = 120) -> DataFrame:
+HEALTH_S = 120
+
+
+@dataclass
+class Since:
+    ms: int | None = None
+
+
+class HealthClock(Machine):
+    """A read to the time at which its window began: a rig's first read, or the first one two minutes after that of the window before."""
+
+    STATES = {"since": Since}
+    OUT = "rig long, from_ms long, ms long, complete boolean, no_pay boolean, failed boolean"
+
+    def step(self, row: Values) -> Iterator[Values]:
+        if self.since.ms is None or row["ts_ms"] - self.since.ms >= HEALTH_S * 1000:
+            self.since.ms = row["ts_ms"]
+        yield {**{c: row[c] for c in ("ms", "complete", "failed")}, "no_pay": row["pay"] is None, "from_ms": self.since.ms}
+
+
+def health_reads(reads: DataFrame) -> DataFrame:
+    """Reads in the form that ``HealthClock`` takes."""
+    return reads.select("rig", F.lit(0).cast("long").alias("ord"), F.col("seen_ms").alias("ts_ms"), F.col("ms").cast("long").alias("ms"), "complete", "pay", "failed")
+
+
+def told_health(rows: DataFrame) -> DataFrame:
+    """Windows from reads that know theirs; a window holds two minutes of reads, so its latencies fit in a row."""
+    ms = F.sort_array(F.collect_list("ms"))
+    return rows.groupBy("rig", "from_ms").agg(
+        F.count("*").alias("reads"), F.count_if("complete").alias("complete"), F.count_if("no_pay").alias("no_pay"), F.count_if("failed").alias("failed"),
+        F.get(ms, F.floor(F.size(ms) / 2).cast("int")).alias("upper_median_ms"),
+    )
+
+
+def health(reads: DataFrame) -> DataFrame:
     """Reads in windows of two minutes or more: how many, how many whole, without pay, failed, and the upper median latency.
 
     A window begins with a rig's first read after the last window has ended, and ends with the
     first read that is two minutes later than its first; so windows without reads don't exist.
+    A rig's reads stream through a task, which holds one time.
     """
-    gap = seconds * 1000
-    order = W.partitionBy(*by).orderBy("seen_ms")
-    # a silence as long as a window always ends one, so each stretch between silences is told on its own
-    breaks = F.coalesce((F.col("seen_ms") - F.lag("seen_ms").over(order) >= gap).cast("int"), F.lit(0))
-    rows = reads.withColumn("_break", breaks).withColumn("_stretch", F.sum("_break").over(order))
-    start = lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= gap), F.concat(a, F.array(t))).otherwise(a)
-    times = rows.groupBy(*by, "_stretch").agg(F.sort_array(F.collect_set("seen_ms")).alias("times"))
-    starts = times.select(*by, "_stretch", F.aggregate("times", F.array().cast("array<long>"), start).alias("starts"))
-    rows = rows.join(starts, [*by, "_stretch"]).withColumn("from_ms", F.array_max(F.filter("starts", lambda t: t <= F.col("seen_ms"))))
-    ms = F.sort_array(F.collect_list("ms"))
-    return rows.groupBy(*by, "from_ms").agg(
-        F.count("*").alias("reads"), F.count_if("complete").alias("complete"), F.count_if(F.col("pay").isNull()).alias("no_pay"), F.count_if("failed").alias("failed"),
-        F.get(ms, F.floor(F.size(ms) / 2).cast("int")).alias("upper_median_ms"),
-    )
+    return told_health(fold(health_reads(reads), HealthClock))
 
 
 def half_up(x: Column) -> Column:

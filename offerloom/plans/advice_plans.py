@@ -56,7 +56,7 @@ def usable(spark, sf_dir):
 
 
 def steps(spark, sf_dir):
-    return advice.replay(advice.runs(advice.segment(usable(spark, sf_dir))))
+    return advice.replay(advice.segment(usable(spark, sf_dir)))
 
 
 @query(f"SELECT rig, count(*) AS offers FROM {fx.offers_sql()} WHERE NOT hidden AND NOT suspect AND whole IS DISTINCT FROM false GROUP BY rig")
@@ -71,7 +71,7 @@ def usable_offers(spark, sf_dir):
 
 @query(f"SELECT rig, threshold, run, count(*) AS offers, min(seen_ms) AS first_ms, max(seen_ms) AS last_ms FROM {segments_sql()} GROUP BY ALL")
 def runs_segments(spark, sf_dir):
-    return advice.runs(advice.segment(usable(spark, sf_dir))).drop("os")
+    return advice.runs(advice.segment(usable(spark, sf_dir)))
 
 
 @query(f"SELECT rig, count(*) FILTER (WHERE idle_ms > 1800000) AS silences, count(*) FILTER (WHERE took) AS tagged FROM {idle_sql()} GROUP BY rig")

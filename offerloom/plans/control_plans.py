@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.plans import frame_plans, record_plans
+from offerloom.operators import reports
+from offerloom.plans import frame_plans, record_plans, report_plans
 from offerloom.plans.base import ORACLES, query
 from offerloom.plans.stream_plans import drain
 from offerloom.streaming import controllers as c
@@ -242,3 +243,10 @@ def looks(spark, sf_dir):
 @query(ATTENTION_SQL)
 def stream_looks(spark, sf_dir):
     return streamed(spark, views(spark, sf_dir), gates.Attention, "looks")
+
+
+@query(ORACLES["health_windows"])
+def stream_health(spark, sf_dir):
+    """Each read's window told as it comes, over micro-batches."""
+    rows = reports.health_reads(report_plans.health_reads(spark, sf_dir))
+    return reports.told_health(streamed(spark, rows, reports.HealthClock, "health"))

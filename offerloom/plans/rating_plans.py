@@ -83,9 +83,8 @@ CARDS = fx.card_numbers_sql()
 
 
 def cards(spark, sf_dir):
-    """Card texts, dealt over all cores if the scan has fewer parts: reading a card costs more than moving it."""
-    c, cores = fx.cards(spark, sf_dir), spark.sparkContext.defaultParallelism
-    return c if c.rdd.getNumPartitions() >= cores else c.repartition(cores, "ord")
+    """Card texts, dealt before they are read: reading a card costs more than moving its numbers."""
+    return fx.cards(spark, sf_dir, dealt=True)
 
 
 @query(f"SELECT ord, CASE WHEN kind = 2 THEN hr % 12 * 60 + mi + 720 END AS deadline FROM {CARDS}")

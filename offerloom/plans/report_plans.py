@@ -68,8 +68,11 @@ def place_search(spark, sf_dir):
   SELECT r.rig, from_ms, count(*) AS reads, count(*) FILTER (WHERE c) AS complete, 0::BIGINT AS no_pay, count(*) FILTER (WHERE f) AS failed, list_sort(list(ms))[count(*) // 2 + 1] AS upper_median_ms
   FROM r JOIN s ON r.rig = s.rig AND seen_ms >= from_ms AND seen_ms < to_ms GROUP BY r.rig, from_ms""")
 def health_windows(spark, sf_dir):
-    reads = fx.offers(spark, sf_dir).withColumns({"ms": 100 + (F.col("ord") * 37) % 900, "complete": F.col("ord") % 3 > 0, "failed": F.col("ord") % 10 == 0})
-    return reports.health(reads, ["rig"])
+    return reports.health(health_reads(spark, sf_dir))
+
+
+def health_reads(spark, sf_dir):
+    return fx.offers(spark, sf_dir).withColumns({"ms": 100 + (F.col("ord") * 37) % 900, "complete": F.col("ord") % 3 > 0, "failed": F.col("ord") % 10 == 0})
 
 
 @query(f"""SELECT ord, CASE WHEN m < 1 THEN 'now' WHEN m < 60 THEN m || 'm ago' WHEN (m + 30) // 60 < 24 THEN (m + 30) // 60 || 'h ago' ELSE ((m + 30) // 60 + 12) // 24 || 'd ago' END AS said

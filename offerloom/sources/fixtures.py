@@ -14,6 +14,7 @@ _VARIANTS = {
     "uniform": ("(200 + (event_id * 7919) % 2800) / 100.0{d}", "CAST(5 + (event_id * 31) % 40 AS DOUBLE)", "(5 + (event_id * 17) % 150) / 10.0{d}"),
     "two_tier": ("CAST(CASE WHEN event_id % 3 = 0 THEN 18 ELSE 5 END AS DOUBLE)", "CAST(30 AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
     "flat": ("CAST(10 AS DOUBLE)", "CAST(20 AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
+    # few offers a rig: each rig has thirty
     "thin": ("CAST(CASE WHEN event_id % 3 = 0 THEN 18 ELSE 5 END AS DOUBLE)", "CAST(30 AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
 }
 RIGS = 4
@@ -22,10 +23,9 @@ RIGS = 4
 def _select(variant: str, d: str, seen: str) -> str:
     pay, minutes, miles = (x.format(d=d) for x in _VARIANTS[variant])
     return (
-        f"SELECT user_id % {RIGS} AS rig, event_id AS ord, {seen} AS seen_ms, CAST({pay} AS DOUBLE) AS pay, {minutes} AS minutes,"
+        f"SELECT {'event_id // 30' if variant == 'thin' else f'user_id % {RIGS}'} AS rig, event_id AS ord, {seen} AS seen_ms, CAST({pay} AS DOUBLE) AS pay, {minutes} AS minutes,"
         f" CAST({miles} AS DOUBLE) AS miles, event_type = 'purchase' AS accepted, event_id % 97 = 0 AS hidden, event_id % 53 = 0 AS suspect,"
         f" CASE WHEN event_id % 41 = 0 THEN false END AS whole, CASE WHEN event_id % 5 = 0 THEN true END AS shop FROM events"
-        + (" WHERE event_id < 60" if variant == "thin" else "")
     )
 
 
@@ -33,7 +33,7 @@ def offers(spark: SparkSession, sf_dir: str, variant: str = "uniform") -> DataFr
     """One offer for each event: rig, ord, seen_ms, pay, minutes, miles, accepted, hidden, suspect, whole, shop."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     seen = "unix_micros(CAST(ts AS TIMESTAMP)) div 1000"
-    return spark.sql(_select(variant, "D", seen).replace("FROM events", "FROM {events}"), events=events)
+    return spark.sql(_select(variant, "D", seen).replace(" // ", " div ").replace("FROM events", "FROM {events}"), events=events)
 
 
 def offers_sql(variant: str = "uniform") -> str:
@@ -65,7 +65,7 @@ _MARKS = (
 )
 _RULES = (
     "SELECT user_id % 4 AS rig, event_id AS ord, (200 + ((event_id DIV 3) * 7919) % 2800) / 100.0{d} AS pay, CAST(5 + ((event_id DIV 3) * 31) % 40 AS DOUBLE) AS minutes,"
-    " CASE WHEN event_id % 2 = 0 THEN (5 + ((event_id DIV 3) * 17) % 150) / 10.0{d} END AS miles, event_id % 5 <> 0 AS hidden FROM {events} WHERE event_id % 211 = 0"
+    " CASE WHEN event_id % 2 = 0 THEN (5 + ((event_id DIV 3) * 17) % 150) / 10.0{d} END AS miles, event_id % 5 <> 0 AS hidden FROM {events} WHERE event_type = 'click'"
 )
 
 
@@ -101,9 +101,13 @@ def card_numbers_sql() -> str:
     return f"({_CARD_NUMBERS.replace('{orders}', 'orders')})"
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Card texts: two-leg rides, totals, deliveries and shopping jobs; every fifth misread."""
+def cards(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Card texts: two-leg rides, totals, deliveries and shopping jobs; every fifth misread.
+
+    ``dealt``: over as many parts as a shuffle has, whatever the scan's.
+    """
     c = card_numbers(spark, sf_dir)
+    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ord") if dealt else c
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     money = F.concat(F.lit("$"), (F.col("cents") / 100).cast("long"), F.lit("."), two(F.col("cents") % 100))
     leg = lambda m, d, after: F.concat(F.col(m), F.lit(" min ("), F.col(d), F.lit(".5 mi) "), F.lit(after))

@@ -40,9 +40,9 @@ def test_replay_equals_a_plain_loop(spark):
         t += r.choice([1, 3, 7, 20, 40])
         rows.append((t, r.randint(200, 3000) / 100, r.randint(5, 45), r.random() < 0.2))
     df = offers(spark, rows)
-    got = {(x.threshold, x.target): (round(x.earned_cents / 100, 6), round(x.busy_ms / MINUTE, 6), x.trips) for x in advice.replay(advice.runs(advice.segment(advice.usable(df)))).collect()}
+    got = {(x.threshold, x.target): (round(x.earned_cents / 100, 6), round(x.busy_ms / MINUTE, 6), x.trips) for x in advice.replay(advice.segment(advice.usable(df))).collect()}
     assert got == {(g, k): brute(rows, g, k) for g in advice.THRESHOLDS for k in range(61)}
-    shuffled = advice.replay(advice.runs(advice.segment(advice.usable(df.orderBy(F.rand(3))))))
+    shuffled = advice.replay(advice.segment(advice.usable(df.orderBy(F.rand(3)))))
     assert {(x.threshold, x.target): x.trips for x in shuffled.collect()} == {k: v[2] for k, v in got.items()}
 
 

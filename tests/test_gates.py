@@ -30,7 +30,7 @@ def test_typed(spark):
 def test_health_windows(spark):
     times = [0, 60_000, 119_999, 120_000, 239_999, 240_000, 1_000_000, 1_119_999, 1_120_000]
     reads = spark.createDataFrame([(0, t, float(i), i % 2 == 0, None, False) for i, t in enumerate(times)], "rig long, seen_ms long, ms double, complete boolean, pay double, failed boolean")
-    got = [(r.from_ms, r.reads, r.no_pay, r.upper_median_ms) for r in reports.health(reads, ["rig"]).orderBy("from_ms").collect()]
+    got = [(r.from_ms, r.reads, r.no_pay, r.upper_median_ms) for r in reports.health(reads).orderBy("from_ms").collect()]
     assert got == [(0, 3, 3, 1.0), (120_000, 2, 2, 4.0), (240_000, 1, 1, 5.0), (1_000_000, 2, 2, 7.0), (1_120_000, 1, 1, 8.0)]
 
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from offerloom.operators import journal, sync
@@ -92,3 +94,39 @@ def test_sync_floor(spark):
     far = mine.where("rig = 0 AND ord < 8 OR rig = 1 AND ord IN (0, 7)")
     floors = {r.rig: r.floor_ms for r in sync.floor_of(mine, far, ["rig"], F.lit(5_000_000_000)).collect()}
     assert floors == {0: 7_000_000 - sync.OVERLAP_MS, 1: 0, 2: 5_000_000_000 - sync.FIRST_MS}
+
+
+def plain(v):
+    """A number as a script writes it: shortest digits, exponents only from 1e21 on and below 1e-6."""
+    if v == 0:
+        return "0"
+    digits, _, e = repr(abs(v)).partition("e")
+    whole, _, part = digits.partition(".")
+    part = "" if part == "0" else part
+    point = len(whole) + int(e or 0)
+    figures = (whole + part).lstrip("0")
+    point -= len(whole + part) - len(figures)
+    figures = figures.rstrip("0")
+    if 1e-6 <= abs(v) < 1e21:
+        said = figures[:point].ljust(point, "0") + "." + figures[point:] if point > 0 else "0." + "0" * -point + figures
+        said = said.rstrip(".")
+    else:
+        said = figures[0] + ("." + figures[1:] if figures[1:] else "") + f"e{'+' if point > 0 else '-'}{abs(point - 1)}"
+    return ("-" if v < 0 else "") + said
+
+
+def test_numbers_in_plain_digits(spark):
+    r = random.Random(5)
+    values = [12345678.9, 0.0005, 1e-6, 9.9e-7, 5e-7, 1e20, 1e21, 1.5e22, 0.1, -0.25, 3.0, -0.0, 100.0, 1e15, 123456789012345.6, 2.0**53, 0.30000000000000004, 1234567.125]
+    values += [float(f"{r.choice([-1, 1]) * r.random() * 10 ** r.randint(-9, 23):.12g}") for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    told = [r.t for r in df.select(journal.plain_number(F.col("v")).alias("t")).collect()]
+    assert told == [plain(v) for v in values]
+
+
+def test_rounding_near_halves(spark):
+    r = random.Random(6)
+    values = [2.675, 1.005, 0.125, 2.5, 1e300, -1e300, float("inf"), None, 1e-300, 12345.675, -2.675, 4503599627370497.5] + [round(r.uniform(-50, 50), 3) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    told = [r[0] for r in df.select(journal.python_round(F.col("v"), 2)).collect()]
+    assert told == [None if v is None else round(v, 2) for v in values]
