@@ -107,17 +107,17 @@ def iso_time(ms: Column) -> Column:
 
 
 def plain_number(c: Column) -> Column:
-    """A double in its shortest digits, without an exponent from 1e-6 up to 1e21; beyond that as 5e-7 or 1e+21.
-
-    The digits are the JVM's, which may have one more than needed beyond 15 figures.
-    """
-    said, size = c.cast("string"), F.abs(c)
+    """A double in the fewest digits that tell it (15 at least, less trailing zeros), without an exponent from 1e-6 up
+    to 1e21; beyond that as 5e-7 or 1e+21."""
+    size, short = F.abs(c), c.cast("string")
+    usual = ~F.contains(short, F.lit("E")) & (F.length(short) <= 16)
+    spelled = [F.format_string(f"%.{n}e", c) for n in (14, 15, 16)]
+    said = F.coalesce(*(F.when(x.cast("double") == c, x) for x in spelled[:2]), spelled[2])
     digits = lambda scale: F.regexp_replace(said.cast(f"decimal(38,{scale})").cast("string"), r"\.?0+$", "")
-    far = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, r"\.0E", "E"), "E-", "e-"), "E", "e+")
-    whole = F.regexp_replace(said.cast("decimal(38,0)").cast("string"), r"^-0$", "0")
+    far = F.regexp_replace(F.regexp_replace(said, r"\.?0*e", "e"), r"e([+-])0*(\d)", "e$1$2")
     return (
-        F.when(F.isnan(c) | (size == float("inf")), said).when(c == 0, "0").when((size < 1e-6) | (size >= 1e21), far)
-        .when(c == F.floor(c), whole).when(size < 1, digits(24)).otherwise(digits(16))
+        F.when(c == 0, "0").when(usual, F.regexp_replace(short, r"\.0$", "")).when((size < 1e-6) | (size >= 1e21), far)
+        .when(c == F.floor(c), said.cast("decimal(38,0)").cast("string")).when(size < 1, digits(24)).otherwise(digits(16))
     )
 
 
