@@ -250,3 +250,9 @@ def stream_health(spark, sf_dir):
     """Each read's window told as it comes, over micro-batches."""
     rows = reports.health_reads(report_plans.health_reads(spark, sf_dir))
     return reports.told_health(streamed(spark, rows, reports.HealthClock, "health"))
+
+
+@query(ORACLES["error_log"])
+def stream_error_log(spark, sf_dir):
+    rows = _timed(frame_plans.diffs(spark, sf_dir)).withColumn("message", F.col("sig").cast("string"))
+    return streamed(spark, rows, gates.ErrorLog, "errors").select("rig", "ord")

@@ -74,3 +74,12 @@ def sync_key(row: Column) -> Column:
 def write_lines(rows: DataFrame, path: str) -> None:
     """Append rows as JSON lines; files appear whole or not at all."""
     rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def append_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """Append a batch of rows as JSON lines, keys in order; a batch that is written again replaces itself.
+
+    Files appear whole or not at all, so there are no torn lines to mend.
+    """
+    line = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    rows.select(line.alias("value")).write.mode("overwrite").text(f"{path}/batch={batch}")

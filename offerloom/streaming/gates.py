@@ -179,3 +179,16 @@ class Attention(Machine):
         if self._beat_due() == at_ms:
             self.beat.last_ms = at_ms
             yield {"at_ms": at_ms, "kind": "beat"}
+
+
+class ErrorLog(Machine):
+    """Messages worth logging: each that differs from the row before; a success (null) clears."""
+
+    STATES = {"said": Said}
+    OUT = "rig long, ord long, message string"
+
+    def step(self, row: Values) -> Iterator[Values]:
+        new = row["message"] is not None and row["message"] != self.said.words
+        self.said = Said(row["message"], self.said.times + new)
+        if new:
+            yield {"ord": row["ord"], "message": row["message"]}
