@@ -100,8 +100,13 @@ def unpack(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-ASKED = "bucket long, chunk long, keys binary, background binary, target binary"
-TOLD = "bucket long, chunk long, background binary, target binary"
+ASKED = "bucket long, chunk long, keysum long, keys binary, background binary, target binary"
+TOLD = "bucket long, chunk long, keysum long, background binary, target binary"
+
+
+def keysum(keys: np.ndarray) -> int:
+    """By which answers are told to belong to the same keys as the questions."""
+    return int(np.add.reduce(keys, dtype=np.uint64).astype(np.int64))
 
 
 def _ask(buckets: int):
@@ -114,8 +119,8 @@ def _ask(buckets: int):
         background, target = (g.counts(np.array(f, bool)).astype(np.uint32) for f in ([True] * len(ids), [i in wanted for i in ids]))
         bucket = ((g.keys >> np.uint64(24)) * np.uint64(buckets)) >> np.uint64(32)
         cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else [0]
-        rows = [(int(bucket[a]), key[0].as_py(), pack(g.keys[a:b]), pack(background[a:b]), pack(target[a:b])) for a, b in zip(cuts, cuts[1:])]
-        return _table(rows, [("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])
+        rows = [(int(bucket[a]), key[0].as_py(), keysum(g.keys[a:b]), pack(g.keys[a:b]), pack(background[a:b]), pack(target[a:b])) for a, b in zip(cuts, cuts[1:])]
+        return _table(rows, [("bucket", pa.int64()), ("chunk", pa.int64()), ("keysum", pa.int64()), ("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])
 
     return ask
 
@@ -134,7 +139,7 @@ def _tell(asked: pa.Table) -> pa.Table:
         own = np.concatenate([unpack(x, np.uint32) for x in asked[name].to_pylist()])
         total = np.bincount(at, own).astype(np.uint64)[at]
         sums.append(pa.array([pack(total[a:b]) for a, b in zip(ends, ends[1:])], pa.binary()))
-    return pa.table([asked["bucket"], asked["chunk"], *sums], names=["bucket", "chunk", "background", "target"])
+    return pa.table([asked["bucket"], asked["chunk"], asked["keysum"], *sums], names=["bucket", "chunk", "keysum", "background", "target"])
 
 
 def _score(words: float, target_words: float, doc_id: pa.DataType):
@@ -148,6 +153,8 @@ def _score(words: float, target_words: float, doc_id: pa.DataType):
         told = told.sort_by("bucket")
         wanted = set(told["doc_id"].to_pylist()) - {None}
         answers = told.filter(pa.compute.is_valid(told["background"]))
+        if keysum(answers["keysum"].to_numpy().astype(np.uint64)) != keysum(g.keys):
+            raise ValueError("a chunk's answers are another chunk's: its documents were dealt anew in between")
         part = {"background": np.ones(len(docs)), "target": np.array([i in wanted for i in ids.to_pylist()], float)}
         own = g.own()
         n = np.maximum(g.n, 1)
@@ -178,17 +185,18 @@ def lm_losses(docs: DataFrame, good: DataFrame) -> DataFrame:
     chunks = max(2 * deal, math.ceil((total["chars"] or 0) / CHUNK))
     buckets = max(deal, math.ceil(words / BUCKET))
     # rows of a doc_id that repeats without end, or has none, are dealt over several chunks
-    hot = materialise(per.where(f"rows > {HOT} AND doc_id IS NOT NULL").select("doc_id", F.ceil(F.col("rows") / HOT).cast("long").alias("spread")))
+    spread = F.ceil(F.greatest(F.col("rows") / HOT, F.col("chars") / CHUNK)).cast("long")
+    hot = materialise(per.where(f"rows > 1 AND (rows > {HOT} OR chars > {CHUNK}) AND doc_id IS NOT NULL").select("doc_id", spread.alias("spread")))
     n_hot = hot.count()
-    slim, ids = docs.select("doc_id", "text"), good
+    # rows are numbered as they are read, before anything is shuffled, so that a lost task deals them as before
+    slim, ids = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("nth")), good
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
         slim, ids = slim.join(hot, "doc_id", "left"), ids.join(hot, "doc_id", "left")
         ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("spread", F.lit(1).cast("long")) - 1)))
     else:
         slim, ids = slim.withColumn("spread", F.lit(1).cast("long")), ids.withColumn("salt", F.lit(0).cast("long"))
-    nth = F.monotonically_increasing_id()
-    salt = F.when(F.col("doc_id").isNull(), nth).otherwise(nth % F.coalesce("spread", F.lit(1).cast("long")))
+    salt = F.when(F.col("doc_id").isNull(), F.col("nth")).otherwise(F.col("nth") % F.coalesce("spread", F.lit(1).cast("long")))
     chunk = F.pmod(F.xxhash64("doc_id", "salt"), F.lit(chunks)).cast("long").alias("chunk")
     dealt = slim.withColumn("salt", salt).select(chunk, "doc_id", "text")
     ids = ids.select(chunk, "doc_id")
