@@ -23,13 +23,15 @@ SHINGLE = 5
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a score of ``LEAST_QUALITY`` or more.  Null and empty texts have the model's bias as their score; very
-    long texts are scored whole; repeated rows, ties and columns of any name stay as they are."""
+    long texts are scored whole; repeated rows, ties and columns of any name stay as they are; an empty table stays empty."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.quality_score(F.col("text"), model) >= LEAST_QUALITY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share a doc_id are one document, of which the first by text stays."""
+    """One document of each class of near duplicates.  Rows that share a doc_id are one document, of which the first by
+    text stays.  Null and empty texts, and those without words, are like no other and stay, as does a null doc_id; very
+    long texts are compared whole; columns of any name stay; an empty table stays empty."""
     classes = neardup.near_classes(docs, size=SHINGLE)
     gone = materialise(classes.where("NOT kept").select("doc_id").distinct())
     again = materialise(classes.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
@@ -45,7 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each run of overlapping secrets replaced by its first one's kind in brackets, ``n_chars`` counted anew.
-    Null texts stay null; every row stays, repeated ones too."""
+    Null and empty texts stay as they are, and every row stays, repeated ones too; very long texts are read whole; columns of
+    any name stay; an empty table stays empty."""
     masked = docs.withColumn("text", secrets.redact(F.col("text")))
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
@@ -58,7 +61,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and their number for every row; null and empty texts have none."""
+    """Token ids and their number for every row, repeated ones too; null and empty texts have none.  Very long texts are
+    encoded whole; columns beside these and doc_id, lang and source end here; an empty table stays empty."""
     return bpe.encode_documents(docs, *vocabulary()).select("doc_id", "lang", "source", "n_tokens", "token_ids")
 
 

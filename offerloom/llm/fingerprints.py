@@ -9,7 +9,10 @@ agree in m of k digits are alike (m/k - 1/16) / (1 - 1/16), clamped to 0..1, whi
 for digits that agree by chance.
 
 Everything is built-in array functions.  A text without words has the empty fingerprint,
-which is alike 1 to itself and 0 to any other.  Null texts are empty.
+which is alike 1 to itself and 0 to any other.  Null texts are empty.  Very long texts are
+fingerprinted whole.  The next document is the next row by doc_id (nulls first), of equal
+doc_ids the one with the lesser text, so repeated rows follow each other; an empty table gives
+an empty result, and columns beside ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ only that range's rows are sorted to find the last copy taken.
 
 Null texts have size 0; rows of size 0 take no words.  A null source is a source of its own,
 last in order.  Rows with the same doc_id, source and size are interchangeable, so reruns
-agree.  An empty table gives an empty result.
+agree.  An empty table gives an empty result.  Of a very long text only its words are counted;
+it never moves before rows are taken.  The result's columns are the table's and the schedule's
+own; a column of the table that has a schedule's name stays as the table's.
 """
 
 from __future__ import annotations

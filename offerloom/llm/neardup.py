@@ -19,6 +19,9 @@ connected.  A pair at the threshold misses all buckets with a chance of
 
 Rows without words have an empty set and link with nothing, as do null texts.  Rows that
 share a doc_id count as one document.  A null doc_id links with nothing; its component is null.
+Of equal sets the smallest doc_id stands for all, and of a component it stays.  Very long texts
+are read whole, a short slice of a batch at a time; an empty table gives an empty result, and
+columns beside ``doc_id`` and ``text``, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ the text leaves no choice of how to match.  Matches under the rule's least lengt
 dropped after they have been consumed.  (The hex rule counts its 16 inside the automaton:
 its matches are whole runs, so a short one hides nothing.)
 
-Null texts are empty; empty texts hold no secrets.  Offsets are code points.
+Null texts are empty; empty texts hold no secrets.  Offsets are code points.  Very long texts
+are read whole, a short slice of a batch at a time.  Repeated rows each get their spans, so
+equal texts get equal ones; an empty table gives an empty result, and columns beside the text
+(and ``doc_id`` in the report) are not looked at.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ position, a list of ranges with a shard and a first slot.  Inside an arc rows ar
 in ``CELLS`` parts, so that no task sorts a whole arc.
 
 Null texts have no bytes (size 8, crc32 of nothing: 0).  Null doc_ids take the position of
-an empty key.  Repeated rows each get a slot of their own.
+an empty key.  Repeated rows each get a slot of their own.  Of a very long text only its length
+and checksum go anywhere; an empty table gives an empty result, and columns beside ``doc_id``
+and ``text``, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
