@@ -20,15 +20,15 @@ from offerloom.streaming.machines import PROVIDER
 #: the one before paid, for another journey, and the tenth is the one before, still in view 12 s later.  The second
 #: reading may show its pay a hundredfold, no pay or a distance too far for its time, the first one a wrong time; every
 #: fifth offer is one leg, which is told to be the total at once or from the second reading on; some second ones
-#: aren't locked.
+#: aren't locked, and some read a leg that isn't there in place of the second one.
 _FRAMES = (
     "SELECT k % 4 AS rig, event_id AS ord, s, nth, event_id * 1000 AS ts_ms, CASE WHEN k % 11 = 0 AND nth = 1 THEN NULL WHEN k % 7 = 0 AND nth = 1 THEN 100 ELSE 1 END"
     " * ((200 + (CASE WHEN turn = 5 THEN k - 4 ELSE s END * 7919) % 2800) / 100.0{d}) AS pay,"
-    " CASE WHEN turn = 5 THEN 12.5{d} ELSE CAST(3 + s % 9 AS DOUBLE) END AS m1, CAST(15 + s % 20 + CASE WHEN turn = 5 THEN 60 ELSE 0 END + CASE WHEN s % 5 = 1 AND nth = 0 AND turn <> 9 THEN 40 ELSE 0 END AS DOUBLE) AS m2,"
+    " CASE WHEN turn = 5 THEN 12.5{d} ELSE CAST(3 + s % 9 AS DOUBLE) END AS m1, CAST(15 + s % 20 + CASE WHEN turn = 5 THEN 60 ELSE 0 END + CASE WHEN s % 5 = 1 AND nth = 0 AND turn <> 9 THEN 40 ELSE 0 END AS DOUBLE) + CASE WHEN odd THEN 7.5{d} ELSE 0 END AS m2,"
     " CASE WHEN turn = 5 THEN 0.5{d} ELSE CAST(1 + s % 3 AS DOUBLE) END AS d1, CASE WHEN s % 4 = 1 AND s % 5 <> 1 AND nth = 2 THEN NULL WHEN s % 17 = 3 AND s % 5 = 2 AND nth = 1 THEN 165{d}"
-    " ELSE CAST(5 + s % 8 AS DOUBLE) + CASE WHEN turn = 5 THEN 15.5{d} ELSE 0 END END AS d2, s % 5 = 0 AS single, s % 5 = 0 AND (s % 10 > 0 OR nth > 0) AS total,"
+    " ELSE CAST(5 + s % 8 AS DOUBLE) + CASE WHEN turn = 5 THEN 15.5{d} ELSE 0 END END + CASE WHEN odd THEN 3.3{d} ELSE 0 END AS d2, odd, s % 5 = 0 AS single, s % 5 = 0 AND (s % 10 > 0 OR nth > 0) AS total,"
     " CASE WHEN nth < 2 THEN CAST(s % 6 + 1 AS DOUBLE) END AS items, s % 13 = 0 AND nth = 1 AS shop, nth = 2 AS settled, s % 6 <> 2 OR nth <> 1 AS locked"
-    " FROM (SELECT event_id, event_id % 3 AS nth, event_id DIV 3 AS k, (event_id DIV 12) % 12 AS turn, CASE WHEN (event_id DIV 12) % 12 = 9 THEN event_id DIV 3 - 4 ELSE event_id DIV 3 END AS s FROM {events})"
+    " FROM (SELECT *, s % 23 = 6 AND s % 5 > 1 AND turn <> 9 AND k % 7 > 0 AND k % 11 > 0 AND nth = 1 AS odd FROM (SELECT event_id, event_id % 3 AS nth, event_id DIV 3 AS k, (event_id DIV 12) % 12 AS turn, CASE WHEN (event_id DIV 12) % 12 = 9 THEN event_id DIV 3 - 4 ELSE event_id DIV 3 END AS s FROM {events}))"
 )
 FRAMES = f"({_FRAMES.replace('{d}', '::DOUBLE').replace(' DIV ', ' // ').replace('{events}', 'events')})"
 
@@ -45,14 +45,15 @@ def events(spark, sf_dir) -> DataFrame:
 
 
 #: What the machines should say of these frames, told without them: readings of one offer and pay are a run, which
-#: ends 12 s after its first; within an episode the most frequent value so far counts, the largest of several.
+#: ends 12 s after its first; within an episode the most frequent value so far counts, the largest of several, but
+#: not that of a leg seen less often than there were legs at once.
 _SAID = f"""
 f AS (SELECT *, sum(breaks) OVER (PARTITION BY rig ORDER BY ord) AS run FROM (
   SELECT *, CASE WHEN s IS NOT DISTINCT FROM lag(s) OVER w AND pay = lag(pay) OVER w THEN 0 ELSE 1 END AS breaks FROM {FRAMES} WHERE pay IS NOT NULL WINDOW w AS (PARTITION BY rig ORDER BY ord))),
 e AS (SELECT *, dense_rank() OVER (PARTITION BY rig ORDER BY run, late) + 1 AS episode FROM (SELECT *, ts_ms - min(ts_ms) OVER (PARTITION BY rig, run) > 12000 AS late FROM f)),
-j AS (SELECT a.*, b.m2 AS bm2, b.d2 AS bd2, b.items AS bitems, b.shop AS bshop, b.total AS btotal FROM e a JOIN e b ON a.rig = b.rig AND a.episode = b.episode AND b.ord <= a.ord),
-v AS (SELECT ord, arg_max(bm2, n * 1000 + bm2) AS vm2 FROM (SELECT ord, bm2, count(*) AS n FROM j GROUP BY ALL) GROUP BY ord),
-x AS (SELECT ord, arg_max(bd2, n * 1000 + bd2) AS vd2 FROM (SELECT ord, bd2, count(*) AS n FROM j WHERE bd2 IS NOT NULL GROUP BY ALL) GROUP BY ord),
+j AS (SELECT a.*, b.m2 AS bm2, b.d2 AS bd2, b.items AS bitems, b.shop AS bshop, b.total AS btotal, b.odd AS bodd FROM e a JOIN e b ON a.rig = b.rig AND a.episode = b.episode AND b.ord <= a.ord),
+v AS (SELECT ord, arg_max(bm2, n * 1000 + bm2) AS vm2 FROM (SELECT ord, bm2, count(*) AS n FROM j WHERE NOT bodd GROUP BY ALL) GROUP BY ord),
+x AS (SELECT ord, arg_max(bd2, n * 1000 + bd2) AS vd2 FROM (SELECT ord, bd2, count(*) AS n FROM j WHERE bd2 IS NOT NULL AND NOT bodd GROUP BY ALL) GROUP BY ord),
 g AS (SELECT ord, arg_max(bitems, n * 1000 + bitems) AS items FROM (SELECT ord, bitems, count(*) AS n FROM j WHERE bitems IS NOT NULL GROUP BY ALL) GROUP BY ord),
 h AS (SELECT ord, count(*) AS merged_from, bool_or(bshop) AS shop, bool_or(btotal) AS has_total FROM j GROUP BY ord),
 said AS (SELECT *, coalesce(miles * 60 / minutes > 75, false) AS miles_uncertain FROM (
