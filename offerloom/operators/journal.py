@@ -177,7 +177,8 @@ def freshest(files: DataFrame) -> DataFrame:
 def response(offers: DataFrame, floor_ms: Column, limit: int, show_hidden: bool = False) -> DataFrame:
     """What a page asks for, one row for each rig: ``count, total, truncated, hidden, offers``.
 
-    ``hidden`` and ``total`` are counted before the cut to the newest ``limit`` offers (0: all), which
+    A rig's offers are one value, so ``limit`` or ``floor_ms`` bounds it: a rig writes about 19 MB a year, and a value
+    holds 2 GB; ``window``, ``visible`` and ``tail`` give the same offers as rows.  ``hidden`` and ``total`` are counted before the cut to the newest ``limit`` offers (0: all), which
     stand in time order.
     """
     inside = window(offers, floor_ms)

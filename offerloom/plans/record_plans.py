@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from offerloom.functions import geometry, rating
 from offerloom.operators import advice, frames, journal
 from offerloom.plans.advice_plans import segments_sql, usable, usable_sql
-from offerloom.plans.base import query
+from offerloom.plans.base import ORACLES, query
 from offerloom.plans.frame_plans import LINES
 from offerloom.plans.journal_plans import FLOOR, LATEST, latest
 from offerloom.plans.rating_plans import BAND, COST, RATED, TARGET, rated
 from offerloom.sources import fixtures as fx
+from offerloom.sources import journal_lines as jl
 
 LIMIT = 50
 
@@ -83,6 +84,16 @@ def live_rows(spark, sf_dir):
     return journal.live_rows(readings(spark, sf_dir)).select("ord", "perHour", "grossPerHour", "billedMinutes", "perMile", "cost", "ms", "mergedFrom", "text")
 
 
+#: A number read from JSON has no negative zero.
+@query(ORACLES["live_rows"].replace("pm AS", "pm + 0.0::DOUBLE AS").replace("SELECT ord, ph AS", "SELECT ord, ph + 0.0::DOUBLE AS"))
+def live_lines(spark, sf_dir):
+    """The live rows as lines of JSON, read again."""
+    row = F.try_parse_json("line")
+    numbers = ("perHour", "grossPerHour", "billedMinutes", "perMile", "cost", "ms")
+    read = journal.live_lines(readings(spark, sf_dir)).select(row.alias("row"))
+    return read.select(jl.field(F.col("row"), "ord", "long").alias("ord"), *(jl.field(F.col("row"), n, "double").alias(n) for n in numbers), jl.field(F.col("row"), "mergedFrom", "int").alias("mergedFrom"), jl.field(F.col("row"), "text", "string").alias("text"))
+
+
 @query(f"SELECT ord FROM {RATED} WHERE ord % 3 > 0")
 def write_gate(spark, sf_dir):
     return journal.writable(readings(spark, sf_dir)).select("ord")
