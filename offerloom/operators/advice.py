@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from offerloom.functions.rating import finite
+from offerloom.streaming.machines import dealt
 
 # Thresholds in minutes, targets in dollars an hour, and the gates.
 THRESHOLDS = (15, 20, 30, 45, 60, 90)
@@ -109,12 +110,15 @@ def _replayed(targets: tuple[int, int]):
                         total, seen = np.zeros((3, len(wanted))), 0
                     now, first = (rig, threshold, run), at
                     earned, trips, busy_until = np.zeros(len(wanted)), np.zeros(len(wanted)), np.full(len(wanted), -1.0)
-                takes = (at >= busy_until) & (per_hour >= wanted)
-                earned[takes] += net
-                trips[takes] += 1
-                busy_until[takes] = at + mins * 60000.0
                 last = at
                 seen += 1
+                if per_hour < from_:
+                    continue
+                takes = np.flatnonzero((busy_until <= at) & (wanted <= per_hour))
+                if len(takes):
+                    earned[takes] += net
+                    trips[takes] += 1
+                    busy_until[takes] = at + mins * 60000.0
         if now is not None:
             total = total + ended()
             yield told()
@@ -130,8 +134,7 @@ def replay(segments: DataFrame, targets: tuple[int, int] = TARGETS) -> DataFrame
     """
     key = ["rig", "threshold", "run"]
     rows = segments.select(F.col("rig").cast("long").alias("rig"), F.col("threshold").cast("int").alias("threshold"), "run", "seen_ms", "ord", "net", "mins", "per_hour")
-    dealt = rows.repartition(*key).sortWithinPartitions(*key, "seen_ms", "ord")
-    parts = dealt.mapInArrow(_replayed(targets), _TOTALS)
+    parts = dealt(rows, *key).sortWithinPartitions(*key, "seen_ms", "ord").mapInArrow(_replayed(targets), _TOTALS)
     total = parts.groupBy("rig", "threshold", "target").agg(*(F.sum(c).alias(c) for c in ("earned_cents", "busy_ms", "trips", "seen")))
     per_hour = F.coalesce(F.try_divide(F.col("earned_cents") / 100.0, F.col("busy_ms") / 3600000.0), F.lit(0.0))
     return total.withColumn("per_hour", per_hour).withColumn("hours", F.col("busy_ms") / 3600000.0).withColumn("takes", F.coalesce(F.try_divide(F.col("trips"), F.col("seen")), F.lit(0.0)))

@@ -81,7 +81,7 @@ def unexplained_silences(spark, sf_dir):
 
 @query(f"SELECT rig, target, earned_cents, busy_ms, trips, seen, per_hour FROM {steps_sql()} WHERE threshold = 30")
 def replay_ladder(spark, sf_dir):
-    return steps(spark, sf_dir).where("threshold = 30").select("rig", "target", "earned_cents", "busy_ms", "trips", "seen", "per_hour")
+    return advice.replay(advice.segment(usable(spark, sf_dir), (advice.MAIN_THRESHOLD,))).select("rig", "target", "earned_cents", "busy_ms", "trips", "seen", "per_hour")
 
 
 @query(f"SELECT rig, threshold, best, best_per_hour, trips FROM {best_sql(steps_sql())}")

@@ -85,6 +85,11 @@ def columns_of(schema: str) -> dict[str, str]:
     return dict(x.strip().split(" ") for x in schema.split(","))
 
 
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt by a key to as many tasks as a shuffle has: small rows may be long work, so few bytes are no reason for few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def fold(rows: DataFrame, machine: type[Machine], until_ms: int | None = None, initial: DataFrame | None = None, key: str = "rig") -> DataFrame:
     """What ``machine`` says over a table of ``key, ts_ms, ord, ...``; ``initial``: a row for each key to begin from."""
     kinds = columns_of(machine.OUT)
@@ -110,7 +115,7 @@ def fold(rows: DataFrame, machine: type[Machine], until_ms: int | None = None, i
     rows = rows.withColumn("_initial", F.lit(False))
     if initial is not None:
         rows = rows.unionByName(initial.withColumn("_initial", F.lit(True)), allowMissingColumns=True)
-    return rows.repartition(key).sortWithinPartitions(key, F.desc("_initial"), "ts_ms", "ord").mapInArrow(run, machine.OUT)
+    return dealt(rows, key).sortWithinPartitions(key, F.desc("_initial"), "ts_ms", "ord").mapInArrow(run, machine.OUT)
 
 
 class Live(StatefulProcessor):
