@@ -70,5 +70,5 @@ def test_stages_on_awkward_rows(spark):
 
 
 def test_registered(spark):
-    assert sorted(QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate(("fingerprints", "secrets", "embedding_dedup", "quality", "sharding", "bpe", "url_filter", "lm_score", "mixing", "neardup"), 1))
+    assert sorted(QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate(("fingerprints", "secrets", "embedding_dedup", "quality", "sharding", "bpe", "url_filter", "lm_score", "mixing", "neardup", "nearest", "fill_in_middle", "merkle_manifest"), 1))
     assert set(ORACLES) <= set(QUERIES) and quality.BUCKETS and sets("a b", 4)
