@@ -9,9 +9,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a query under its function's name; ``sql`` is what DuckDB runs in comparison."""
+    """Register a query under its function's name, which is taken once; ``sql`` is what DuckDB runs in comparison."""
 
     def enter(f: Callable) -> Callable:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

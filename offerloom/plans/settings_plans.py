@@ -1,4 +1,4 @@
-"""Queries of stored settings, clocks, restarts, and the journal's tail and appends."""
+"""Queries of stored settings, clocks, restarts, and the journal's last rows and appends."""
 
 from __future__ import annotations
 
@@ -67,7 +67,7 @@ def restart_waits(spark, sf_dir):
 
 
 @query(f"SELECT rig, ord FROM (SELECT rig, ord, row_number() OVER (PARTITION BY rig ORDER BY ord DESC) AS nth FROM {fx.offers_sql()}) WHERE nth <= 25")
-def journal_tail(spark, sf_dir):
+def journal_last_rows(spark, sf_dir):
     """The last 25 rows of each rig."""
     return settings.tail(fx.offers(spark, sf_dir), ["rig"], 25).select("rig", "ord")
 

@@ -46,3 +46,16 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_name_is_one_query():
+    """journal_tail reads marks, rules and hidden rows; another query of its name took its place."""
+    from offerloom.plans import journal_plans
+    from offerloom.plans.base import query
+
+    def journal_tail(spark, sf_dir):
+        pass
+
+    with pytest.raises(ValueError):
+        query("SELECT 1")(journal_tail)
+    assert QUERIES["journal_tail"] is journal_plans.journal_tail and journal_plans.LATEST in ORACLES["journal_tail"]
