@@ -10,7 +10,7 @@ from offerloom.plans.base import ORACLES, query
 from offerloom.plans.control_plans import events
 from offerloom.plans.stream_plans import _folder, feed, finish, named_states
 from offerloom.streaming import ingest
-from offerloom.streaming.machines import fold, live
+from offerloom.streaming.machines import dealt, fold, live
 
 #: What a producer prints: log lines, phases, readings, blanks, now and then two lines at once; each in two pieces.
 _PRINTED = (
@@ -47,6 +47,11 @@ def stream_routes(spark, sf_dir):
     return read("journal").unionByName(read("log"))
 
 
+def batch_bytes(sent: int | None) -> int:
+    """What a micro-batch reads: a fourth of all that was sent, so that batches grow before their number does."""
+    return min(max((sent or 0) // 4, 128 << 10), 64 << 20)
+
+
 _SENT = "SELECT event_id // 100 AS body, event_id AS ord, CASE WHEN event_id % 6 = 0 THEN '' ELSE '{{\"id\":' || event_id || ',\"note\":\"' || {pad} || '\"}}' END AS line FROM {events}"
 _PAD = "repeat('x', (event_id // 100 * 13) % 90)"
 CAP = 6000
@@ -58,8 +63,8 @@ def stream_bodies(spark, sf_dir):
     """Bodies sent as files: those over the cap are refused unread, of the others the lines are counted."""
     at = _folder(spark)
     sent = events(spark, sf_dir, _SENT.format(pad=_PAD, events="{events}"))
-    sent.repartition("body").sortWithinPartitions("body", "ord").select("body", F.col("line").alias("value")).write.partitionBy("body").text(f"{at}/in")
-    told = ingest.bodies(spark, f"{at}/in/body=*/*.txt", CAP, 128 << 10, "off")
+    dealt(sent, "body").sortWithinPartitions("body", "ord").select("body", F.col("line").alias("value")).write.partitionBy("body").text(f"{at}/in")
+    told = ingest.bodies(spark, f"{at}/in/body=*/*.txt", CAP, batch_bytes(sent.agg(F.sum(F.length("line") + 1)).first()[0]), "off")
     finish(told.writeStream.format("parquet").option("path", f"{at}/out").outputMode("append"), at, "bodies")
     told = spark.read.parquet(f"{at}/out")
     lines = ingest.body_lines(told).groupBy("path").count()

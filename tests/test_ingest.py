@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from offerloom.plans import ingest_plans
 from offerloom.streaming import ingest
 from offerloom.streaming.machines import fold
 
@@ -124,3 +125,9 @@ def test_backups_write_only_changes(spark):
 def test_pieces_over_a_table(spark):
     df = spark.createDataFrame([(1, 0, 0, "a"), (2, 0, 0, "x\ny"), (1, 1, 5, "b\n"), (2, 1, 5, "z\n")], "rig long, ord long, ts_ms long, chunk string")
     assert sorted((r.rig, r.ord, r.line) for r in fold(df, ingest.Framing).collect()) == [(1, 0, "ab"), (2, 0, "x"), (2, 1, "yz")]
+
+
+def test_batches_of_bodies_grow_with_what_is_sent():
+    """Bodies of a table 60 times as large took 60 times as many micro-batches."""
+    batches = lambda sent: -(-sent // ingest_plans.batch_bytes(sent))
+    assert batches(7 << 20) <= 5 and batches(420 << 20) <= 8 and ingest_plans.batch_bytes(1 << 40) == 64 << 20 and ingest_plans.batch_bytes(None) == 128 << 10
