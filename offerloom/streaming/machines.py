@@ -151,8 +151,8 @@ class Live(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         m = self._load()
-        for row in sorted((r.asDict() for r in rows), key=lambda r: (r["ts_ms"], r["ord"])):
-            for x in m.take(row):
+        for row in sorted(rows, key=lambda r: (r["ts_ms"], r["ord"])):
+            for x in m.take(row.asDict()):
                 yield self._said(key, x)
         self._save(m)
 

@@ -128,3 +128,13 @@ def test_stream_equals_batch(spark, sf_dir, as_journal):
     key = lambda r: str(sorted(r.asDict().items(), key=str))
     a, b = sorted(map(key, batch.collect())), sorted(map(key, stream.select(*batch.columns).collect()))
     assert a == b and len(a) > 500
+
+
+def test_a_larger_table_has_more_batches(spark, tmp_path):
+    """Batches grew with the table, and with them what a task holds."""
+    rows = spark.range(1000).selectExpr("id AS ord", "(id * 7919) % 500 AS ts_ms")
+    stream_plans.feed(spark, rows, str(tmp_path), 3, "ts_ms", 100)
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    told = [[r.ts_ms for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert sum(map(len, told)) == 1000 and max(map(len, told)) <= 200 and len(told) == 10
+    assert all(max(a) < min(b) for a, b in zip(told, told[1:]))
