@@ -59,20 +59,50 @@ def free_again(df: DataFrame) -> DataFrame:
     return df.withColumn("free_ms", free).withColumn("idle_ms", F.col("seen_ms") - F.lag("free_ms").over(order))
 
 
+def runs_of(thresholds: tuple[int, ...]):
+    """Offers in order of rig and time to the same with ``runs``: the number of its run at each threshold."""
+    gaps = np.array(thresholds) * 60000.0
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = free = None
+        run = np.zeros(len(gaps), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rig = batch.column("rig").fill_null(-(1 << 63)).to_numpy()
+            at, mins, took = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("seen_ms", "mins", "took"))
+            until = np.where(took, at + mins * 60000, at.astype(float))
+            before = np.concatenate([[np.nan if free is None else free], until[:-1]])
+            first = np.concatenate([[now is None or rig[0] != now], rig[1:] != rig[:-1]])
+            begins = ~first[:, None] & (at - before > gaps[:, None]).T
+            # counted on from the batch before, and anew from each rig's first offer
+            count = np.cumsum(begins, axis=0) + run
+            starts = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+            count -= np.where((starts >= 0)[:, None], count[np.maximum(starts, 0)], 0)
+            now, free, run = rig[-1], until[-1], count[-1]
+            yield batch.append_column("runs", pa.FixedSizeListArray.from_arrays(pa.array(count.ravel()), len(gaps)).cast(pa.list_(pa.int64())))
+
+    return told
+
+
+_OFFER = "rig long, ord long, seen_ms long, net double, mins double, took boolean, per_hour double"
+
+
+def numbered(df: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
+    """Each rig's offers in order, each once, with ``runs``.  They are sorted once, whatever the number of thresholds, and stream through a task."""
+    rows = df.select(*(F.col(n).cast(kind).alias(n) for n, kind in (x.split(" ") for x in _OFFER.split(", "))))
+    return dealt(rows, "rig").sortWithinPartitions("rig", "seen_ms", "ord").mapInArrow(runs_of(thresholds), f"{_OFFER}, runs array<long>")
+
+
 def segment(df: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
-    """Every offer once for each threshold, with its ``run`` there; runs of one offer or no length are dropped."""
-    by = ["rig", "threshold"]
-    rows = free_again(df).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    order = W.partitionBy(*by).orderBy("seen_ms", "ord")
-    begins = (F.col("idle_ms") > F.col("threshold") * 60000.0).cast("int")
-    rows = rows.withColumn("run", F.sum(F.coalesce(begins, F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    inside = W.partitionBy(*by, "run")
-    rows = rows.withColumn("run_rows", F.count("*").over(inside)).withColumn("span_ms", F.max("seen_ms").over(inside) - F.min("seen_ms").over(inside))
-    return rows.where("run_rows > 1 AND span_ms > 0").drop("span_ms")
+    """Every offer once for each threshold, with its ``run`` there; ``runs`` and ``replay`` drop runs of one offer or no length."""
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, thresholds)).alias("threshold"), F.col("runs").alias("run")))
+    return numbered(df, thresholds).withColumn("_at", each).select("rig", "ord", "seen_ms", "net", "mins", "took", "per_hour", "_at.threshold", "_at.run")
 
 
 def runs(segments: DataFrame) -> DataFrame:
-    return segments.groupBy("rig", "threshold", "run").agg(F.count("*").alias("offers"), F.min("seen_ms").alias("first_ms"), F.max("seen_ms").alias("last_ms"))
+    told = segments.groupBy("rig", "threshold", "run").agg(F.count("*").alias("offers"), F.min("seen_ms").alias("first_ms"), F.max("seen_ms").alias("last_ms"))
+    return told.where("offers > 1 AND last_ms > first_ms")
 
 
 _TOTALS = "rig long, threshold int, target int, earned_cents long, busy_ms long, trips long, seen long"
@@ -86,32 +116,38 @@ def _replayed(targets: tuple[int, int]):
     def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rig", "threshold", "run", "seen_ms", "net", "mins", "per_hour"]
         now = total = None
-        seen = 0
+        seen = rows = 0
 
         def ended() -> np.ndarray:
             """A run's earnings, time and trips; cents and milliseconds add up without rounding, whatever the order."""
             span = np.maximum(last, busy_until) - first
             return np.stack([np.rint(earned * 100), np.rint(span), trips])
 
-        def told() -> pa.RecordBatch:
+        def counts() -> bool:
+            return rows > 1 and last > first
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if not seen:
+                return
             n = len(wanted)
             whole = [x.astype(np.int64) for x in total]
             columns = [np.full(n, now[0], np.int64), np.full(n, now[1], np.int32), wanted.astype(np.int32), *whole, np.full(n, seen, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rig", "threshold", "target", "earned_cents", "busy_ms", "trips", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rig", "threshold", "target", "earned_cents", "busy_ms", "trips", "seen"])
 
         for batch in batches:
             for rig, threshold, run, at, net, mins, per_hour in zip(*(batch.column(c).to_pylist() for c in names)):
                 if now != (rig, threshold, run):
                     if now is not None:
-                        total = total + ended()
+                        if counts():
+                            total, seen = total + ended(), seen + rows
                         if now[:2] != (rig, threshold):
-                            yield told()
+                            yield from told()
                     if now is None or now[:2] != (rig, threshold):
                         total, seen = np.zeros((3, len(wanted))), 0
-                    now, first = (rig, threshold, run), at
+                    now, first, rows = (rig, threshold, run), at, 0
                     earned, trips, busy_until = np.zeros(len(wanted)), np.zeros(len(wanted)), np.full(len(wanted), -1.0)
                 last = at
-                seen += 1
+                rows += 1
                 if per_hour < from_:
                     continue
                 takes = np.flatnonzero((busy_until <= at) & (wanted <= per_hour))
@@ -120,8 +156,9 @@ def _replayed(targets: tuple[int, int]):
                     trips[takes] += 1
                     busy_until[takes] = at + mins * 60000.0
         if now is not None:
-            total = total + ended()
-            yield told()
+            if counts():
+                total, seen = total + ended(), seen + rows
+            yield from told()
 
     return replayed
 
@@ -168,7 +205,7 @@ def spreads(found: DataFrame) -> DataFrame:
 
 def coverage(df: DataFrame, threshold: int = MAIN_THRESHOLD) -> DataFrame:
     """What an answer rests on: offers in runs and runs, the offers set aside, and from when to when."""
-    inside = segment(df, (threshold,)).groupBy("rig").agg(F.count("*").alias("offers"), F.count_distinct("run").alias("runs"))
+    inside = runs(segment(df, (threshold,))).groupBy("rig").agg(F.sum("offers").alias("offers"), F.count("*").alias("runs"))
     every = df.groupBy("rig").agg(F.count("*").alias("rows"), F.min("seen_ms").alias("from_ms"), F.max("seen_ms").alias("to_ms"))
     n = F.coalesce("offers", F.lit(0))
     return every.join(inside, "rig", "left").select("rig", n.alias("offers"), F.coalesce("runs", F.lit(0)).alias("runs"), (F.col("rows") - n).alias("set_aside"), "from_ms", "to_ms")

@@ -66,3 +66,29 @@ def test_ready(spark):
     rows = [(14 * i, 18 if i % 3 == 1 else 5, 30, False) for i in range(120)]
     row = advice.advise(offers(spark, rows)).first()
     assert row.ready and row.reason is None and row.suggested == 11 and row.plateau_high == 36
+
+
+def test_offers_are_sorted_once(spark, capsys):
+    """Windows over each threshold's offers held them again and again; batches of any size go on from each other."""
+    r, rows = random.Random(5), []
+    for rig in range(3):
+        t = 0
+        for i in range(60):
+            t += r.choice([1, 3, 20, 40])
+            rows.append((rig, i, t * MINUTE, 9.0, 10.0, r.random() < 0.2, 0, 0, 1))
+    df = advice.usable(spark.createDataFrame(rows, OFFER))
+    capsys.readouterr()
+    advice.segment(df).explain()
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and plan.count("Sort [") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(x.rig, x.threshold, x.ord): x.run for x in advice.segment(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for gap in advice.THRESHOLDS:
+        before = None
+        for rig, i, at, _, minutes, took, *_ in rows:
+            run = 0 if before is None or before[0] != rig else run + (at - before[1] > gap * MINUTE)
+            assert got[rig, gap, i] == run
+            before = (rig, at + minutes * MINUTE * took)
