@@ -7,8 +7,6 @@ joined.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -192,22 +190,24 @@ def response(offers: DataFrame, floor_ms: Column, limit: int, show_hidden: bool
 
 
 def python_round(x: Column, places: int) -> Column:
-    """``x`` to so many decimals as binary arithmetic is rounded exactly: halves to the even digit."""
+    """``x`` to so many decimals as binary arithmetic is rounded exactly: halves to the even digit.
+
+    A function of arrays, not of their iterator: all figures of a row then share one Python worker.
+    """
 
     unit = 10.0**places
 
     @F.arrow_udf("double")
-    def rounded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for values in batches:
-            x, known = values.to_numpy(zero_copy_only=False), values.is_valid().to_numpy(zero_copy_only=False)
-            with np.errstate(invalid="ignore", over="ignore"):
-                scaled = x * unit
-                out = np.rint(scaled) / unit
-                # near a half, or too large for whole steps, the number itself decides
-                odd = ~(np.abs(scaled - np.floor(scaled) - 0.5) > 1e-6) | ~(np.abs(scaled) < 2**40)
-            for i in np.flatnonzero(odd & known):
-                out[i] = round(float(x[i]), places)
-            yield pa.array(out, pa.float64(), mask=~known)
+    def rounded(values: pa.Array) -> pa.Array:
+        x, known = values.to_numpy(zero_copy_only=False), values.is_valid().to_numpy(zero_copy_only=False)
+        with np.errstate(invalid="ignore", over="ignore"):
+            scaled = x * unit
+            out = np.rint(scaled) / unit
+            # near a half, or too large for whole steps, the number itself decides
+            odd = ~(np.abs(scaled - np.floor(scaled) - 0.5) > 1e-6) | ~(np.abs(scaled) < 2**40)
+        for i in np.flatnonzero(odd & known):
+            out[i] = round(float(x[i]), places)
+        return pa.array(out, pa.float64(), mask=~known)
 
     return rounded(x.cast("double"))
 

@@ -130,3 +130,13 @@ def test_rounding_near_halves(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     told = [r[0] for r in df.select(journal.python_round(F.col("v"), 2)).collect()]
     assert told == [None if v is None else round(v, 2) for v in values]
+
+
+def test_figures_share_a_worker(spark, sf_dir, capsys):
+    """Each rounded figure had a Python worker of its own in every task."""
+    from offerloom.plans import record_plans
+
+    capsys.readouterr()
+    for rows in (journal.journal_rows, journal.live_rows):
+        rows(record_plans.readings(spark, sf_dir)).explain()
+        assert capsys.readouterr().out.count("ArrowEvalPython") == 1
