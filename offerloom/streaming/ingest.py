@@ -178,22 +178,28 @@ def newest_values(spark: SparkSession, store: str, schema: str) -> DataFrame:
 _MAP = "map<string,variant>"
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is found once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def merged_object(before: Column, update: Column, clear: tuple[str, ...] = (), defaults: Column | None = None) -> Column:
     """A JSON object with the keys of ``update`` replaced, those of ``clear`` gone, and ``defaults`` for keys it lacks.
 
     Keys stand in order; what isn't an object counts as an empty one.
     """
     keys = lambda text: F.coalesce(F.from_json(F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text), _MAP), F.from_json(F.lit("{}"), _MAP))
-    without = lambda m, names: F.map_filter(m, lambda k, _: ~F.array_contains(names, k))
-    new = keys(update)
-    done = F.map_concat(without(keys(before), F.map_keys(new)), new)
+    # a function within another's is run for each element, so maps and their keys are named before they are used there
+    without = lambda m, names: _let(names, lambda n: F.map_filter(m, lambda k, _: ~F.array_contains(n, k)))
+    over = lambda m, more: _let(F.struct(m.alias("m"), more.alias("more")), lambda x: F.map_concat(without(x["m"], F.map_keys(x["more"])), x["more"]))
+    done = over(keys(before), keys(update))
     if clear:
         done = without(done, F.array(*map(F.lit, clear)))
     if defaults is not None:
-        done = F.map_concat(done, without(keys(defaults), F.map_keys(done)))
-    entries = F.array_sort(F.transform(F.map_keys(done), lambda k: k))
-    said = F.transform(entries, lambda k: F.concat(F.to_json(F.concat(k, F.lit("")).cast("variant")), F.lit(":"), F.coalesce(F.to_json(F.element_at(done, k)), F.lit("null"))))
-    return F.concat(F.lit("{"), F.array_join(said, ","), F.lit("}"))
+        done = over(keys(defaults), done)
+    said = lambda e: F.struct(e["key"].alias("key"), F.concat(F.to_json(F.concat(e["key"], F.lit("")).cast("variant")), F.lit(":"), F.coalesce(F.to_json(e["value"]), F.lit("null"))).alias("said"))
+    pairs = F.array_sort(F.transform(F.map_entries(done), said))
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: p["said"]), ","), F.lit("}"))
 
 
 def backups(requests: DataFrame, kept: DataFrame, by: str = "rig") -> DataFrame:

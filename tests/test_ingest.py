@@ -131,3 +131,11 @@ def test_batches_of_bodies_grow_with_what_is_sent():
     """Bodies of a table 60 times as large took 60 times as many micro-batches."""
     batches = lambda sent: -(-sent // ingest_plans.batch_bytes(sent))
     assert batches(7 << 20) <= 5 and batches(420 << 20) <= 8 and ingest_plans.batch_bytes(1 << 40) == 64 << 20 and ingest_plans.batch_bytes(None) == 128 << 10
+
+
+def test_objects_are_read_once(spark, capsys):
+    """Each key of the result read its objects again."""
+    df = spark.range(1).select(F.col("id").cast("string").alias("a"), F.col("id").cast("string").alias("b"))
+    capsys.readouterr()
+    df.select(ingest.merged_object(F.col("a"), F.col("b"), ("old",), F.lit('{"d":1}')).alias("m")).explain()
+    assert capsys.readouterr().out.count("from_json") == 2
