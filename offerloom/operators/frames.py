@@ -150,28 +150,6 @@ def nearest_centre(candidates: DataFrame, by: list[str]) -> DataFrame:
     return candidates.where(F.col("quad").isNotNull()).withColumn("_score", score).groupBy(*by).agg(F.min_by("quad", F.struct("_score", "nth")).alias("quad"), F.min("_score").alias("score"), F.count("*").alias("candidates"))
 
 
-def browser_lock(rows: DataFrame, by: list[str], signature: list[str], misses: int = 3) -> DataFrame:
-    """``agree, lock`` as a page keeps them: readings in a row that say the same lock if the last one is whole.
-
-    Incomplete readings in between don't count, but ``misses`` of them in a row begin anew.
-    Expects ``complete`` and ``whole``.
-    """
-    order = in_order(by)
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    done = F.coalesce(F.col("complete"), F.lit(False))
-    rows = rows.withColumn("_stretch", F.sum(done.cast("int")).over(upto))
-    missed = F.sum((~done).cast("int")).over(in_order([*by, "_stretch"]).rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("_reset", (~done & (missed == misses)).cast("int")).withColumn("_life", F.sum("_reset").over(upto))
-    said = F.struct(*signature)
-    within = in_order([*by, "_life"])
-    last = F.last(F.when(done, said), ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", (done & ~said.eqNullSafe(last)).cast("int")).withColumn("_island", F.sum("_new").over(within.rowsBetween(W.unboundedPreceding, 0)))
-    agree = F.sum(done.cast("int")).over(in_order([*by, "_life", "_island"]).rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("agree", F.coalesce(agree, F.lit(0))).withColumn("_lock", F.when(done, (F.col("agree") >= AGREE) & F.coalesce(F.col("whole"), F.lit(False))))
-    lock = F.coalesce(F.last("_lock", ignorenulls=True).over(within.rowsBetween(W.unboundedPreceding, 0)), F.lit(False))
-    return rows.withColumn("lock", lock).drop("_stretch", "_reset", "_life", "_new", "_island", "_lock")
-
-
 def aimed(rows: DataFrame, by: list[str], good: str = "good", n: int = 6) -> DataFrame:
     """``aimed``: whether the last ``n`` readings in a row were good."""
     rows = rows.withColumn("_bad", F.sum((~F.coalesce(F.col(good), F.lit(False))).cast("int")).over(in_order(by).rowsBetween(W.unboundedPreceding, 0)))

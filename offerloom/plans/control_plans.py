@@ -185,8 +185,7 @@ def stream_agreement_lock(spark, sf_dir):
 
 @query(ORACLES["browser_lock"])
 def stream_browser_lock(spark, sf_dir):
-    rows = _timed(record_plans.gates(spark, sf_dir)).withColumn("sig", F.to_json(F.struct("pay", "minutes", "miles")))
-    return streamed(spark, rows, gates.PageLock, "page")
+    return streamed(spark, record_plans.page_readings(spark, sf_dir), gates.PageLock, "page")
 
 
 @query(ORACLES["aiming_gate"])

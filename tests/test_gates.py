@@ -45,3 +45,13 @@ def test_quads(spark):
     q = F.array(p(0, 0), p(10, 2), p(12, 20), p(-1, 18))
     row = spark.range(1).select(*(geometry.contains(q, p(*xy)) for xy in ((5, 5), (0, 0), (11, 0), (-2, 9))), geometry.same_shape(q, q), geometry.near(q, q, 0.0)).first()
     assert tuple(row) == (True, True, False, False, True, True)
+
+
+def test_a_page_sorts_its_readings_once(spark, sf_dir, capsys):
+    """Windows within windows sorted and held a rig's readings again and again."""
+    from offerloom.plans import record_plans
+
+    capsys.readouterr()
+    record_plans.browser_lock(spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and plan.count("Sort [") == 1
