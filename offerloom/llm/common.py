@@ -44,6 +44,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that the Parquet reader holds at once, and bytes of an Arrow batch on its way to or from Python.  Spark's own 4096
+#: rows and 64 MB are whole partitions of texts, held several times over by a task and its Python worker.
+SMALL_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are read and handed to Python a little at a time, whatever the size of a partition.
+
+    This holds for the session, as what is built next runs when the caller asks for it; what
+    the caller has set stays.
+    """
+    for key, most in SMALL_BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, most)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -1,9 +1,13 @@
 import zlib
 from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from offerloom.llm import quality, secrets
-from offerloom.llm.common import materialise, table
+from offerloom.llm.common import SMALL_BATCHES, materialise, table
 from offerloom.llm.queries import ORACLES, QUERIES
 
 from .helpers import docs
@@ -69,6 +73,31 @@ def test_stages_on_awkward_rows(spark):
         assert stage(spark, docs(spark, []), SF).count() == 0
 
 
+def test_stages_hand_texts_on_in_small_batches(spark):
+    """Spark's own batches hold a partition's texts whole: 10,000 rows, up to 64 MB."""
+
+    @F.arrow_udf("long")
+    def batch_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = materialise(spark.range(4000).select(F.repeat(F.lit("word "), 1000).alias("text")).coalesce(1))  # 20 MB
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            for key in SMALL_BATCHES:
+                spark.conf.unset(key)
+            stage(spark, docs(spark, []), SF)
+            assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+            assert texts.select(batch_bytes("text").alias("n")).agg(F.max("n")).first()[0] <= 4 << 20
+        spark.conf.set(most, "1m")
+        corpus_pipeline.mask_secrets(spark, docs(spark, []), SF)
+        assert spark.conf.get(most) == "1m"  # what the caller has set stays
+    finally:
+        for key in SMALL_BATCHES:
+            spark.conf.unset(key)
+
+
 def test_registered(spark):
     assert sorted(QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate(("fingerprints", "secrets", "embedding_dedup", "quality", "sharding", "bpe", "url_filter", "lm_score", "mixing", "neardup", "nearest", "fill_in_middle", "merkle_manifest"), 1))
     assert set(ORACLES) <= set(QUERIES) and quality.BUCKETS and sets("a b", 4)
