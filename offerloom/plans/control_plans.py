@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from offerloom.operators import reports
 from offerloom.plans import frame_plans, record_plans, report_plans
 from offerloom.plans.base import ORACLES, query
-from offerloom.plans.stream_plans import drain
+from offerloom.plans.stream_plans import BATCH_ROWS, SINGLE_ROWS, drain
 from offerloom.streaming import controllers as c
 from offerloom.streaming import gates
 from offerloom.streaming.machines import LATENESS_MS, fold, live
@@ -21,7 +21,7 @@ def events(spark, sf_dir, sql: str) -> DataFrame:
 
 def streamed(spark, rows: DataFrame, machine, name: str, initial: DataFrame | None = None) -> DataFrame:
     """``rows``, in several micro-batches by time, through a machine as a stream."""
-    return drain(spark, rows, lambda s: live(s, machine, initial), name)
+    return drain(spark, rows, lambda s: live(s, machine, initial), name, most=SINGLE_ROWS if machine.TIMED else BATCH_ROWS)
 
 
 # Walks in SQL: rows of a rig one by one, each state kept; layers name what the next ones use.

@@ -75,10 +75,10 @@ def route(lines: DataFrame, journal: str, log: str) -> DataStreamWriter:
     """One stream of lines to two sinks: objects to ``journal``, other lines to ``log``."""
 
     def put(rows: DataFrame, batch: int) -> None:
-        told = routed(rows)
+        told = routed(rows).select("rig", "ord", "ts_ms", "line", "route")
         told.persist()
         for name, path in (("journal", journal), ("log", log)):
-            write_batch(told.where(F.col("route") == name).select("rig", "ord", "ts_ms", "line"), path, batch)
+            write_batch(told.where(F.col("route") == name).drop("route"), path, batch)
         told.unpersist()
 
     return lines.writeStream.foreachBatch(put)

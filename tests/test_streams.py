@@ -1,7 +1,9 @@
+import pyarrow as pa
 import pytest
 
 from offerloom.plans import stream_plans
 from offerloom.streaming import jobs
+from offerloom.streaming.machines import in_order, live, packs_of, plain
 from offerloom.streaming.merge import Card, Offer, identify, merge, resumed, vote, winner
 
 
@@ -138,3 +140,28 @@ def test_a_larger_table_has_more_batches(spark, tmp_path):
     told = [[r.ts_ms for r in spark.read.parquet(str(f)).collect()] for f in files]
     assert sum(map(len, told)) == 1000 and max(map(len, told)) <= 200 and len(told) == 10
     assert all(max(a) < min(b) for a, b in zip(told, told[1:]))
+
+
+def test_rows_of_a_stream_travel_packed(spark, monkeypatch):
+    """Each row of a stream was a row of Spark's own in Python, which costs more than what a machine does with it."""
+    monkeypatch.setattr("offerloom.streaming.machines.PACK_ROWS", 30)
+    shown = [{"rig": i % 3 if i % 7 else None, "ts_ms": (i * 7) % 11, "ord": i, "x": [{"a": i * 1.0}] * (i % 3)} for i in range(100)]
+    packs = list(packs_of((b for b in pa.Table.from_pylist(shown).to_batches(10)), "rig"))
+    assert len(packs) == 16  # of four keys each time
+    for key in (None, 0, 1, 2):
+        told = list(in_order(p for k, p in packs if k == key))
+        assert told == sorted((r for r in shown if r["rig"] == key), key=lambda r: (r["ts_ms"], r["ord"]))
+    assert list(packs_of([], "rig")) == []
+    rows = spark.readStream.schema("rig long, ord long, ts_ms long, chunk string").parquet("/root/testdata")
+    from offerloom.streaming import gates, ingest
+
+    seen = lambda s, machine: live(s, machine)._jdf.queryExecution().analyzed().toString()
+    assert "_rows" in seen(rows, ingest.Framing)
+    assert "_rows" not in seen(rows, gates.Attention)  # it is told of each row by the watermark whether it is late
+
+
+@pytest.mark.parametrize("values", [[1, None, 3], [1.5, float("inf"), None], [True, None, False], ["a", None, ""], [[1.0], None, [], [2.0, None]], [{"a": 1, "b": [None]}, {"a": None, "b": None}], [{"a": 1}, None], [[{"a": "x"}], None], []])
+def test_plain_values(values):
+    column = pa.array(values)
+    assert plain(column) == values and plain(column.slice(1)) == values[1:]
+    assert all(type(a) is type(b) for a, b in zip(plain(column), values))
