@@ -41,8 +41,10 @@ def framed_lines(spark, sf_dir):
 def stream_routes(spark, sf_dir):
     """The pieces as a stream, framed, and routed to two sinks."""
     at = _folder(spark)
-    with named_states(spark):
-        finish(ingest.route(live(feed(spark, pieces(spark, sf_dir), at, 3, "ts_ms"), ingest.Framing), f"{at}/journal", f"{at}/log"), at, "routes")
+    rows = pieces(spark, sf_dir)
+    fed = feed(spark, rows, at, 3, "ts_ms")
+    with named_states(spark, rows):
+        finish(ingest.route(live(fed, ingest.Framing), f"{at}/journal", f"{at}/log"), at, "routes")
     read = lambda name: ingest.stored(spark, f"{at}/{name}", ingest.LINE).select("rig", "ord", "line", F.lit(name).alias("route"))
     return read("journal").unionByName(read("log"))
 

@@ -165,3 +165,23 @@ def test_plain_values(values):
     column = pa.array(values)
     assert plain(column) == values and plain(column.slice(1)) == values[1:]
     assert all(type(a) is type(b) for a, b in zip(plain(column), values))
+
+
+def test_states_are_kept_by_as_many_tasks_as_keys_take(spark, tmp_path, monkeypatch):
+    """A stream over four rigs opened and committed a store for every task of a shuffle, in every micro-batch."""
+    from offerloom.streaming import gates
+
+    monkeypatch.setattr(stream_plans, "_folder", lambda _: str(tmp_path))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = spark.range(24).selectExpr("id % 4 AS rig", "id AS ord", "id AS ts_ms", "id % 8 > 0 AS good")
+        told = stream_plans.drain(spark, rows, lambda s: live(s, gates.Aim), "few")
+        assert sorted((r.ord, r.aimed) for r in told.collect()) == [(i, i in (21, 22, 23)) for i in range(24)]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+        kept = [x.name for x in (tmp_path / "state" / "state" / "0").iterdir() if x.name.isdigit()]
+        assert 4 <= len(kept) < 10
+        assert stream_plans.state_tasks(spark.range(2000).withColumnRenamed("id", "rig"), 40) == 40
+        assert stream_plans.state_tasks(spark.range(0).withColumnRenamed("id", "rig"), 40) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
