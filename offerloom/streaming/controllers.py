@@ -7,9 +7,9 @@ exposure of the next frames.  Both are machines: tables fold them, streams keep
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import sqrt
 
 from offerloom.functions.geometry import SHAPE_BAND, SIZE_BAND
 from offerloom.streaming.machines import Machine, Values
@@ -27,23 +27,25 @@ def corner(q: Quad, i: int) -> tuple[float, float]:
     return q[2 * i], q[2 * i + 1]
 
 
-def length(a: tuple[float, float], b: tuple[float, float]) -> float:
-    return math.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]))
+# These are asked several times of each row, so they call nothing but the root.
 
 
 def apart(a: Quad, b: Quad) -> float:
     """Mean distance of corresponding corners."""
-    d = [length(corner(a, i), corner(b, i)) for i in range(4)]
-    return (d[0] + d[1] + d[2] + d[3]) / 4
+    (ax, ay, bx, by, cx, cy, dx, dy), (ex, ey, fx, fy, gx, gy, hx, hy) = a, b
+    first, second = sqrt((x := ax - ex) * x + (y := ay - ey) * y), sqrt((x := bx - fx) * x + (y := by - fy) * y)
+    return (first + second + sqrt((x := cx - gx) * x + (y := cy - gy) * y) + sqrt((x := dx - hx) * x + (y := dy - hy) * y)) / 4
 
 
 def span(q: Quad) -> float:
-    return (length(corner(q, 0), corner(q, 2)) + length(corner(q, 1), corner(q, 3))) / 2
+    ax, ay, bx, by, cx, cy, dx, dy = q
+    return (sqrt((x := ax - cx) * x + (y := ay - cy) * y) + sqrt((x := bx - dx) * x + (y := by - dy) * y)) / 2
 
 
 def aspect(q: Quad) -> float:
-    across = (length(corner(q, 0), corner(q, 1)) + length(corner(q, 3), corner(q, 2))) / 2
-    down = (length(corner(q, 0), corner(q, 3)) + length(corner(q, 1), corner(q, 2))) / 2
+    ax, ay, bx, by, cx, cy, dx, dy = q
+    across = (sqrt((x := ax - bx) * x + (y := ay - by) * y) + sqrt((x := dx - cx) * x + (y := dy - cy) * y)) / 2
+    down = (sqrt((x := ax - dx) * x + (y := ay - dy) * y) + sqrt((x := bx - cx) * x + (y := by - cy) * y)) / 2
     return down / max(across, 1.0)
 
 

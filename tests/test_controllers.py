@@ -1,3 +1,4 @@
+import sys
 import tempfile
 
 import pytest
@@ -165,3 +166,28 @@ def test_stream_with_a_restart_equals_the_table(spark, sf_dir, name):
 def test_empty_tables(spark):
     rows = spark.createDataFrame([], "rig long, ord long, ts_ms long, diff long")
     assert fold(rows, gates.MotionGate).count() == 0
+
+
+def test_a_row_of_the_tracker_takes_few_calls():
+    """Each distance was a call or three, more than a hundred for a row."""
+    n = 0
+
+    def count(frame, what, arg):
+        nonlocal n
+        n += what == "call"
+
+    rows = [box(400 + i % 5, 200) if i % 50 < 25 else box(900, 300) for i in range(200)]
+    sys.setprofile(count)
+    try:
+        tracker(rows)
+    finally:
+        sys.setprofile(None)
+    assert n / len(rows) < 60
+
+
+def test_outlines_are_measured_as_their_corners_are_apart():
+    a, b = [3.0, 4.0, 110.5, 2.25, 107.0, 208.0, 1.5, 199.0], [0.0, 0.0, 101.0, 7.0, 99.0, 213.5, 6.0, 204.0]
+    d = lambda p, i, q, j: ((p[2 * i] - q[2 * j]) ** 2 + (p[2 * i + 1] - q[2 * j + 1]) ** 2) ** 0.5
+    assert c.apart(a, b) == pytest.approx(sum(d(a, i, b, i) for i in range(4)) / 4)
+    assert c.span(a) == pytest.approx((d(a, 0, a, 2) + d(a, 1, a, 3)) / 2)
+    assert c.aspect(a) == pytest.approx((d(a, 0, a, 3) + d(a, 1, a, 2)) / (d(a, 0, a, 1) + d(a, 3, a, 2)))
