@@ -190,7 +190,7 @@ def stream_browser_lock(spark, sf_dir):
 
 @query(ORACLES["aiming_gate"])
 def stream_aiming_gate(spark, sf_dir):
-    return streamed(spark, _timed(record_plans.gates(spark, sf_dir)).withColumn("good", F.expr("whole OR stable")), gates.Aim, "aim")
+    return streamed(spark, _timed(record_plans.gates(spark, sf_dir)).selectExpr("rig", "ord", "ts_ms", "whole OR stable AS good"), gates.Aim, "aim")
 
 
 @query(ORACLES["speak_once"])

@@ -191,3 +191,14 @@ def test_outlines_are_measured_as_their_corners_are_apart():
     assert c.apart(a, b) == pytest.approx(sum(d(a, i, b, i) for i in range(4)) / 4)
     assert c.span(a) == pytest.approx((d(a, 0, a, 2) + d(a, 1, a, 3)) / 2)
     assert c.aspect(a) == pytest.approx((d(a, 0, a, 3) + d(a, 1, a, 2)) / (d(a, 0, a, 1) + d(a, 3, a, 2)))
+
+
+@pytest.mark.parametrize("name, used", [
+    ("stream_aiming_gate", "good"),
+])
+def test_streams_carry_what_their_machine_reads(spark, sf_dir, monkeypatch, name, used):
+    """A row carried all columns of its table into the stream's files, the shuffle and Python."""
+    seen = []
+    monkeypatch.setattr(control_plans, "streamed", lambda _, rows, *how: seen.append(rows) or rows)
+    getattr(control_plans, name)(spark, sf_dir)
+    assert set(seen[0].columns) == {"rig", "ord", "ts_ms", *used.split()}
