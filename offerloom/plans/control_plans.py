@@ -175,12 +175,12 @@ def _words(rows: DataFrame, *names: str) -> DataFrame:
 
 @query(ORACLES["motion_gate"])
 def stream_motion_gate(spark, sf_dir):
-    return streamed(spark, _timed(frame_plans.diffs(spark, sf_dir)), gates.MotionGate, "motion")
+    return streamed(spark, _timed(frame_plans.diffs(spark, sf_dir)).select("rig", "ord", "ts_ms", "diff"), gates.MotionGate, "motion")
 
 
 @query(ORACLES["agreement_lock"])
 def stream_agreement_lock(spark, sf_dir):
-    return streamed(spark, _words(_timed(frame_plans.diffs(spark, sf_dir)), "sig"), gates.Agreement, "agreement")
+    return streamed(spark, _words(_timed(frame_plans.diffs(spark, sf_dir)), "sig").select("rig", "ord", "ts_ms", "sig"), gates.Agreement, "agreement")
 
 
 @query(ORACLES["browser_lock"])
