@@ -253,5 +253,5 @@ def stream_health(spark, sf_dir):
 
 @query(ORACLES["error_log"])
 def stream_error_log(spark, sf_dir):
-    rows = _timed(frame_plans.diffs(spark, sf_dir)).withColumn("message", F.col("sig").cast("string"))
+    rows = _timed(frame_plans.diffs(spark, sf_dir)).select("rig", "ord", "ts_ms", F.col("sig").cast("string").alias("message"))
     return streamed(spark, rows, gates.ErrorLog, "errors").select("rig", "ord")
