@@ -195,7 +195,7 @@ def stream_aiming_gate(spark, sf_dir):
 
 @query(ORACLES["speak_once"])
 def stream_speak_once(spark, sf_dir):
-    return streamed(spark, _timed(record_plans.gates(spark, sf_dir)), gates.SpeakOnce, "speak")
+    return streamed(spark, _timed(record_plans.gates(spark, sf_dir)).select("rig", "ord", "ts_ms", "pay", "minutes", "ready", "locked", "whole"), gates.SpeakOnce, "speak")
 
 
 #: Readings 350 ms apart over four rigs; the figures change now and then, some are whole and stable, some rigs pause.

@@ -194,7 +194,7 @@ def test_outlines_are_measured_as_their_corners_are_apart():
 
 
 @pytest.mark.parametrize("name, used", [
-    ("stream_aiming_gate", "good"), ("stream_agreement_lock", "sig"), ("stream_motion_gate", "diff"), ("stream_error_log", "message"),
+    ("stream_aiming_gate", "good"), ("stream_agreement_lock", "sig"), ("stream_motion_gate", "diff"), ("stream_error_log", "message"), ("stream_speak_once", "pay minutes ready locked whole"),
 ])
 def test_streams_carry_what_their_machine_reads(spark, sf_dir, monkeypatch, name, used):
     """A row carried all columns of its table into the stream's files, the shuffle and Python."""
